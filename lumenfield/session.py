@@ -24,6 +24,7 @@ def local_session(app: str = "lumenfield", cores: str = "8", memory: str = "8g")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )

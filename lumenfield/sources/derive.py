@@ -267,9 +267,30 @@ def sources(d: SparkText) -> str:
     from {d.src('orders')}"""
 
 
+def analysis(d: SparkText) -> str:
+    """What the automatic analysis of each upload measured."""
+    k = "l_orderkey"
+    return f"""
+    select {k} as photo_id, 1000 + 10 * max(l_linenumber) as width_px,
+      cast(max(l_quantity) as double) as focal_ratio,
+      cast(case when {k} % 3 = 0 then null else 50 + 10 * max(l_linenumber) end as double)
+        as focal_length_mm,
+      cast(max(l_quantity) * 2e0 as double) as snr_estimate, 100 + min(l_linenumber) as star_count,
+      cast(min(l_quantity) / 8e0 as double) as fwhm_arcsec,
+      cast(max(l_discount) as double) as eccentricity,
+      {d.ts('max(l_shipdate)')} as captured_at_local,
+      case when {k} % 5 = 0 then null else ({k} % 25 - 12) * 60 end as utc_offset_minutes,
+      case {k} % 3 when 0 then 'user' when 1 then 'exif' end as time_source,
+      {d.array(f'{k} % 90', f'{k} % 60', f'{k} % 6000')} as gps_num,
+      {d.array('cast(1 as bigint)', f'{k} % 2', 'cast(100 as bigint)')} as gps_den,
+      case {k} % 4 when 0 then 'N' when 1 then 'S' when 2 then 'E' else 'w' end as gps_ref
+    from {d.src('lineitem')} group by {k}"""
+
+
 TABLES: dict[str, tuple[Callable[[SparkText], str], tuple[str, ...]]] = {
     "photos": (photos, ("orders",)),
     "objects": (objects, ("part",)),
+    "analysis": (analysis, ("lineitem",)),
     "users": (users, ("customer",)),
     "jobs": (jobs, ("supplier",)),
     "job_inputs": (job_inputs, ("lineitem",)),
