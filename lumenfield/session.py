@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: list[str] = []
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Pin the runtime settings that results depend on; cluster sizing is left alone."""
@@ -13,6 +16,9 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    sc = spark.sparkContext
+    if sc.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(sc.defaultParallelism))
     return spark
 
 
@@ -38,13 +44,24 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     A machine-local folder is chosen only where ``spark.checkpoint.dir`` is unset and the
     master is local, as in tests.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", "")
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="lumenfield-ckpt-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; a local one only where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="lumenfield-"))
+        folder = _LOCAL[0]
+    return folder
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh subfolder of the shared folder for written tables and stream checkpoints."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
