@@ -61,7 +61,7 @@ def label(flagged: DataFrame, tile: int = TILE) -> DataFrame:
         return out.assign(label=_tile_roots(pdf["x"].to_numpy(), pdf["y"].to_numpy()))
 
     local = d.groupBy(*FRAME, "_tx", "_ty").applyInPandas(run, f"{names}, label bigint")
-    return local if tile >= STRIDE else _merge_tiles(local, tile)
+    return _merge_tiles(reliable_checkpoint(local), tile)
 
 
 def _merge_tiles(local: DataFrame, tile: int) -> DataFrame:

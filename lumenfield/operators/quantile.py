@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfield.session import reliable_checkpoint
+
 ACCURACY = 10_000
 SMALL = 20_000
 
@@ -20,6 +20,9 @@ def exact_quantiles(
     ten-thousandths of the group) are then counted and ranked. Groups below ``SMALL`` rows are
     ranked directly by the same path. Nulls and NaNs are ignored.
     """
+    if not keys:
+        one = exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs)
+        return one.drop("_all")
     v = F.col(value).cast("double")
     d = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     slack = 2.0 / ACCURACY
@@ -43,31 +46,36 @@ def exact_quantiles(
             )
         )
     head = head.select(*keys, F.array(*brackets).alias("_b"))
-    j = d.join(head, keys) if keys else d.join(F.broadcast(head))
+    j = d.join(head, keys)
     j = j.select(*keys, "_v", F.explode("_b").alias("_b")).where(F.col("_v") <= F.col("_b.hi"))
     inside = F.when(F.col("_v") >= F.col("_b.lo"), F.col("_v"))
     counts = j.groupBy(*keys, F.col("_b.i").alias("_i"), F.col("_b.r").alias("_r"), inside.alias("_v")).agg(
         F.count("*").alias("_c")
     )
+    # one exchange on the keys serves both the ranking and the final fold
+    counts = counts.repartition(*keys)
     w = Window.partitionBy(*keys, "_i").orderBy(F.asc_nulls_first("_v"))
     counts = counts.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     base, hit = F.floor("_r"), F.col("_v").isNotNull()
-    picked = counts.groupBy(*keys, "_i").agg(
-        F.min(F.when(hit & (F.col("_cum") > base), F.col("_v"))).alias("_lo"),
-        F.min(F.when(hit & (F.col("_cum") > base + 1), F.col("_v"))).alias("_hi"),
-        F.max(F.when(~hit, F.col("_cum"))).alias("_below"),
-        F.first("_r").alias("_r"),
-    )
-    part = F.col("_r") - F.floor("_r")
-    missed = F.col("_lo").isNull() | (F.coalesce("_below", F.lit(0)) > F.floor("_r"))
-    missed = missed | ((part > 0) & F.col("_hi").isNull())
-    result = F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")).when(
-        part > 0, F.col("_lo") + (F.col("_hi") - F.col("_lo")) * part
-    ).otherwise(F.col("_lo"))
-    picked = picked.withColumn("_x", result)
-    return picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_i") == i, F.col("_x"))).alias(n) for i, n in enumerate(probs)]
-    )
+    names, folds, results = list(probs), [], []
+    for i in range(len(names)):
+        mine = F.col("_i") == i
+        folds += [
+            F.min(F.when(mine & hit & (F.col("_cum") > base), F.col("_v"))).alias(f"_lo{i}"),
+            F.min(F.when(mine & hit & (F.col("_cum") > base + 1), F.col("_v"))).alias(f"_hi{i}"),
+            F.max(F.when(mine & ~hit, F.col("_cum"))).alias(f"_below{i}"),
+            F.max(F.when(mine, F.col("_r"))).alias(f"_r{i}"),
+        ]
+        lo, hi, r = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_r{i}")
+        part = r - F.floor(r)
+        missed = lo.isNull() | (F.coalesce(f"_below{i}", F.lit(0)) > F.floor(r)) | ((part > 0) & hi.isNull())
+        value = (
+            F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
+            .when(part > 0, lo + (hi - lo) * part)
+            .otherwise(lo)
+        )
+        results.append(value.alias(names[i]))
+    return counts.groupBy(*keys).agg(*folds).select(*keys, *results)
 
 
 def with_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
@@ -76,11 +84,11 @@ def with_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
 
 
 def median_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Group median ``med`` and median absolute deviation ``mad``."""
-    med = exact_quantiles(df, keys, value, {"med": 0.5})
-    dev = df.join(med, keys).withColumn("_d", F.abs(F.col(value) - F.col("med")))
-    return med.join(exact_quantiles(dev, keys, "_d", {"mad": 0.5}), keys)
-
+    """Group median ``med`` and median absolute deviation ``mad``.
 
-def combine(*parts: DataFrame, keys: list[str]) -> DataFrame:
-    return reduce(lambda a, b: a.join(b, keys, "left"), parts)
+    The medians, one row per group, are written out first; otherwise every further level would scan
+    the input three times as often.
+    """
+    med = reliable_checkpoint(exact_quantiles(df, keys, value, {"med": 0.5}))
+    dev = df.join(med, keys).withColumn("_d", F.abs(F.col(value) - F.col("med")))
+    return exact_quantiles(dev, [*keys, "med"], "_d", {"mad": 0.5})

@@ -20,18 +20,18 @@ def usable_pixels(t):
     return px.usable(t.pixels).select(*FR, "x", "y", "is_good")
 
 
-@query("pixel_rows", "S6", check("pixels", """select r.stack_id, r.frame_id, r.y, r.x, p.value from (select stack_id, frame_id, y, unnest(range(max(x) + 1)) as x from pixels group by all) r
+@query("pixel_rows", "S6", check("pixels", """select r.stack_id, r.frame_id, r.y, r.x, p.value from (select stack_id, frame_id, y, unnest(range(m + 1)) as x from (select stack_id, frame_id, y, max(x) as m from pixels group by all)) r
  left join pixels p on p.stack_id = r.stack_id and p.frame_id = r.frame_id and p.y = r.y and p.x = r.x"""))
 def pixel_rows(t):
     d = px.rows_from_arrays(px.arrays_from_rows(t.pixels))
     return d.select(*FR, "y", c("x").cast("bigint").alias("x"), "value")
 
 
-@query("bayer_green_plane", "S13", check("pixels", f"""select stack_id, frame_id, x // 2 as x, y // 2 as y, {s6('avg(value) filter ((x + y) % 2 = 1)')} as value, '0,1;1,0' as offsets
- from pixels group by stack_id, frame_id, x // 2, y // 2 having count(*) = 4""").replace("select stack_id, frame_id, x // 2 as x, y // 2 as y, (floor", "select stack_id, frame_id, x // 2 as x, y // 2 as y, (floor"))
+@query("bayer_green_plane", "S13", check("pixels", f"""select stack_id, frame_id, x // 2 as x, y // 2 as y, {s6('avg(value) filter ((x + y) % 2 = 1)')} as value, '1,0;0,1' as offsets
+ from pixels group by stack_id, frame_id, x // 2, y // 2 having count(*) = 4"""))
 def bayer_green_plane(t):
     codes = {(0, 0): 0, (1, 0): 1, (0, 1): 1, (1, 1): 2}
-    d = px.bayer_plane(t.pixels, codes, (1,)).withColumn("offsets", F.lit("0,1;1,0"))
+    d = px.bayer_plane(t.pixels, codes, (1,))
     return round_all(d).select(*FR, "x", "y", "value", "offsets")
 
 
