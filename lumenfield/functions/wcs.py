@@ -60,9 +60,49 @@ def sky_to_pixel(g: Grid, ra: Column, dec: Column) -> tuple[Column, Column]:
     )
 
 
-def pixel_map(src: Grid, out: Grid, x: Column, y: Column) -> tuple[Column, Column]:
-    """Pixel of ``out`` that shows the same sky as pixel (x, y) of ``src``."""
-    return sky_to_pixel(out, *pixel_to_sky(src, x, y))
+def homography(src: Grid, out: Grid) -> dict[str, Column]:
+    """Coefficients of the exact map between two tangent-plane grids.
+
+    Two gnomonic images of one sphere differ by a projective map, so all trigonometry is done once
+    per frame and a pixel costs two divisions (:func:`apply_map`). Offsets are taken from the source
+    tangent point, where the map is best conditioned.
+    """
+    d = F.radians(src["ra"] - out["ra"])
+    s, c = F.sin(F.radians(src["dec"])), F.cos(F.radians(src["dec"]))
+    so, co = F.sin(F.radians(out["dec"])), F.cos(F.radians(out["dec"]))
+    sd, cd = F.sin(d), F.cos(d)
+    # rows: component along the output axis (centre, east, north);
+    # columns: source tangent point, source east, source north
+    centre = (s * so + c * co * cd, -co * sd, c * so - s * co * cd)
+    east = (c * sd, cd, -s * sd)
+    north = (s * co - c * so * cd, so * sd, c * co + s * so * cd)
+
+    def affine(row) -> tuple[Column, Column, Column]:
+        ex, ey = F.radians(src["cd11"]), F.radians(src["cd12"])
+        nx, ny = F.radians(src["cd21"]), F.radians(src["cd22"])
+        return row[0], row[1] * ex + row[2] * nx, row[1] * ey + row[2] * ny
+
+    w, e, n = affine(centre), affine(east), affine(north)
+    det = out["cd11"] * out["cd22"] - out["cd12"] * out["cd21"]
+    names = ("0", "x", "y")
+    coef = {f"hw{k}": w[i] for i, k in enumerate(names)}
+    coef |= {f"hX{k}": F.degrees(out["cd22"] * e[i] - out["cd12"] * n[i]) / det for i, k in enumerate(names)}
+    coef |= {f"hY{k}": F.degrees(out["cd11"] * n[i] - out["cd21"] * e[i]) / det for i, k in enumerate(names)}
+    return coef | {"hpx": src["px"], "hpy": src["py"], "hqx": out["px"], "hqy": out["py"]}
+
+
+MAP_COLUMNS = [f"h{p}{k}" for p in "wXY" for k in "0xy"] + ["hpx", "hpy", "hqx", "hqy"]
+
+
+def apply_map(x: Column, y: Column) -> tuple[Column, Column]:
+    """Output pixel of (x, y) from the columns of :func:`homography`."""
+    c = F.col
+    dx, dy = x - c("hpx"), y - c("hpy")
+    w = c("hw0") + c("hwx") * dx + c("hwy") * dy
+    return (
+        c("hqx") + (c("hX0") + c("hXx") * dx + c("hXy") * dy) / w,
+        c("hqy") + (c("hY0") + c("hYx") * dx + c("hYy") * dy) / w,
+    )
 
 
 def describe(g: Grid, width: Column, height: Column) -> dict[str, Column]:

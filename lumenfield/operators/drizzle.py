@@ -11,6 +11,7 @@ from lumenfield.functions import wcs
 from lumenfield.functions import photometry as P
 from lumenfield.operators.pixels import FRAME, robust_sigma
 from lumenfield.operators.quantile import exact_quantiles
+from lumenfield.session import reliable_checkpoint
 
 
 def dither_diversity(frames: DataFrame) -> DataFrame:
@@ -83,6 +84,7 @@ def output_grids(
     d = d.withColumns({"w0": odd("sx"), "h0": odd("sy")})
     shrink = F.greatest(F.lit(1.0), F.sqrt(F.col("w0") * F.col("h0") / F.lit(float(max_pixels))))
     d = d.withColumn("shrink", shrink)
+    d = reliable_checkpoint(d)
     size = lambda v: F.when(F.col("shrink") > 1, F.greatest(F.lit(8), F.floor(F.col(v) / F.col("shrink")).cast("int"))).otherwise(F.col(v))
     return d.select(
         "stack_id", F.col("ra0").alias("out_ra"), F.col("dec0").alias("out_dec"),
@@ -105,29 +107,28 @@ def with_pixel_map(pixels: DataFrame, frames: DataFrame, grids: DataFrame) -> Da
     The map is closed-form, so the Jacobian takes differences of the map itself, central inside and
     one-sided at the edge, without looking at neighbouring rows.
     """
-    names = ["crval_ra", "crval_dec", "scale_arcsec", "crpix_x", "crpix_y", "rotation_deg", "width", "height"]
-    d = pixels.join(frames.where("is_solved").select(*FRAME, *names), FRAME).join(grids, "stack_id")
+    maps = frames.where("is_solved").join(grids, "stack_id")
+    maps = maps.select(
+        *FRAME, "width", "height", "out_width", "out_height",
+        *[v.alias(k) for k, v in wcs.homography(wcs.frame_grid(), out_grid()).items()],
+    )
+    d = pixels.join(reliable_checkpoint(maps), FRAME)
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
     lo_x, hi_x = F.greatest(x - 1, F.lit(0.0)), F.least(x + 1, F.col("width") - 1.0)
     lo_y, hi_y = F.greatest(y - 1, F.lit(0.0)), F.least(y + 1, F.col("height") - 1.0)
-    at = F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in ((x, y), (lo_x, y), (hi_x, y), (x, lo_y), (x, hi_y))])
-
-    def project(p: Column) -> Column:
-        ox, oy = wcs.pixel_map(wcs.frame_grid(), out_grid(), p["x"], p["y"])
-        return F.struct(ox.alias("x"), oy.alias("y"))
-
-    d = d.withColumn("_m", F.transform(at, project))
+    xo, yo = wcs.apply_map(x, y)
+    (ax, ay), (bx, by) = wcs.apply_map(lo_x, y), wcs.apply_map(hi_x, y)
+    (cx, cy), (ex, ey) = wcs.apply_map(x, lo_y), wcs.apply_map(x, hi_y)
     step_x, step_y = hi_x - lo_x, hi_y - lo_y
-    m = lambda i, f: F.col("_m")[i][f]
     d = d.withColumns(
         {
-            "xo": m(0, "x"), "yo": m(0, "y"),
-            "dxdx": (m(2, "x") - m(1, "x")) / step_x, "dydx": (m(2, "y") - m(1, "y")) / step_x,
-            "dxdy": (m(4, "x") - m(3, "x")) / step_y, "dydy": (m(4, "y") - m(3, "y")) / step_y,
+            "xo": xo, "yo": yo,
+            "dxdx": (bx - ax) / step_x, "dydx": (by - ay) / step_x,
+            "dxdy": (ex - cx) / step_y, "dydy": (ey - cy) / step_y,
         }
     )
     det = F.abs(F.col("dxdx") * F.col("dydy") - F.col("dxdy") * F.col("dydx"))
-    return d.withColumn("area", F.when(det > 1e-12, det)).drop("_m", *names)
+    return d.withColumn("area", F.when(det > 1e-12, det)).drop("width", "height", *wcs.MAP_COLUMNS)
 
 
 def drizzle(
@@ -203,12 +204,15 @@ def reproject(pixels: DataFrame, frames: DataFrame, grids: DataFrame) -> DataFra
     Output pixels are laid out from the grid, mapped back into the frame, and meet their four input
     neighbours through one equi join on the cell they fall in.
     """
-    names = ["crval_ra", "crval_dec", "scale_arcsec", "crpix_x", "crpix_y", "rotation_deg", "width", "height"]
-    d = frames.where("is_solved").select(*FRAME, *names).join(grids, "stack_id")
+    d = frames.where("is_solved").join(grids, "stack_id").select(
+        *FRAME, "width", "height", "out_width", "out_height",
+        *[v.alias(k) for k, v in wcs.homography(out_grid(), wcs.frame_grid()).items()],
+    )
+    d = reliable_checkpoint(d)
     one = F.lit(1).cast("bigint")
     d = d.withColumn("ox", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("out_width") - one)))
     d = d.withColumn("oy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("out_height") - one)))
-    ix, iy = wcs.pixel_map(out_grid(), wcs.frame_grid(), F.col("ox").cast("double"), F.col("oy").cast("double"))
+    ix, iy = wcs.apply_map(F.col("ox").cast("double"), F.col("oy").cast("double"))
     d = d.select(*FRAME, "ox", "oy", ix.alias("ix"), iy.alias("iy"), "width", "height")
     d = d.where((F.col("ix") >= 0) & (F.col("ix") <= F.col("width") - 1) & (F.col("iy") >= 0) & (F.col("iy") <= F.col("height") - 1))
     d = d.withColumns({"qx": F.floor("ix"), "qy": F.floor("iy")})
@@ -239,6 +243,7 @@ def _squares(pixels: DataFrame) -> DataFrame:
 
 def rescale_variance(resampled: DataFrame) -> DataFrame:
     """Scale each frame's variance to the noise measured after resampling."""
+    resampled = reliable_checkpoint(resampled)
     sigma = robust_sigma(resampled, FRAME)
     med = exact_quantiles(resampled, FRAME, "variance", {"_med": 0.5})
     d = resampled.join(sigma, FRAME).join(med, FRAME)

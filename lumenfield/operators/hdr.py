@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenfield.functions import photometry as P
 from lumenfield.operators.pixels import CELL, FRAME
 from lumenfield.operators.quantile import exact_quantiles
+from lumenfield.session import reliable_checkpoint
 
 KNEE = 0.75
 HEADROOM = 0.9
@@ -40,6 +41,7 @@ def relative_scales(
     d = d.where(ok).select(*CELL, "frame_id", "ref_id", "value")
     ref = d.where("frame_id = ref_id").select(*CELL, F.col("value").alias("_rv"))
     pairs = d.where("frame_id <> ref_id").join(ref, CELL).withColumn("_ratio", F.col("_rv") / F.col("value"))
+    pairs = reliable_checkpoint(pairs.select(*FRAME, "_ratio"))
     n = pairs.groupBy(*FRAME).agg(F.count("*").alias("n_overlap"))
     med = exact_quantiles(pairs, FRAME, "_ratio", {"_median": 0.5})
     own = frames.select(*FRAME, "exposure_seconds").join(refs, "stack_id")
@@ -49,6 +51,7 @@ def relative_scales(
     scale = F.when(F.col("frame_id") == F.col("ref_id"), 1.0).when(enough, F.col("_median")).otherwise(
         F.coalesce(F.try_divide("_re", "exposure_seconds"), F.lit(1.0))
     )
+    d = reliable_checkpoint(d)
     return d.select(*FRAME, "ref_id", scale.alias("scale"), F.coalesce("n_overlap", F.lit(0)).alias("n_overlap"))
 
 
@@ -80,6 +83,7 @@ def composite(
 
 def composite_report(image: DataFrame, frames: DataFrame) -> DataFrame:
     """Dynamic range in stops and the share of pixels recovered from short exposures alone."""
+    image = reliable_checkpoint(image)
     pos = exact_quantiles(image.where("image > 0"), ["stack_id"], "image", {"_hi": 0.9999, "_lo": 0.01})
     size = frames.groupBy("stack_id").agg((F.max("width") * F.max("height")).alias("_px"))
     n = image.groupBy("stack_id").agg(F.count_if("is_recovered").alias("_r"))

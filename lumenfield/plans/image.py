@@ -199,7 +199,8 @@ def pixel_sky_positions(t):
     d = t.pixels.join(t.frames, FR)
     ra, dec = wcs.pixel_to_sky(wcs.frame_grid(), c("x"), c("y"))
     out = wcs.tangent_grid(c("crval_ra"), c("crval_dec"), F.lit(1.0), F.lit(100.0), F.lit(100.0))
-    ox, oy = wcs.pixel_map(wcs.frame_grid(), out, c("x"), c("y"))
+    d = d.withColumns(wcs.homography(wcs.frame_grid(), out))
+    ox, oy = wcs.apply_map(c("x"), c("y"))
     return d.select(*FR, "x", "y", r6(ra).alias("ra_deg"), r6(dec).alias("dec_deg"), r6(ox).alias("out_x"), r6(oy).alias("out_y"))
 
 

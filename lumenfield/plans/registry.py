@@ -68,6 +68,12 @@ def r6(col: Column | str) -> Column:
     return F.floor(c * 1e6 + 0.5001) / F.lit(1e6)
 
 
+def r3(col: Column | str) -> Column:
+    """Three decimals, for values that pass through chains of trigonometry."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.floor(c * 1e3 + 0.5001) / F.lit(1e3)
+
+
 def s6(expr: str) -> str:
     return f"(floor(({expr}) * 1e6 + 0.5001) / 1e6)"
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenfield.operators import drizzle, fourier, hdr, kernels, pixels as px, stack
-from lumenfield.plans.checks import s6
+from lumenfield.plans.checks import s3, s6
 from lumenfield.plans.image import _KER, pixel_sql, sky_sql
-from lumenfield.plans.registry import check, query, r6, round_all
+from lumenfield.plans.registry import check, query, r3, r6, round_all
 
 c = F.col
 FR = ["stack_id", "frame_id"]
@@ -81,7 +81,7 @@ _TR = """conn as (select stack_id, frame_id, x, y, y * 100000 + x as lab from po
  lab as (select stack_id, frame_id, x, y, min(lab) as lab from conn group by all),
  comp as (select stack_id, frame_id, lab, count(*) as n, greatest((var_samp(x) + var_samp(y)) / 2 + sqrt(power((var_samp(x) - var_samp(y)) / 2, 2) + power(covar_samp(x, y), 2)), 1e-9) as big,
    greatest((var_samp(x) + var_samp(y)) / 2 - sqrt(power((var_samp(x) - var_samp(y)) / 2, 2) + power(covar_samp(x, y), 2)), 1e-9) as small from lab group by all having count(*) >= 4),
- hit as (select stack_id, frame_id, x, y from lab join comp using (stack_id, frame_id, lab) where sqrt(big / small) >= 2 and 4 * sqrt(big) >= 4),
+ hit as (select stack_id, frame_id, x, y from lab join comp using (stack_id, frame_id, lab) where sqrt(big / small) >= 2.05 and 4 * sqrt(big) >= 4.05),
  grow as (select distinct stack_id, frame_id, x + dx as x, y + dy as y from hit, (select a.v as dx, b.v as dy from range(-2, 3) a(v), range(-2, 3) b(v) where abs(a.v) + abs(b.v) <= 2))"""
 
 
@@ -92,7 +92,7 @@ def trail_pixels(t):
     d = stack.combined_rejection(t.pixels, t.frames, method="percentile", trails=False)
     m = stack.pixel_columns(t.pixels, t.frames).select(*CELL, stack.arrays.median(F.transform("s", lambda e: e["value"])).alias("am"))
     out = d.where("clipped").join(m, CELL).where("value > am")
-    return find(out, min_length=4.0, min_elongation=2.0, min_pixels=4, tile=8)
+    return find(out, min_length=4.05, min_elongation=2.05, min_pixels=4, tile=8)
 
 
 def _combine_sql(method):
@@ -185,10 +185,11 @@ _DRZ = _DRZ.replace("sum(power(fw / 25, 2) *", "sum(fw / 25 * fw / 25 *")
 _DW = "dw as (select stack_id, frame_id, (1 / (noise_sigma * noise_sigma)) / max(1 / (noise_sigma * noise_sigma)) over (partition by stack_id) as fw from frames)"
 
 
-@query("drizzle", "A23", check("pixels frames", f"select stack_id, ox, oy, {s6('num / weight')} as image, {s6('weight')} as weight, {s6('sqrt(vn) / weight')} as sigma, context from ac", _GRID + ", " + _MAP + ", " + _DW + ", " + _DRZ))
+@query("drizzle", "A23", check("pixels frames", f"select stack_id, ox, oy, {s3('num / weight')} as image, {s6('weight')} as weight, {s3('sqrt(vn) / weight')} as sigma, context from ac", _GRID + ", " + _MAP + ", " + _DW + ", " + _DRZ))
 def drizzled(t):
     acc = drizzle.drizzle(t.pixels, t.frames, drizzle.output_grids(t.frames), weights=drizzle.drizzle_weights(t.frames))
-    return round_all(drizzle.finish(acc))
+    d = drizzle.finish(acc)
+    return d.select("stack_id", "ox", "oy", r3("image").alias("image"), r6("weight").alias("weight"), r3("sigma").alias("sigma"), "context")
 
 
 @query("drizzle_coverage", "A23", check("pixels frames", f"select stack_id, {s6('count(ox) / (any_value(g.ow) * any_value(g.oh))::double')} as coverage_fraction, {s6('1 - count(ox) / (any_value(g.ow) * any_value(g.oh))::double')} as hole_fraction from grid g left join ac using (stack_id) group by 1", _GRID + ", " + _MAP + ", " + _DW + ", " + _DRZ))
@@ -207,9 +208,10 @@ _REP = f"""og as (select f.*, g.scale, ra0, dec0, ow, oh, ox, unnest(range(oh))
   from oq q join (select * from pixels where {GOOD}) p on p.stack_id = q.stack_id and p.frame_id = q.frame_id and p.x between qx and qx + 1 and p.y between qy and qy + 1 group by all)"""
 
 
-@query("reprojected_frames", "X5", check("pixels frames", f"select stack_id, frame_id, ox, oy, {s6('value')} as value, {s6('variance')} as variance from rp where w > 1 - 1e-9", _GRID + ", " + _REP))
+@query("reprojected_frames", "X5", check("pixels frames", f"select stack_id, frame_id, ox, oy, {s3('value')} as value, {s3('variance')} as variance from rp where w > 1 - 1e-9", _GRID + ", " + _REP))
 def reprojected_frames(t):
-    return round_all(drizzle.reproject(t.pixels, t.frames, drizzle.output_grids(t.frames)))
+    d = drizzle.reproject(t.pixels, t.frames, drizzle.output_grids(t.frames))
+    return d.select(*FR, "ox", "oy", r3("value").alias("value"), r3("variance").alias("variance"))
 
 
 @query("reprojected_noise", "X5")
