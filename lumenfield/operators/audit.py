@@ -120,8 +120,9 @@ def run_evaluation(
     med = exact_quantiles(both, STACK, "coadd_snr", {"median_snr": 0.5}).join(
         exact_quantiles(both, STACK, "base_snr", {"base_median_snr": 0.5}), "stack_id"
     )
-    width = frames.groupBy("stack_id").agg(F.min("fwhm_px").alias("fwhm_best"), F.max("fwhm_px").alias("fwhm_worst"))
-    width = width.join(exact_quantiles(frames, STACK, "fwhm_px", {"fwhm_median": 0.5}), "stack_id")
+    width = frames.groupBy("stack_id").agg(
+        F.min("fwhm_px").alias("fwhm_best"), F.median("fwhm_px").alias("fwhm_median"), F.max("fwhm_px").alias("fwhm_worst")
+    )
     return med.join(snr_gain(both), "stack_id").join(width, "stack_id")
 
 

@@ -53,7 +53,10 @@ def output_grids(
     max_pixels: float = 64e6,
 ) -> DataFrame:
     """Common grid per stack: scale, oversampling granted by the dither score, centre and size."""
-    scale = exact_quantiles(frames.where("is_solved"), ["stack_id"], "scale_arcsec", {"base_scale": scale_quantile})
+    # a stack has at most MAX_DEPTH frames, so its scales fit one buffer
+    scale = frames.where("is_solved").groupBy("stack_id").agg(
+        F.percentile("scale_arcsec", F.lit(scale_quantile)).alias("base_scale")
+    )
     d = scale.join(dither_diversity(frames), "stack_id")
     over = F.when(F.col("dither_score") >= 0.7, min(2.0, max_oversample)).when(
         F.col("dither_score") >= 0.4, min(1.5, max_oversample)
@@ -137,8 +140,8 @@ def drizzle(
 ) -> DataFrame:
     """Coadd on the output grid: shrunken drops carry flux and weight together.
 
-    The ``subsample ** 2`` points of a drop are counted per output pixel inside the row, so a pixel
-    emits only the few output pixels it touches; partial sums follow before the shuffle.
+    The ``subsample ** 2`` points of a drop are laid out after the projection, inside generated code,
+    and summed per output pixel before the shuffle, so only touched output pixels travel.
     """
     if not 0.0 < pixfrac <= 1.0:
         raise ValueError("pixfrac must lie in (0, 1]")
@@ -148,30 +151,23 @@ def drizzle(
     else:
         d = d.withColumn("fw", F.lit(1.0))
     offs = [((i + 0.5) / subsample - 0.5) * pixfrac for i in range(subsample)]
-    points = F.array(*[F.struct(F.lit(u).alias("u"), F.lit(v).alias("v")) for u in offs for v in offs])
-
-    def land(p: Column) -> Column:
-        sx = F.col("xo") + F.col("dxdx") * p["u"] + F.col("dxdy") * p["v"]
-        sy = F.col("yo") + F.col("dydx") * p["u"] + F.col("dydy") * p["v"]
-        return F.struct(F.rint(sx).cast("bigint").alias("ox"), F.rint(sy).cast("bigint").alias("oy"))
-
-    d = d.withColumn("_p", F.transform(points, land))
-    hits = F.transform(
-        F.array_distinct("_p"),
-        lambda q: F.struct(q["ox"].alias("ox"), q["oy"].alias("oy"), F.size(F.filter("_p", lambda z: z == q)).alias("n")),
-    )
+    drops = []
+    for u in offs:
+        for v in offs:
+            sx = F.col("xo") + F.col("dxdx") * u + F.col("dxdy") * v
+            sy = F.col("yo") + F.col("dydx") * u + F.col("dydy") * v
+            drops.append(F.struct(F.rint(sx).cast("bigint").alias("ox"), F.rint(sy).cast("bigint").alias("oy")))
     d = d.select(
         "stack_id", "out_width", "out_height", "fw", F.col("value").alias("flux"), "area", "variance",
-        F.explode(hits).alias("h"),
+        F.explode(F.array(*drops)).alias("h"),
     )
     d = d.where(F.col("h.ox").between(0, F.col("out_width") - 1) & F.col("h.oy").between(0, F.col("out_height") - 1))
     share = F.col("fw") / float(subsample * subsample)
-    n = F.col("h.n")
     return d.groupBy("stack_id", F.col("h.ox").alias("ox"), F.col("h.oy").alias("oy")).agg(
-        F.sum(n * share * F.col("flux") / F.col("area")).alias("num"),
-        F.sum(n * share).alias("weight"),
-        F.sum(n * share * share * F.greatest("variance", F.lit(P.VARIANCE_FLOOR)) / F.pow("area", F.lit(2.0))).alias("var_num"),
-        F.sum(n).alias("context"),
+        F.sum(share * F.col("flux") / F.col("area")).alias("num"),
+        F.sum(share).alias("weight"),
+        F.sum(share * share * F.greatest("variance", F.lit(P.VARIANCE_FLOOR)) / F.pow("area", F.lit(2.0))).alias("var_num"),
+        F.count("*").alias("context"),
     )
 
 

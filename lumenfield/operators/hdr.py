@@ -59,7 +59,7 @@ def composite(
     pixels: DataFrame, frames: DataFrame, levels: DataFrame, scales: DataFrame, knee: float = KNEE
 ) -> DataFrame:
     """Inverse-variance mean tapered at saturation and noise floor, with a recovered-core mark."""
-    typical = exact_quantiles(frames, ["stack_id"], "exposure_seconds", {"_typical": 0.5})
+    typical = frames.groupBy("stack_id").agg(F.median("exposure_seconds").alias("_typical"))
     info = frames.select(*FRAME, "noise_sigma", "exposure_seconds").join(levels, FRAME)
     info = info.join(scales.select(*FRAME, "scale"), FRAME).join(typical, "stack_id")
     d = pixels.join(info, FRAME)
