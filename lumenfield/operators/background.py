@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenfield.functions import arrays
 from lumenfield.functions import photometry as P
@@ -23,7 +24,10 @@ def box_size(width: int, height: int, requested: int | None = None) -> int:
     return box
 
 
-@F.pandas_udf("level double, rms double")
+LEVEL = T.StructType([T.StructField("level", T.DoubleType()), T.StructField("rms", T.DoubleType())])
+
+
+@F.pandas_udf(LEVEL)
 def clipped_level(values: pd.Series, sigma: pd.Series) -> pd.DataFrame:
     """Median and MAD sigma of each cell after at most five three-sigma clips."""
     out = np.full((len(values), 2), np.nan)

@@ -56,13 +56,11 @@ def photos_of_object(t):
     return _found(t, object_id=7).select("photo_id")
 
 
-@query("resolve_object_tokens", "P3", check("objects", """, tok as (select distinct case object_id % 5
-    when 0 then lower(catalog) || ' ' || catalog_number when 1 then upper(common_name) when 2 then aliases[2]
-    when 3 then object_id::varchar else common_name_es end as token from objects)
-select token, coalesce((select min(object_id) from objects where object_id::varchar = token),
+@query("resolve_object_tokens", "P3", check("objects", """select token, coalesce((select min(object_id) from objects where object_id::varchar = token),
   (select min(object_id) from objects where upper(catalog || catalog_number) = upper(replace(token, ' ', ''))
     or upper(common_name) = upper(token) or upper(common_name_es) = upper(token) or list_contains(aliases, token))) as object_id
-from tok""").replace(") , tok", "), tok"))
+from tok""", """tok as (select distinct case object_id % 5 when 0 then lower(catalog) || ' ' || catalog_number
+  when 1 then upper(common_name) when 2 then aliases[2] when 3 then object_id::varchar else common_name_es end as token from objects)"""))
 def resolve_object_tokens(t):
     o = t.objects
     m = c("object_id") % 5
@@ -157,9 +155,9 @@ def object_list_second_page(t):
 
 @query("photo_validation", "P14 W10", check("photos", """
 select photo_id, concat_ws(',', case when not quality_score between 0 and 1 then 'quality_range' end,
-  case when not bortle_estimate between 1 and 8 then 'bortle_range' end, case when dup then 'duplicate' end) as reasons
+  case when not bortle_estimate between 1 and 9 then 'bortle_range' end, case when dup then 'duplicate' end) as reasons
 from (select *, row_number() over (partition by owner_id, checksum order by created_at, photo_id) > 1 as dup
-  from photos where deleted_at is null)""").replace("between 1 and 8", "between 1 and 9"))
+  from photos where deleted_at is null)"""))
 def photo_validation(t):
     return validate.validate_photos(t.photos).select("photo_id", F.array_join("reasons", ",").alias("reasons"))
 
@@ -221,9 +219,8 @@ def photos_by_alias(t):
 @query("photos_in_given_order", "J4 J21", check("photos collection_items", """
 select collection_id, photo_id, position from collection_items join photos using (photo_id) where deleted_at is null"""))
 def photos_in_given_order(t):
-    d = search.get_many(t.photos, t.collection_items.withColumnRenamed("position", "position"), "position")
-    items = t.collection_items.join(d.select("photo_id").distinct(), "photo_id", "left_semi")
-    return items.orderBy("collection_id", "position", "photo_id").select("collection_id", "photo_id", c("position").cast("bigint").alias("position"))
+    d = search.get_many(t.photos, t.collection_items, ["collection_id", "position"])
+    return d.select("collection_id", "photo_id", c("position").cast("bigint").alias("position"))
 
 
 @query("unavailable_photos", "J5 U3", check("photos collection_items", """

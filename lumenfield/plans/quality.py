@@ -90,9 +90,6 @@ def matched_filter(t):
     return round_all(kernels.matched_filter(image.where("weight > 0"), _positions(t), _mean_psf(t), ["stack_id"], ["source_id"]))
 
 
-_GAIN = """nzs as (select stack_id, {k}.sig as sig from {k})"""
-
-
 def _robust_sql(name, src):
     t = repr(px.truncated_mad(0.9))
     return f"""{name} as (select stack_id, 1.4826::double * median(abs(image - med)) / {t}::double as sig from (select *, median(image) over (partition by stack_id) as med from (select *, quantile_cont(image, 0.9) over (partition by stack_id) as cut from {src}) where image <= cut) group by 1)"""
@@ -120,7 +117,7 @@ FLUXES = [500.0, 2000.0, 8000.0, 32000.0]
 _POSF = _POS.replace("{fl}", "500, 2000, 8000, 32000").replace("{n}", "4")
 
 
-@query("injection_lattice", "X7", check("frames", f"select stack_id, source_id, x, y, flux from pos", _POSF))
+@query("injection_lattice", "X7", check("frames", "select stack_id, source_id, x, y, flux from pos", _POSF))
 def injection_lattice(t):
     return audit.lattice(audit.image_size(t.frames), 9, FLUXES, margin=6)
 

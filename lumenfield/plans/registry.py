@@ -10,11 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfield.functions.licences import LICENCES, licence_table
-from lumenfield.session import configure
+from lumenfield.session import configure, work_folder
 from lumenfield.sources.derive import TABLES
 from lumenfield.sources.dialect import CheckText, SparkText
 
 
+#: derived tables that a pixel archive keeps on disk, and where this application wrote them
+STORED = ("pixels", "frames")
+_PATHS: dict[tuple[str, str, str], str] = {}
+
+
 class Catalogue:
     """Lazy access to the given tables and to the tables derived from them."""
 
@@ -28,9 +33,23 @@ class Catalogue:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
+        if name in STORED:
+            return self._stored(name)
+        return self._derived(name)
+
+    def _derived(self, name: str) -> DataFrame:
         build, needs = TABLES[name]
         return self.spark.sql(build(SparkText()), **{n: self.given(n) for n in needs})
 
+    def _stored(self, name: str) -> DataFrame:
+        """Pixel tables are stored inputs: derived once per application, then read back pruned."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _PATHS:
+            path = work_folder(self.spark, name)
+            self._derived(name).write.parquet(path)
+            _PATHS[key] = path
+        return self.spark.read.parquet(_PATHS[key])
+
     @cached_property
     def licences(self) -> DataFrame:
         return licence_table(self.spark)

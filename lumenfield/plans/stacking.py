@@ -35,7 +35,6 @@ def clip_sql(src="p0", low=5, high=3, n=3, scale="sqrt(variance)"):
           st{i} as (select a.stack_id, a.x, a.y, any_value(a.centre) as centre, max(abs(a.centre - coalesce(b.centre, 0))) as st from ce{i} a, (values (1, 0), (-1, 0), (0, 1), (0, -1)) o(dx, dy) left join ce{i} b on b.stack_id = a.stack_id and b.x = (a.x + dx + 24) % 24 and b.y = (a.y + dy + 24) % 24 group by all),
           t{i} as (select p.*, keep and value - centre <= {high} * ({est}) * sqrt(1 + pi() / (2 * depth)) + 1.2::double * st and value - centre >= -({low} * ({est}) * sqrt(1 + pi() / (2 * depth)) + 1.2::double * st) as trial from {cur} p join st{i} using (stack_id, x, y) {join}),
           c{i} as (select * exclude (keep, trial, nk), case when nk < least(2, depth) then keep else trial end as keep from (select *, count(*) filter (trial) over (partition by stack_id, x, y) as nk from t{i}))""")
-        out[-1] = out[-1].replace("select p.*, keep and", f"select p.* , keep and")
         cur = f"c{i}"
     return ", ".join(out)
 
@@ -123,7 +122,7 @@ def filled_pixels(t):
     return stack.fill_masked(t.pixels, t.frames).select(*FR, "x", "y", r6("value").alias("value"))
 
 
-_PSFM = "psfm as (select stack_id, dx, dy, sum(weight * g) as w from (select *, g / sum(g) over (partition by stack_id, frame_id) as gn from ker) k join wts using (stack_id, frame_id) group by all)".replace("weight * g)", "weight * gn)")
+_PSFM = "psfm as (select stack_id, dx, dy, sum(weight * gn) as w from (select *, g / sum(g) over (partition by stack_id, frame_id) as gn from ker) k join wts using (stack_id, frame_id) group by all)"
 
 
 @query("mean_psf", "A49", check("frames", f"select stack_id, dx, dy, {s6('w / sum(w) over (partition by stack_id)')} as w from psfm", _KER + ", wts as (select stack_id, frame_id, (1 / power(noise_sigma, 2)) / sum(1 / power(noise_sigma, 2)) over (partition by stack_id) as weight from frames), " + _PSFM))
@@ -180,8 +179,7 @@ def pixel_map_jacobian(t):
 
 _DRZ = """dz as (select stack_id, round_even(xo + dxdx * u + dxdy * v, 0)::bigint as ox, round_even(yo + dydx * u + dydy * v, 0)::bigint as oy, value, variance, area, ow, oh, fw
    from (select mq.*, fw from mq join dw using (stack_id, frame_id)) m, (select ((i + 0.5) / 5 - 0.5)::double * 0.7::double as u from range(5) r(i)) a, (select ((i + 0.5) / 5 - 0.5)::double * 0.7::double as v from range(5) r(i)) b),
- ac as (select stack_id, ox, oy, sum(fw / 25 * value / area) as num, sum(fw / 25) as weight, sum(power(fw / 25, 2) * variance / (area * area)) as vn, count(*) as context from dz where ox between 0 and ow - 1 and oy between 0 and oh - 1 group by all)"""
-_DRZ = _DRZ.replace("sum(power(fw / 25, 2) *", "sum(fw / 25 * fw / 25 *")
+ ac as (select stack_id, ox, oy, sum(fw / 25 * value / area) as num, sum(fw / 25) as weight, sum(fw / 25 * fw / 25 * variance / (area * area)) as vn, count(*) as context from dz where ox between 0 and ow - 1 and oy between 0 and oh - 1 group by all)"""
 _DW = "dw as (select stack_id, frame_id, (1 / (noise_sigma * noise_sigma)) / max(1 / (noise_sigma * noise_sigma)) over (partition by stack_id) as fw from frames)"
 
 

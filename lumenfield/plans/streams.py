@@ -118,7 +118,6 @@ def first_requests_stream(t):
     return _drained(t, d, "requests").select("user_id", "k")
 
 
-_SUM = "sum(d) over (partition by owner_id order by ts, change_id)"
 _STORE = check("storage_changes", """select change_id, owner_id, (p - least(0, min(p) over (partition by owner_id order by ts, change_id)))::bigint as used_bytes from (select *, sum(d) over (partition by owner_id order by ts, change_id) as p from (select *,
  case when change = 'insert' and not was_deleted then coalesce(bytes, 0) when change in ('delete', 'soft_delete') and not was_deleted then -coalesce(bytes, 0) when change = 'restore' and was_deleted then coalesce(bytes, 0) else 0 end as d from storage_changes))""")
 
@@ -165,8 +164,8 @@ def job_states_stream(t):
     return _drained(t, flows.job_state_stream(p), "states").select("job_id", _stamp("ts").alias("at"), "status")
 
 
-@query("ingest_stream", "T1", check("photos analysis activity", f"""select photo_id, case when a.photo_id is not null then 'ready' else 'failed' end as status, {s6(_QD[0])} as quality
- from joined left join (select photo_id as aid, photo_id from analysis) a on a.aid = joined.photo_id where status <> 'ready' and joined.photo_id in (select photo_id from activity)""".replace("select photo_id, case", "select joined.photo_id, case"), _HA + ", " + _METRICS))
+@query("ingest_stream", "T1", check("photos analysis activity", f"""select joined.photo_id, case when a.photo_id is not null then 'ready' else 'failed' end as status, {s6(_QD[0])} as quality
+ from joined left join (select photo_id as aid, photo_id from analysis) a on a.aid = joined.photo_id where status <> 'ready' and joined.photo_id in (select photo_id from activity)""", _HA + ", " + _METRICS))
 def ingest_stream(t):
     m = _live(t, "activity").select("photo_id", c("ts").alias("enqueued_at"))
     d = flows.ingest_stream(m, t.photos.drop("created_at"), t.analysis)
