@@ -45,7 +45,7 @@ def cells_in_zone(zone_id: Column, height: float) -> Column:
 
 def cell(lon: Column, zone_id: Column, height: float) -> Column:
     n = cells_in_zone(zone_id, height)
-    wrapped = lon - F.floor(lon / 360.0) * 360.0
+    wrapped = F.pmod(lon, F.lit(360.0))
     return F.least(n - 1, F.floor(wrapped / 360.0 * n).cast("int"))
 
 

@@ -49,8 +49,13 @@ def clamp(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
     return F.when(x.isNotNull(), F.least(F.lit(hi), F.greatest(F.lit(lo), x)))
 
 
+def bounded(x: Column, lo: float = -1.0, hi: float = 1.0) -> Column:
+    """Clamp for expressions whose nulls the caller handles; names its input once."""
+    return F.least(F.lit(hi), F.greatest(F.lit(lo), x))
+
+
 def wrap360(x: Column) -> Column:
-    return x - F.floor(x / 360.0) * 360.0
+    return F.pmod(x, F.lit(360.0))
 
 
 def _sind(x: Column) -> Column:
@@ -101,9 +106,13 @@ def alt_az(ra: Column, dec: Column, lat: Column, lon: Column, when: Column) -> C
     az = F.atan2(
         -_cosd(dec) * _sind(ha), _sind(dec) * _cosd(lat) - _cosd(dec) * _sind(lat) * _cosd(ha)
     )
-    return F.struct(
-        F.degrees(F.asin(clamp(sin_alt, -1.0, 1.0))).alias("altitude_deg"),
-        wrap360(F.degrees(az)).alias("azimuth_deg"),
+    known = ra.isNotNull() & dec.isNotNull() & lat.isNotNull() & lon.isNotNull() & when.isNotNull()
+    return F.when(
+        known,
+        F.struct(
+            F.degrees(F.asin(bounded(sin_alt))).alias("altitude_deg"),
+            wrap360(F.degrees(az)).alias("azimuth_deg"),
+        ),
     )
 
 
@@ -173,7 +182,7 @@ def with_moon(df, when: str = "captured_at_utc", name: str = "moon"):
     )
     lon, lat, eps = F.col("_lon"), F.col("_lat"), F.col("_eps")
     sun_lon, sun_r = F.col("_sun.lon_deg"), F.col("_sun.radius_au")
-    df = df.withColumn("_elong", F.acos(clamp(_cosd(lat) * _cosd(lon - sun_lon), -1.0, 1.0)))
+    df = df.withColumn("_elong", F.acos(bounded(_cosd(lat) * _cosd(lon - sun_lon))))
     elong = F.col("_elong")
     df = df.withColumn(
         "_phase",
@@ -186,7 +195,7 @@ def with_moon(df, when: str = "captured_at_utc", name: str = "moon"):
             )
         ).alias("ra_deg"),
         F.degrees(
-            F.asin(clamp(_sind(lat) * _cosd(eps) + _cosd(lat) * _sind(eps) * _sind(lon), -1.0, 1.0))
+            F.asin(bounded(_sind(lat) * _cosd(eps) + _cosd(lat) * _sind(eps) * _sind(lon)))
         ).alias("dec_deg"),
         lon.alias("ecliptic_lon_deg"),
         lat.alias("ecliptic_lat_deg"),

@@ -18,7 +18,7 @@ def _pad2(x: Column) -> Column:
 
 def format_ra(deg: Column) -> Column:
     """``10h 42m 44.51s``; hundredths are counted as whole numbers, so rounding carries over."""
-    wrapped = deg - F.floor(deg / 360.0) * 360.0
+    wrapped = F.pmod(deg, F.lit(360.0))
     n = F.floor(wrapped / 15.0 * 360000.0 + 0.5) % F.lit(24 * 360000)
     sec = n % 6000
     return F.concat(

@@ -43,7 +43,7 @@ def pixel_to_sky(g: Grid, x: Column, y: Column) -> tuple[Column, Column]:
     sd, cd = F.sin(F.radians(g["dec"])), F.cos(F.radians(g["dec"]))
     ra = g["ra"] + F.degrees(F.atan2(xi, cd - eta * sd))
     dec = F.degrees(F.atan2(sd + eta * cd, F.hypot(xi, cd - eta * sd)))
-    return ra - F.floor(ra / 360.0) * 360.0, dec
+    return F.pmod(ra, F.lit(360.0)), dec
 
 
 def sky_to_pixel(g: Grid, ra: Column, dec: Column) -> tuple[Column, Column]:

@@ -11,6 +11,7 @@ from lumenfield.functions import photometry as P
 from lumenfield.operators.pixels import FRAME
 from lumenfield.operators.quantile import exact_quantiles, median_mad
 from lumenfield.operators.selection import rank_within
+from lumenfield.operators.skew import spread
 from lumenfield.session import reliable_checkpoint
 
 TILE = 256
@@ -60,7 +61,7 @@ def label(flagged: DataFrame, tile: int = TILE) -> DataFrame:
         out = pdf.drop(columns=["_tx", "_ty"])
         return out.assign(label=_tile_roots(pdf["x"].to_numpy(), pdf["y"].to_numpy()))
 
-    local = d.groupBy(*FRAME, "_tx", "_ty").applyInPandas(run, f"{names}, label bigint")
+    local = spread(d, *FRAME, "_tx", "_ty").groupBy(*FRAME, "_tx", "_ty").applyInPandas(run, f"{names}, label bigint")
     return _merge_tiles(reliable_checkpoint(local), tile)
 
 

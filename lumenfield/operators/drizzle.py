@@ -116,22 +116,37 @@ def with_pixel_map(pixels: DataFrame, frames: DataFrame, grids: DataFrame) -> Da
         *[v.alias(k) for k, v in wcs.homography(wcs.frame_grid(), out_grid()).items()],
     )
     d = pixels.join(reliable_checkpoint(maps), FRAME)
-    x, y = F.col("x").cast("double"), F.col("y").cast("double")
-    lo_x, hi_x = F.greatest(x - 1, F.lit(0.0)), F.least(x + 1, F.col("width") - 1.0)
-    lo_y, hi_y = F.greatest(y - 1, F.lit(0.0)), F.least(y + 1, F.col("height") - 1.0)
-    xo, yo = wcs.apply_map(x, y)
-    (ax, ay), (bx, by) = wcs.apply_map(lo_x, y), wcs.apply_map(hi_x, y)
-    (cx, cy), (ex, ey) = wcs.apply_map(x, lo_y), wcs.apply_map(x, hi_y)
-    step_x, step_y = hi_x - lo_x, hi_y - lo_y
+    c, one, zero = F.col, F.lit(1.0), F.lit(0.0)
+    dx, dy = c("x") - c("hpx"), c("y") - c("hpy")
     d = d.withColumns(
         {
-            "xo": xo, "yo": yo,
-            "dxdx": (bx - ax) / step_x, "dydx": (by - ay) / step_x,
-            "dxdy": (ex - cx) / step_y, "dydy": (ey - cy) / step_y,
+            "_w": c("hw0") + c("hwx") * dx + c("hwy") * dy,
+            "_X": c("hX0") + c("hXx") * dx + c("hXy") * dy,
+            "_Y": c("hY0") + c("hYx") * dx + c("hYy") * dy,
+            "_l": F.when(c("x") > 0, one).otherwise(zero),
+            "_r": F.when(c("x") < c("width") - 1, one).otherwise(zero),
+            "_d": F.when(c("y") > 0, one).otherwise(zero),
+            "_u": F.when(c("y") < c("height") - 1, one).otherwise(zero),
+        }
+    )
+
+    def step(axis: str, coef: str, back: str, ahead: str) -> Column:
+        num, den = c("_" + axis), c("_w")
+        hi = (num + c("h" + axis + coef) * c(ahead)) / (den + c("hw" + coef) * c(ahead))
+        lo = (num - c("h" + axis + coef) * c(back)) / (den - c("hw" + coef) * c(back))
+        return (hi - lo) / (c(back) + c(ahead))
+
+    d = d.withColumns(
+        {
+            "xo": c("hqx") + c("_X") / c("_w"), "yo": c("hqy") + c("_Y") / c("_w"),
+            "dxdx": step("X", "x", "_l", "_r"), "dydx": step("Y", "x", "_l", "_r"),
+            "dxdy": step("X", "y", "_d", "_u"), "dydy": step("Y", "y", "_d", "_u"),
         }
     )
     det = F.abs(F.col("dxdx") * F.col("dydy") - F.col("dxdy") * F.col("dydx"))
-    return d.withColumn("area", F.when(det > 1e-12, det)).drop("width", "height", *wcs.MAP_COLUMNS)
+    return d.withColumn("area", F.when(det > 1e-12, det)).drop(
+        "width", "height", "_w", "_X", "_Y", "_l", "_r", "_d", "_u", *wcs.MAP_COLUMNS
+    )
 
 
 def drizzle(
@@ -150,20 +165,22 @@ def drizzle(
         d = d.join(weights.select(*FRAME, F.col("weight").alias("fw")), FRAME)
     else:
         d = d.withColumn("fw", F.lit(1.0))
-    offs = [((i + 0.5) / subsample - 0.5) * pixfrac for i in range(subsample)]
-    drops = []
-    for u in offs:
-        for v in offs:
-            sx = F.col("xo") + F.col("dxdx") * u + F.col("dxdy") * v
-            sy = F.col("yo") + F.col("dydx") * u + F.col("dydy") * v
-            drops.append(F.struct(F.rint(sx).cast("bigint").alias("ox"), F.rint(sy).cast("bigint").alias("oy")))
+    points = [
+        (((i + 0.5) / subsample - 0.5) * pixfrac, ((j + 0.5) / subsample - 0.5) * pixfrac)
+        for i in range(subsample) for j in range(subsample)
+    ]
+    # one explode of literals; the position of a sub-drop is a short formula behind it
+    drop = F.explode(F.array(*[F.struct(F.lit(u).alias("u"), F.lit(v).alias("v")) for u, v in points]))
+    d = d.withColumn("p", drop)
+    sx = F.col("xo") + F.col("dxdx") * F.col("p.u") + F.col("dxdy") * F.col("p.v")
+    sy = F.col("yo") + F.col("dydx") * F.col("p.u") + F.col("dydy") * F.col("p.v")
     d = d.select(
         "stack_id", "out_width", "out_height", "fw", F.col("value").alias("flux"), "area", "variance",
-        F.explode(F.array(*drops)).alias("h"),
+        F.rint(sx).cast("bigint").alias("ox"), F.rint(sy).cast("bigint").alias("oy"),
     )
-    d = d.where(F.col("h.ox").between(0, F.col("out_width") - 1) & F.col("h.oy").between(0, F.col("out_height") - 1))
+    d = d.where(F.col("ox").between(0, F.col("out_width") - 1) & F.col("oy").between(0, F.col("out_height") - 1))
     share = F.col("fw") / float(subsample * subsample)
-    return d.groupBy("stack_id", F.col("h.ox").alias("ox"), F.col("h.oy").alias("oy")).agg(
+    return d.groupBy("stack_id", "ox", "oy").agg(
         F.sum(share * F.col("flux") / F.col("area")).alias("num"),
         F.sum(share).alias("weight"),
         F.sum(share * share * F.greatest("variance", F.lit(P.VARIANCE_FLOOR)) / F.pow("area", F.lit(2.0))).alias("var_num"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfield.functions.licences import block_reason, with_licence_flags
@@ -129,16 +129,21 @@ def plan_stacks(jobs: DataFrame, photos: DataFrame) -> DataFrame:
 
 
 def provenance_rows(chosen: DataFrame, photos: DataFrame) -> DataFrame:
-    """Selected and rejected rows with the licence and author of the photo at this moment."""
-    picked = selection.with_weights(chosen.where("is_selected")).select(
-        "job_id", "photo_id", "weight", F.lit(False).alias("was_rejected"),
-        F.lit(None).cast("string").alias("rejection_reason"), "rank",
-    )
-    left = chosen.where("not is_selected").select(
-        "job_id", "photo_id", F.lit(0.0).alias("weight"), F.lit(True).alias("was_rejected"),
-        F.col("reason").alias("rejection_reason"), "rank",
+    """Selected and rejected rows with the licence and author of the photo at this moment.
+
+    Both kinds come from one pass over the choice: a job's candidates are bounded, so its quality
+    total is a window over them and the choice is never computed twice.
+    """
+    job = Window.partitionBy("job_id")
+    picked = F.col("is_selected")
+    total = F.sum(F.when(picked, F.col("quality"))).over(job)
+    n = F.count(F.when(picked, F.lit(1))).over(job)
+    share = F.when(total > 0, F.try_divide(F.col("quality"), total)).otherwise(1.0 / n)
+    rows = chosen.select(
+        "job_id", "photo_id", F.when(picked, share).otherwise(0.0).alias("weight"),
+        (~picked).alias("was_rejected"), F.col("reason").alias("rejection_reason"), "rank",
     )
-    return freeze(picked.unionByName(left), photos)
+    return freeze(rows, photos)
 
 
 def freeze(rows: DataFrame, photos: DataFrame) -> DataFrame:

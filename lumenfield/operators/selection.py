@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfield.functions.optics import phase_distance, scale_distance
+from lumenfield.operators.skew import spread
 
 QUALITY_WEIGHT = 0.65
 PHASE_WEIGHT, SCALE_WEIGHT = 0.7, 0.3
@@ -49,7 +50,7 @@ def choose(pdf: pd.DataFrame, target: int, min_quality: float, weight: float) ->
         pool = ~low
     out = pd.DataFrame({"job_id": pdf["job_id"], "photo_id": pdf["photo_id"], "quality": q})
     out["reason"] = np.where(low, "too_low_quality", np.where(pool, "not_selected", "unsolved"))
-    out["rank"], out["diversity_gain"] = -1, 0.0
+    order, gain = np.full(len(q), -1), np.zeros(len(q))
     nearest = np.full(len(q), np.inf)
     free = pool.copy()
     for rank in range(min(target, int(pool.sum()))):
@@ -58,12 +59,12 @@ def choose(pdf: pd.DataFrame, target: int, min_quality: float, weight: float) ->
         else:
             score = np.where(free, weight * q + (1 - weight) * nearest, -np.inf)
         i = int(np.argmax(score))
-        out.loc[i, ["rank", "diversity_gain"]] = [rank, 1.0 if rank == 0 else nearest[i]]
+        order[i], gain[i] = rank, 1.0 if rank == 0 else nearest[i]
         free[i] = False
         d = _distances(x, y, scale, i) if solved[i] else np.zeros(len(q))
         nearest = np.minimum(nearest, np.where(solved, d, 0.0))
-    out["is_selected"] = out["rank"] >= 0
-    out["rank"] = out["rank"].astype("int32")
+    out["rank"], out["diversity_gain"] = order.astype("int32"), gain
+    out["is_selected"] = order >= 0
     out.loc[out["is_selected"], "reason"] = None
     return out[[f.split()[0] for f in SELECTION_SCHEMA.split(", ")]]
 
@@ -87,7 +88,7 @@ def select_frames(
         F.coalesce("quality_score", F.lit(UNKNOWN_QUALITY)).alias("quality"),
         "dither_phase_x", "dither_phase_y", "pixel_scale_arcsec",
     )
-    return need.groupBy("job_id").applyInPandas(run, SELECTION_SCHEMA)
+    return spread(need, "job_id").groupBy("job_id").applyInPandas(run, SELECTION_SCHEMA)
 
 
 def with_weights(rows: DataFrame, group: str = "job_id", quality: str = "quality") -> DataFrame:

@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 SALTS = 16
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by the group keys at the session's full shuffle width.
+
+    Grouped NumPy work is heavy per byte, so its partitions must not be coalesced by size; the group
+    operator that follows reuses this partitioning.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def salted_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], ident: str, salts: int = SALTS) -> DataFrame:
     """Left join to a table with one row per key; the big side is spread by a salt of its id."""
     many = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

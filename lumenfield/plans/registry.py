@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfield.functions.licences import LICENCES, licence_table
+from lumenfield.operators.skew import spread
 from lumenfield.session import configure, work_folder
 from lumenfield.sources.derive import TABLES
 from lumenfield.sources.dialect import CheckText, SparkText
@@ -46,7 +47,7 @@ class Catalogue:
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _PATHS:
             path = work_folder(self.spark, name)
-            self._derived(name).write.parquet(path)
+            spread(self._derived(name), "stack_id", "frame_id").write.parquet(path)
             _PATHS[key] = path
         return self.spark.read.parquet(_PATHS[key])
 

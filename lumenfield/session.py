@@ -16,6 +16,8 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    # HotSpot never compiles methods above 8000 bytes of bytecode; long formulas are better split
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     sc = spark.sparkContext
     if sc.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
         spark.conf.set("spark.sql.shuffle.partitions", str(sc.defaultParallelism))
