@@ -68,7 +68,6 @@ def manifest_rejection(licence: Column, consent: Column) -> Column:
         | F.contains(upper, F.lit("-ND-"))
         | F.endswith(upper, F.lit("-ND"))
     )
-    return F.when(~consent, "owner disabled allow_derivatives_in_stacks").when(
-        (code != "") & forbidden,
-        F.concat(F.lit("licence "), code, F.lit(" forbids derivative works; a coadd is a derivative")),
+    return F.when(~consent, "stack_opt_out").when(
+        (code != "") & forbidden, F.concat(F.lit("no_derivatives: "), code)
     )

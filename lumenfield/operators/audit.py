@@ -12,6 +12,7 @@ from lumenfield.operators import kernels as K
 from lumenfield.operators.detect import local_maxima
 from lumenfield.operators.pixels import CELL, FRAME, robust_sigma
 from lumenfield.operators.quantile import exact_quantiles
+from lumenfield.operators.skew import spread
 from lumenfield.session import reliable_checkpoint
 
 STACK = ["stack_id"]
@@ -26,6 +27,8 @@ def dense(image: DataFrame, size: DataFrame, keys: list[str] | None = None) -> D
     keys = keys or STACK
     one = F.lit(1).cast("bigint")
     grid = size.withColumn("x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("width") - one)))
+    # columns are dealt out before they unfold, so one large image is laid out by many tasks
+    grid = spread(grid, *keys, "x")
     grid = grid.withColumn("y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("height") - one)))
     d = grid.select(*keys, "x", "y").join(image, [*keys, "x", "y"], "left")
     return d.fillna(0.0)

@@ -11,6 +11,7 @@ from lumenfield.functions import wcs
 from lumenfield.functions import photometry as P
 from lumenfield.operators.pixels import FRAME, robust_sigma
 from lumenfield.operators.quantile import exact_quantiles
+from lumenfield.operators.skew import spread
 from lumenfield.session import reliable_checkpoint
 
 
@@ -224,6 +225,7 @@ def reproject(pixels: DataFrame, frames: DataFrame, grids: DataFrame) -> DataFra
     d = reliable_checkpoint(d)
     one = F.lit(1).cast("bigint")
     d = d.withColumn("ox", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("out_width") - one)))
+    d = spread(d, *FRAME, "ox")
     d = d.withColumn("oy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("out_height") - one)))
     ix, iy = wcs.apply_map(F.col("ox").cast("double"), F.col("oy").cast("double"))
     d = d.select(*FRAME, "ox", "oy", ix.alias("ix"), iy.alias("iy"), "width", "height")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from lumenfield.functions import sky
 from lumenfield.plans.registry import s6
 
-__all__ = ["s6", "s3", "vincenty", "lambert", "jd", "gmst", "hour_angle", "altitude", "moon_cte"]
+def s1(e: str) -> str:
+    return f"(floor(({e}) * 10 + 0.5001) / 10)"
 
 
 def s3(e: str) -> str:

@@ -69,9 +69,9 @@ _ENTRY = """entries as (select photo_id, case when photo_id % 9 = 0 then ' cc-by
   allow_derivatives_in_stacks as consent from photos)"""
 
 
-@query("manifest_gate", "P21", check("photos", """select photo_id, case when not consent then 'owner disabled allow_derivatives_in_stacks'
+@query("manifest_gate", "P21", check("photos", """select photo_id, case when not consent then 'stack_opt_out'
   when trim(coalesce(license, '')) <> '' and (trim(license) in ('CC-BY-ND-4.0', 'CC-BY-NC-ND-4.0', 'ND', 'ARR', 'all-rights-reserved')
-   or upper(license) like '%-ND-%' or upper(trim(license)) like '%-ND') then 'licence ' || trim(license) || ' forbids derivative works; a coadd is a derivative' end as reason from entries""", _ENTRY))
+   or upper(license) like '%-ND-%' or upper(trim(license)) like '%-ND') then 'no_derivatives: ' || trim(license) end as reason from entries""", _ENTRY))
 def manifest_gate(t):
     k = c("photo_id")
     code = F.when(k % 9 == 0, " cc-by-nd").when(k % 14 == 0, None).otherwise(c("license"))

@@ -88,6 +88,12 @@ def r6(col: Column | str) -> Column:
     return F.floor(c * 1e6 + 0.5001) / F.lit(1e6)
 
 
+def r1(col: Column | str) -> Column:
+    """One decimal, for values interpolated at positions that pass through trigonometry."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.floor(c * 10.0 + 0.5001) / F.lit(10.0)
+
+
 def r3(col: Column | str) -> Column:
     """Three decimals, for values that pass through chains of trigonometry."""
     c = F.col(col) if isinstance(col, str) else col

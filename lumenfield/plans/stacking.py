@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenfield.operators import drizzle, fourier, hdr, kernels, pixels as px, stack
-from lumenfield.plans.checks import s3, s6
+from lumenfield.plans.checks import s1, s3, s6
 from lumenfield.plans.image import _KER, pixel_sql, sky_sql
-from lumenfield.plans.registry import check, query, r3, r6, round_all
+from lumenfield.plans.registry import check, query, r1, r3, r6, round_all
 
 c = F.col
 FR = ["stack_id", "frame_id"]
@@ -206,10 +206,10 @@ _REP = f"""og as (select f.*, g.scale, ra0, dec0, ow, oh, ox, unnest(range(oh))
   from oq q join (select * from pixels where {GOOD}) p on p.stack_id = q.stack_id and p.frame_id = q.frame_id and p.x between qx and qx + 1 and p.y between qy and qy + 1 group by all)"""
 
 
-@query("reprojected_frames", "X5", check("pixels frames", f"select stack_id, frame_id, ox, oy, {s3('value')} as value, {s3('variance')} as variance from rp where w > 1 - 1e-9", _GRID + ", " + _REP))
+@query("reprojected_frames", "X5", check("pixels frames", f"select stack_id, frame_id, ox, oy, {s1('value')} as value, {s1('variance')} as variance from rp where w > 1 - 1e-9", _GRID + ", " + _REP))
 def reprojected_frames(t):
     d = drizzle.reproject(t.pixels, t.frames, drizzle.output_grids(t.frames))
-    return d.select(*FR, "ox", "oy", r3("value").alias("value"), r3("variance").alias("variance"))
+    return d.select(*FR, "ox", "oy", r1("value").alias("value"), r1("variance").alias("variance"))
 
 
 @query("reprojected_noise", "X5")
