@@ -92,12 +92,30 @@ def job_request_rules(t):
     return d.select("job_id", F.array_join("problems", ",").alias("problems"))
 
 
-@query("plan_stacks", "W2 X1 S10 J8 U1 A12")
+_CAND = f"""best as (select *, row_number() over (partition by object_id order by quality_score desc nulls last, photo_id) as rk from photos
+   where {VIS} and is_plate_solved and object_id is not null and (quality_score is null or quality_score >= 0)),
+ cand as (select j.job_id, j.target_count as target, b.* from jobs j join best b using (object_id) where rk <= least(2000, 4 * j.target_count + 200)),
+ pool0 as (select c.*, coalesce(quality_score, 0.5) as q, dither_phase_x is not null and dither_phase_y is not null and coalesce(pixel_scale_arcsec, 0) > 0 as solved from cand c)"""
+_TOR = "sqrt(power(least(abs(e.x - b.x), 1 - abs(e.x - b.x)), 2) + power(least(abs(e.y - b.y), 1 - abs(e.y - b.y)), 2))"
+_DIST = f"case when e.solved and b.solved then 0.7::double * least(1, {_TOR} / sqrt(0.5::double)) + 0.3::double * least(1, abs(log2(e.s / b.s)) / 2) else 0 end"
+_GREEDY = f"""pool as (select *, solved or count(*) filter (solved) over (partition by job_id) < target as inpool from pool0 join licences on code = license where allows_derivatives and allow_derivatives_in_stacks),
+ r as (select job_id, target, 0 as step, list({{'id': photo_id, 'q': q, 'x': dither_phase_x, 'y': dither_phase_y, 's': pixel_scale_arcsec, 'solved': solved, 'n': 1e300, 'sel': -1}} order by photo_id) as c from pool where inpool group by all
+  union all select job_id, target, step + 1, list_transform(c, lambda e: {{'id': e.id, 'q': e.q, 'x': e.x, 'y': e.y, 's': e.s, 'solved': e.solved, 'n': least(e.n, {_DIST}), 'sel': case when e.id = b.id then step else e.sel end}})
+   from (select *, list_reduce(list_filter(c, lambda e: e.sel < 0), lambda f, g: case when case when step = 0 then g.q else 0.65::double * g.q + 0.35::double * g.n end > case when step = 0 then f.q else 0.65::double * f.q + 0.35::double * f.n end then g else f end) as b
+     from r where step < target and len(list_filter(c, lambda e: e.sel < 0)) > 0)),
+ fin as (select job_id, unnest(arg_max(c, step)) as e from r group by 1),
+ picks as (select job_id, e.id as photo_id, e.sel as rank, e.q as q from fin where e.sel >= 0)"""
+
+
+@query("plan_stacks", "W2 X1 S10 J8 U1 A12", check("photos jobs licences", f"""select job_id, photo_id, {s6("case when picks.rank is null then 0 when sum(picks.q) over w > 0 then picks.q / sum(picks.q) over w else 1 / count(picks.q) over w end")} as weight, picks.rank is null as was_rejected,
+ case when picks.rank is null then case when inpool then 'not_selected' else 'unsolved' end end as rejection_reason, coalesce(picks.rank, -1) as rank, license as snapshot_license, attribution_name as snapshot_attribution_name
+ from pool left join picks using (job_id, photo_id) window w as (partition by job_id, picks.rank is null)""", _CAND + ", " + _GREEDY))
 def plan_stacks(t):
-    return round_all(jobs.plan_stacks(t.jobs, t.photos))
+    return round_all(jobs.plan_stacks(t.jobs, t.photos).withColumn("rank", c("rank").cast("bigint")))
 
 
-@query("selection_partition", "U5")
+@query("selection_partition", "U5", check("photos jobs", """select job_id, n as candidates, least(target, case when ns >= target then ns else ne end) as selected, n - least(target, case when ns >= target then ns else ne end) as rejected, 0::bigint as both
+ from (select job_id, any_value(target) as target, count(*) as n, count(*) filter (q >= 0.3) as ne, count(*) filter (q >= 0.3 and solved) as ns from pool0 group by 1)""", _CAND))
 def selection_partition(t):
     """Per job: candidates, selected, rejected, and both at once (always zero)."""
     cand = selection.job_candidates(t.jobs, t.photos)
