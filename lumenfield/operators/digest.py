@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 FANOUT = 1000
 
 
-def _level(df: DataFrame, groups: list[str], key: str, text: str) -> DataFrame:
+def level_digest(df: DataFrame, groups: list[str], key: str, text: str) -> DataFrame:
     ordered = F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col(text).alias("v"))))
     joined = F.concat_ws(",", F.transform(ordered, lambda s: s["v"]))
     return df.groupBy(*groups).agg(F.sha2(joined, 256).alias("digest"), F.count("*").alias("n"))
@@ -25,7 +25,7 @@ def tree_digest(
     d = df.select(*groups, F.col(key).cast("bigint").alias("_k"), text.alias("digest"))
     for _ in range(levels):
         d = d.withColumn("_b", F.floor(F.col("_k") / FANOUT).cast("bigint"))
-        d = _level(d, [*groups, "_b"], "_k", "digest").select(
+        d = level_digest(d, [*groups, "_b"], "_k", "digest").select(
             *groups, F.col("_b").alias("_k"), "digest"
         )
     return d.select(*groups, "digest")
@@ -34,8 +34,8 @@ def tree_digest(
 def pixel_checksums(pixels: DataFrame, value: str = "value") -> DataFrame:
     """Checksum per frame over rounded, ordered values: image rows first, then the frame."""
     text = F.concat_ws(":", F.col("x"), F.floor(F.col(value) * 1e4 + 0.5))
-    rows = _level(
+    rows = level_digest(
         pixels.withColumn("_v", text), ["stack_id", "frame_id", "y"], "x", "_v"
     )
     frames = rows.withColumn("_v", F.concat_ws(":", "y", "digest")).select("stack_id", "frame_id", "y", "_v")
-    return _level(frames, ["stack_id", "frame_id"], "y", "_v").select("stack_id", "frame_id", "digest")
+    return level_digest(frames, ["stack_id", "frame_id"], "y", "_v").select("stack_id", "frame_id", "digest")

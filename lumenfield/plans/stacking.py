@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenfield.operators import drizzle, fourier, hdr, kernels, pixels as px, stack
+from lumenfield.sources import tables
 from lumenfield.plans.checks import s1, s3, s6
 from lumenfield.plans.image import _KER, pixel_sql, sky_sql
 from lumenfield.plans.registry import check, query, r1, r3, r6, round_all
@@ -117,6 +118,21 @@ for _m in stack.METHODS:
     query("coadd_" + _m.replace("-", "_"), "A16", _combine_sql(_m))(_combine(_m))
 
 
+_PLANES = """cw as (select stack_id, x, y, sum(weight * value) / sum(weight) as image, sum(weight) as weight, sqrt(sum(weight * weight * variance)) / sum(weight) as sigma from p0 where keep group by all),
+ ca as (select z.stack_id, z.x, z.y, coalesce(image, 0) as image, coalesce(weight, 0) as weight, coalesce(sigma, 0) as sigma from (select distinct stack_id, x, y from p0) z left join cw using (stack_id, x, y)),
+ pl as (select stack_id, x, y, 'SCI' as plane, image as value from ca union all select stack_id, x, y, 'WEIGHT', weight from ca union all select stack_id, x, y, 'UNCERT', sigma from ca)"""
+
+
+@query("result_planes", "S7", check("pixels frames", f"select stack_id, x, y, plane, {s6('value')} as value from pl", _BASE + ", " + _PLANES))
+def result_planes(t):
+    return round_all(tables.result_planes(stack.combine(weighted(t), t.frames, "mean")))
+
+
+@query("plane_checksums", "S7 A47", check("pixels frames", """select stack_id, plane, sha256(string_agg(y || ':' || d, ',' order by y)) as digest from (select stack_id, plane, y, sha256(string_agg(x || ':' || floor(value * 1e4 + 0.5001)::bigint, ',' order by x)) as d from pl group by all) group by all""", _BASE + ", " + _PLANES))
+def plane_checksums(t):
+    return tables.plane_checksums(tables.result_planes(stack.combine(weighted(t), t.frames, "mean")))
+
+
 @query("filled_pixels", "A25", check("pixels frames", f"""select stack_id, frame_id, x, y, {s6('case when good then value else coalesce(sum(value / variance) filter (good) over w / sum(1 / variance) filter (good) over w, 0) end')} as value from p0 window w as (partition by stack_id, x, y)""", _BASE))
 def filled_pixels(t):
     return stack.fill_masked(t.pixels, t.frames).select(*FR, "x", "y", r6("value").alias("value"))

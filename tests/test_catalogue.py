@@ -15,7 +15,7 @@ from lumenfield.functions.licences import LICENCES
 from lumenfield.functions.privacy import with_published_location
 from lumenfield.operators import crossmatch, jobs, records, search
 from lumenfield.operators.search import Near, PhotoSearch
-from lumenfield.sources import files, manifest
+from lumenfield.sources import files, manifest, tables
 
 
 @pytest.mark.parametrize(
@@ -75,8 +75,8 @@ def test_cone_ranges_never_drop_a_match(spark, ra, dec, r):
 
 
 def test_cone_reaches_the_parquet_scan(cat, folder):
-    cat.photos.write.mode("overwrite").parquet(folder + "/photos")
-    stored = cat.spark.read.parquet(folder + "/photos")
+    tables.write_photos(cat.photos, folder + "/photos")
+    stored = tables.read_table(cat.spark, "photos", folder + "/photos")
     cat.spark.conf.set("spark.sql.maxMetadataStringLength", 4000)
     plan = search.apply_filters(stored, PhotoSearch(ra=10.0, dec=20.0, radius=2.0)).select("photo_id")
     text = plan._jdf.queryExecution().executedPlan().toString()
@@ -179,6 +179,30 @@ def test_manifest_forms(spark, folder):
     assert manifest.duplicate_ids(m.unionByName(m)).count() == 3
 
 
+def test_result_sink(cat, folder):
+    coadd = cat.pixels.groupBy("stack_id", "x", "y").agg(F.avg("value").alias("image"), F.count("*").cast("double").alias("weight"), F.lit(1.0).alias("sigma"))
+    psf = cat.spark.createDataFrame([(0, 0, 0, 1.0)], "stack_id long, dx int, dy int, w double")
+    cards = tables.header_cards(cat.frames.select("stack_id").distinct(), "stack_id", {"methodname": F.lit("σ-clip — ok"), "n": F.lit(7)})
+    planes = tables.result_planes(coadd, psf)
+    sums = tables.write_result(planes, cards, folder + "/result").collect()
+    back = cat.spark.read.parquet(folder + "/result/planes")
+    assert sorted(sums) == sorted(tables.plane_checksums(back).collect())
+    assert {r.plane for r in sums} == {"SCI", "WEIGHT", "UNCERT", "PSF"}
+    head = {r.card: r.value for r in cat.spark.read.parquet(folder + "/result/header").collect()}
+    assert head == {"METHODNA": "sigma-clip -- ok", "N": "7"}
+
+
+def test_provenance_is_appended(cat, folder):
+    rows = jobs.plan_stacks(cat.jobs, cat.photos)
+    n = rows.count()
+    tables.append_inputs(rows, folder + "/inputs")
+    tables.append_inputs(rows, folder + "/inputs")
+    stored = tables.read_table(cat.spark, "inputs", folder + "/inputs")
+    assert stored.count() == 2 * n
+    share = stored.where("not was_rejected").groupBy("job_id").agg(F.sum("weight").alias("w")).collect()
+    assert all(abs(r.w - 2) < 1e-9 for r in share)
+
+
 def test_record_sinks(cat, folder):
     rows = records.attribution_rows(cat.job_inputs, cat.photos.select("photo_id", "attribution_name"))
     j = cat.jobs.withColumn("resulting_license", F.lit("CC-BY-4.0"))
