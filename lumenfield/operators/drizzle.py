@@ -28,7 +28,8 @@ def dither_diversity(frames: DataFrame) -> DataFrame:
     )
     d = solved.join(first, "stack_id")
     sky = wcs.pixel_to_sky(wcs.frame_grid("r."), F.col("r.width") / 2.0, F.col("r.height") / 2.0)
-    px, py = wcs.sky_to_pixel(wcs.frame_grid(), *sky)
+    # snapped to a millionth of a pixel, so a point on a bin edge falls the same way on every run
+    px, py = (F.floor(v * 1e6 + 0.5) / F.lit(1e6) for v in wcs.sky_to_pixel(wcs.frame_grid(), *sky))
     k = F.greatest(F.lit(2), F.ceil(F.sqrt(F.col("n"))).cast("int"))
     d = d.select("stack_id", "n", k.alias("k"), px.alias("px"), py.alias("py"))
     cell = lambda v: F.least(F.col("k") - 1, F.floor((F.col(v) - F.floor(v)) * F.col("k"))).cast("int")

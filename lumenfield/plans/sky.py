@@ -9,7 +9,7 @@ from lumenfield.functions.quality import with_quality
 from lumenfield.operators import ingest
 from lumenfield.plans import checks as K
 from lumenfield.plans.checks import s6
-from lumenfield.plans.registry import check, query, r6, round_all
+from lumenfield.plans.registry import check, query, r3, r6, round_all
 
 c = F.col
 
@@ -71,14 +71,14 @@ from photos where lat_deg is not null"""))
 def geodesic_to_site(t):
     d = t.photos.where("lat_deg is not null")
     m = geo.geodesic_m(c("lat_deg"), c("lon_deg"), F.lit(-24.6), F.lit(-70.4))
-    return d.select("photo_id", (F.floor(m * 1e3 + 0.5001) / F.lit(1e3)).alias("distance_m"))
+    return d.select("photo_id", r3(m).alias("distance_m"))
 
 
 @query("sun_and_moon", "F7 F8 F9", check("photos", f"""
 select photo_id, {s6('eps')} as obliquity_deg, {s6('slon')} as sun_lon_deg, {s6('sr')} as sun_au,
   {s6('mra')} as moon_ra_deg, {s6('mdec')} as moon_dec_deg, {s6('mlon')} as moon_lon_deg,
   {s6('mlat')} as moon_lat_deg, {K.s3('mdist')} as moon_km, {s6('illum')} as illumination,
-  {s6('degrees(ph)')} as phase_deg, {s6('degrees(el)')} as elongation_deg,
+  {K.s3('degrees(ph)')} as phase_deg, {s6('degrees(el)')} as elongation_deg,
   {s6(K.vincenty('ra_deg', 'dec_deg', 'mra', 'mdec'))} as moon_separation_deg from moon""", K.moon_cte("photos")))
 def sun_and_moon(t):
     d = sky.with_moon(t.photos.where(c("captured_at_utc").isNotNull()))
@@ -91,9 +91,9 @@ def sun_and_moon(t):
         r6("moon.ra_deg").alias("moon_ra_deg"), r6("moon.dec_deg").alias("moon_dec_deg"),
         r6("moon.ecliptic_lon_deg").alias("moon_lon_deg"),
         r6("moon.ecliptic_lat_deg").alias("moon_lat_deg"),
-        (F.floor(c("moon.distance_km") * 1e3 + 0.5001) / F.lit(1e3)).alias("moon_km"),
+        r3("moon.distance_km").alias("moon_km"),
         r6("moon.illumination").alias("illumination"),
-        r6("moon.phase_angle_deg").alias("phase_deg"),
+        r3("moon.phase_angle_deg").alias("phase_deg"),
         r6("moon.elongation_deg").alias("elongation_deg"), r6(sep).alias("moon_separation_deg"),
     )
 

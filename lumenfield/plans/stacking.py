@@ -153,7 +153,7 @@ _SKX, _SKY = pixel_sql("r.ra", "r.dec", "f.crval_ra", "f.crval_dec", "f.scale_ar
 _KX, _KY = sky_sql("cx", "cy")
 _GX, _GY = pixel_sql("c.ra", "c.dec", "ra0", "dec0", "scale", "8::double", "8::double")
 _GRID = f"""sol as (select * from frames where is_solved), rf as (select stack_id, arg_min(ra, frame_id) as ra, arg_min(dec, frame_id) as dec, count(*) as n from (select *, {_CRA} as ra, {_CDEC} as dec from sol) group by 1),
- ph as (select f.stack_id, n, greatest(2, ceil(sqrt(n))::int) as k, {_SKX} as px, {_SKY} as py from sol f join rf r on r.stack_id = f.stack_id),
+ ph as (select f.stack_id, n, greatest(2, ceil(sqrt(n))::int) as k, floor({_SKX} * 1e6 + 0.5) / 1e6 as px, floor({_SKY} * 1e6 + 0.5) / 1e6 as py from sol f join rf r on r.stack_id = f.stack_id),
  dd as (select stack_id, case when n < 2 then 0 else count(distinct (least(k - 1, floor((px - floor(px)) * k)), least(k - 1, floor((py - floor(py)) * k)))) / least(n, k * k)::double end as score from ph group by stack_id, n, k),
  cor as (select stack_id, frame_id, {_KX} as ra, {_KY} as dec from (select *, unnest([0, width - 1, width - 1, 0])::double as cx, unnest([0, 0, height - 1, height - 1])::double as cy from sol)),
  cen as (select stack_id, degrees(atan2(avg(cos(radians(dec)) * sin(radians(ra))), avg(cos(radians(dec)) * cos(radians(ra))))) as az,
@@ -199,11 +199,11 @@ _DRZ = """dz as (select stack_id, round_even(xo + dxdx * u + dxdy * v, 0)::bigin
 _DW = "dw as (select stack_id, frame_id, (1 / (noise_sigma * noise_sigma)) / max(1 / (noise_sigma * noise_sigma)) over (partition by stack_id) as fw from frames)"
 
 
-@query("drizzle", "A23", check("pixels frames", f"select stack_id, ox, oy, {s3('num / weight')} as image, {s6('weight')} as weight, {s3('sqrt(vn) / weight')} as sigma, context from ac", _GRID + ", " + _MAP + ", " + _DW + ", " + _DRZ))
+@query("drizzle", "A23", check("pixels frames", f"select stack_id, ox, oy, {s1('num / weight')} as image, {s6('weight')} as weight, {s3('sqrt(vn) / weight')} as sigma, context from ac", _GRID + ", " + _MAP + ", " + _DW + ", " + _DRZ))
 def drizzled(t):
     acc = drizzle.drizzle(t.pixels, t.frames, drizzle.output_grids(t.frames), weights=drizzle.drizzle_weights(t.frames))
     d = drizzle.finish(acc)
-    return d.select("stack_id", "ox", "oy", r3("image").alias("image"), r6("weight").alias("weight"), r3("sigma").alias("sigma"), "context")
+    return d.select("stack_id", "ox", "oy", r1("image").alias("image"), r6("weight").alias("weight"), r3("sigma").alias("sigma"), "context")
 
 
 @query("drizzle_coverage", "A23", check("pixels frames", f"select stack_id, {s6('count(ox) / (any_value(g.ow) * any_value(g.oh))::double')} as coverage_fraction, {s6('1 - count(ox) / (any_value(g.ow) * any_value(g.oh))::double')} as hole_fraction from grid g left join ac using (stack_id) group by 1", _GRID + ", " + _MAP + ", " + _DW + ", " + _DRZ))
