@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_SHIPPED: set[str] = set()
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -18,12 +21,30 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     # HotSpot never compiles methods above 8000 bytes of bytecode; long formulas are better split
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    ship(spark)
     sc = spark.sparkContext
     if sc.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
         spark.conf.set("spark.sql.shuffle.partitions", str(sc.defaultParallelism))
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that Python tasks can import it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="lumenfield-"), "lumenfield.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
 def local_session(app: str = "lumenfield", cores: str = "8", memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks."""
     spark = (
