@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfield.llm import bpe
-from lumenfield.session import configure
+from lumenfield.llm import bpe, token_files
+from lumenfield.session import configure, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,3 +34,11 @@ def op9_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(F.col("bpe.ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("bpe.decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every whole text written to indexed shards in key order and read back through the index."""
+    docs, place = table(spark, folder, "documents"), work_folder(spark, "token-files")
+    token_files.write(docs, public_tokenizers.path("word_bpe_49k.json"), place)
+    return token_files.read(spark, place).select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("raw").alias("ids_crc32"))
