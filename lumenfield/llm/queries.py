@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfield.llm import bpe, token_files
+from lumenfield.llm import bpe, contamination, token_files
 from lumenfield.session import configure, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,39 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     docs, place = table(spark, folder, "documents"), work_folder(spark, "token-files")
     token_files.write(docs, public_tokenizers.path("word_bpe_49k.json"), place)
     return token_files.read(spark, place).select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("raw").alias("ids_crc32"))
+
+
+@query
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that lie in a 13-word window of a benchmark item."""
+    found = contamination.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"), carry=["doc_id"])
+    return found.select(
+        "doc_id",
+        F.col("contamination.n_words").alias("n_words"),
+        contamination.n_hit(F.col("contamination.hits")).alias("n_hit"),
+        F.size("contamination.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("contamination.items", ",").cast("binary"), 256).alias("items_sha256"),
+        contamination.contaminated().alias("contaminated"),
+    )
+
+
+SQL["op5_decontamination"] = r"""
+with d as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') as w from documents),
+b as (
+  select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') as w from benchmark),
+bw as (
+  select distinct item_id, n, array_to_string(w[i + 1 : i + n], ' ') as g
+  from (select item_id, w, least(len(w), 13) as n, unnest(range(0, greatest(len(w) - 12, 1))) as i from b where len(w) > 0)),
+dw as (
+  select doc_id, i, n, array_to_string(w[i + 1 : i + n], ' ') as g
+  from (select doc_id, w, n, unnest(range(0, len(w) - n + 1)) as i from d, (select distinct n from bw) where len(w) >= n)),
+hit as (select doc_id, i, n, item_id from dw join bw using (n, g)),
+words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hit) group by doc_id),
+found as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as items from hit group by doc_id)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated
+from d left join words using (doc_id) left join found using (doc_id)
+"""
