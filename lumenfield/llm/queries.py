@@ -61,10 +61,10 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 SQL["op5_decontamination"] = r"""
 with d as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') as w from documents),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
 b as (
   select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') as w from benchmark),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
 bw as (
   select distinct item_id, n, array_to_string(w[i + 1 : i + n], ' ') as g
   from (select item_id, w, least(len(w), 13) as n, unnest(range(0, greatest(len(w) - 12, 1))) as i from b where len(w) > 0)),
