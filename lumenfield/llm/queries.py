@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfield.llm import bpe, contamination, token_files
+from lumenfield.llm import bpe, contamination, quality, token_files
 from lumenfield.session import configure, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,9 @@ select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hi
   sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated
 from d left join words using (doc_id) left join found using (doc_id)
 """
+
+
+@query
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Base statistics of every document and the verdict of the robust outlier rule."""
+    return quality.judge(table(spark, folder, "documents"))
