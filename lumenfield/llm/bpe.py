@@ -26,7 +26,7 @@ from lumenfield.llm.batches import annotate
 
 #: how byte-level tokenizers cut text into words (a fixed public pattern)
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE = 400_000
+CACHE = 800_000
 KIND = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 _NEVER = np.int64(1) << 40
 
@@ -208,10 +208,10 @@ class Encoder:
             else:
                 row = self.words(text)
             rows.append(row)
-        new = list(set().union(*rows) - self.known.keys()) if rows else []
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = list(set().union(*rows))
+        here = set().union(*rows) if rows else set()
+        new = list(here - self.known.keys())
+        if len(self.known) + len(new) > CACHE:  # keep what this block uses
+            self.known = {w: self.known[w] for w in here & self.known.keys()}
         plain = [w for w in new if w not in special]
         made = self.vocabulary.encode_words([w.encode() for w in plain])
         self.known.update(zip(plain, (",".join(map(str, x)) for x in made), strict=True))

@@ -12,6 +12,7 @@ documents.
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ from lumenfield.llm.words import mix
 
 #: ids and documents after which a shard is closed
 SHARD_IDS, SHARD_DOCS = 1 << 20, 1 << 16
-CACHE = 400_000
+CACHE = 500_000
 LOOKUP_KEYS = 1000
 _SHARD = (
     "part int, shard int, local_start long, n_ids long, n_docs int, first_key long, last_key long,"
@@ -117,7 +118,8 @@ class WordEncoder:
     """Ids of whole texts through the tokenizers library, asked once for each distinct stretch between blanks.
 
     For vocabularies whose normaliser folds white space and whose words never hold any: their text splits
-    at a blank or a line end without changing a token. The cache of stretches is bounded.
+    at a blank or a line end without changing a token. The vocabulary marks word ends with ``</w>``. The
+    caches of stretches and of their parts are bounded.
     """
 
     def __init__(self, path: str, end: int):
@@ -131,17 +133,51 @@ class WordEncoder:
         self.kind = np.dtype("<u2" if top < 1 << 16 else "<u4")
         self.end = np.array([end], self.kind).tobytes()
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: whether an id ends a word
+        self.last = np.zeros(top + 1, bool)
+        self.last[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         rows = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*rows) - self.known.keys()) if rows else []
-        if len(self.known) + len(new) > CACHE:
-            self.known, new = {}, list(set().union(*rows))
-        made = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.known.update(zip(new, (np.array(e.ids, self.kind).tobytes() for e in made), strict=True))
+        here = set().union(*rows) if rows else set()
+        new = list(here - self.known.keys())
+        if len(self.known) + len(new) > CACHE:  # keep what this block uses
+            self.known = {w: self.known[w] for w in here & self.known.keys()}
+        self._learn(new)
         look = self.known.__getitem__
         return [b"".join(map(look, row)) + self.end for row in rows]
 
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new stretches. Letters and the full stops and commas behind them are separate words to the
+        tokenizer, and plain ASCII letters may be lower-cased first, so most stretches share their letters."""
+        parts = []
+        for w in new:
+            core = w.rstrip(".,")
+            if core.isascii() and core.isalpha():
+                parts.append((core.lower(), w[len(core) :]))
+            elif unicodedata.normalize("NFC", core).lower().isalpha():  # no mark that joins what follows
+                parts.append((core, w[len(core) :]))
+            else:
+                parts.append((w, ""))
+        want = {x for pair in parts for x in pair} - self.parts.keys()
+        if len(self.parts) + len(want) > CACHE:
+            self.parts = {}
+            want = {x for pair in parts for x in pair}
+        letters = [x for x in want if x.isalpha()]
+        for i in range(0, len(letters), 1000):
+            group = letters[i : i + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, self.kind)
+            stop = np.flatnonzero(self.last[ids]) + 1
+            if len(stop) == len(group):  # each has one word end at least, so each has just one
+                self.parts.update(zip(group, (x.tobytes() for x in np.split(ids, stop[:-1])), strict=True))
+        rest = [x for x in want if x not in self.parts]
+        made = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        self.parts.update(zip(rest, (np.array(e.ids, self.kind).tobytes() for e in made), strict=True))
+        look = self.parts.__getitem__
+        self.known.update((w, look(a) + look(b)) for w, (a, b) in zip(new, parts, strict=True))
+
 
 @lru_cache(maxsize=2)
 def word_encoder(path: str, end: int) -> WordEncoder:
