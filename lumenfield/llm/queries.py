@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfield.llm import bpe, contamination, quality, token_files
+from lumenfield.llm import bpe, contamination, near, quality, token_files
 from lumenfield.session import configure, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,9 @@ from d left join words using (doc_id) left join found using (doc_id)
 def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Base statistics of every document and the verdict of the robust outlier rule."""
     return quality.judge(table(spark, folder, "documents"))
+
+
+@query
+def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return near.find(table(spark, folder, "documents"))
