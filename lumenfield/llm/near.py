@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenfield.llm.batches import annotate
+from lumenfield.llm.rows import stored
 from lumenfield.llm.words import SPACES, grams, inside, mix, pair, split
-from lumenfield.session import work_folder
 
 SHINGLE, PERCENT = 5, 75
 COLLECTIONS, WIDTH = 16, 2
@@ -94,12 +94,6 @@ def _sets(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array([h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["set"])
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = work_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 @F.pandas_udf(T.LongType())
 def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     """Size of the intersection of two sorted sets of 64-bit values."""
@@ -124,14 +118,14 @@ def links(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFram
 def components(edges: DataFrame) -> DataFrame:
     """Nodes of the edges (a, b) with the smallest node they can reach: smallest neighbour, then label of the label."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = _stored(both, "near-edges")
-    labels = _stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "near-labels")
+    both = stored(both, "near-edges")
+    labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "near-labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("least"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "least").alias("label"))
         over = labels.select(F.col("node").alias("at"), F.col("label").alias("far"))
         step = step.join(over, F.col("label") == F.col("at")).select("node", "old", F.least("label", "far").alias("label"))
-        step = _stored(step, "near-labels")
+        step = stored(step, "near-labels")
         labels = step.select("node", "label")
         if step.where("label <> old").isEmpty():
             return labels
@@ -167,32 +161,32 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     """
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     facts = annotate(rows, "text", "f", FACTS, _facts, ["id"]).select("id", "f.*")
-    facts = _stored(facts, "near-facts")
+    facts = stored(facts, "near-facts")
     filled = facts.where("n > 0 and id is not null")
     # copies: texts with the same set, by two independent 64-bit sums and the size
-    classes = _stored(filled.groupBy("n", "d1", "d2").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies")), "near-classes")
+    classes = stored(filled.groupBy("n", "d1", "d2").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies")), "near-classes")
     first = filled.groupBy("id", "n", "d1", "d2").agg(F.first("c").alias("c"), F.first("sketch").alias("sketch"))
     heads = first.join(classes.select("n", "d1", "d2", F.col("class").alias("id")), ["n", "d1", "d2", "id"]).select("id", "n", "c", "sketch")
-    heads = _stored(heads, "near-heads")
+    heads = stored(heads, "near-heads")
     # collections whose value another class has too
     values = heads.select("id", F.posexplode("c").alias("i", "v"))
     shared = values.groupBy("i", "v").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("i", "v")
     on = values.join(shared, ["i", "v"], "left_semi").groupBy("id").agg(F.bit_or(F.expr("shiftleft(1, i)")).cast("long").alias("on"))
     live = heads.join(on.where(F.bit_count("on") > 1), "id")
-    keys = _stored(_table_keys(live), "near-keys")
+    keys = stored(_table_keys(live), "near-keys")
     # every class against the smallest of its key
     tops = keys.groupBy("key").agg(F.min("id").alias("top"), F.max("id").alias("last")).where("last > top")
-    tops = _stored(tops.select("key", "top"), "near-tops")
-    met = _stored(keys.join(tops, "key").select("key", "id", "top"), "near-met")
-    pairs = _stored(met.where("id <> top").select(F.col("top").alias("a"), F.col("id").alias("b")).distinct(), "near-pairs")
+    tops = stored(tops.select("key", "top"), "near-tops")
+    met = stored(keys.join(tops, "key").select("key", "id", "top"), "near-met")
+    pairs = stored(met.where("id <> top").select(F.col("top").alias("a"), F.col("id").alias("b")).distinct(), "near-pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     sets = annotate(rows.join(wanted, "id", "left_semi"), "text", "s", SETS, _sets, ["id"]).select("id", "s.set")
-    sets = _stored(sets.distinct(), "near-sets")
-    edges = _stored(links(pairs, sets, percent), "near-links")
+    sets = stored(sets.distinct(), "near-sets")
+    edges = stored(links(pairs, sets, percent), "near-links")
     labels = components(edges)
     # classes that still stand apart within a key
     rest = _apart(met, labels, heads, pairs, percent)
-    more = links(_stored(rest, "near-rest"), sets, percent)
+    more = links(stored(rest, "near-rest"), sets, percent)
     labels = components(edges.unionByName(more))
     return _result(facts, classes, labels, key)
 

@@ -18,18 +18,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfield.session import work_folder
+from lumenfield.llm.rows import stored, text_hash
 
 SEPARATORS = r"[ \t-\r]+"
 WINDOW = 8
 #: dimension names, and the least spread that each may be given
-FLOOR = {"words": 0.5, "length": 0.1, "symbols": 0.5, "lines": 0.5, "repeats": 0.1}
+FLOOR = {"words": 0.5, "length": 0.1, "symbols": 0.025, "lines": 0.5, "repeats": 0.1}
 DIMS = tuple(FLOOR)
 UNIT = 10_000
 #: share of rows an estimate rests on, steps, rows a group needs, median and cut of squared distances
 COVER, STEPS, MIN_GROUP = 0.75, 5, 200
 MEDIAN_CHI2_5 = 4.351460191095526
-CUT = 150.0
+CUT = 300.0
 BINS = 8
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -85,7 +85,7 @@ def _vector() -> dict[str, Column]:
     x = {
         "words": F.log1p(w),
         "length": F.log(F.col("word_chars") / w),
-        "symbols": F.log1p(1000.0 * F.col("n_symbols") / F.col("word_chars")),
+        "symbols": F.col("n_symbols") / F.col("word_chars"),
         "lines": F.log1p(F.col("n_dup_lines").cast("double")),
         "repeats": F.asin(F.sqrt(F.col("n_repeat_words") / w)),
     }
@@ -148,13 +148,6 @@ def _on(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(other, [F.col(k).eqNullSafe(F.col(f"o{k}")) for k in KEYS]).drop(*[f"o{k}" for k in KEYS])
 
 
-def _kept_table(df: DataFrame, name: str) -> DataFrame:
-    """A small or reused intermediate as a table in the shared folder: survives lost executors, has a known size."""
-    path = work_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _below(cum: str, share: float) -> Column:
     return F.col(cum) < share * F.col("total")
 
@@ -174,14 +167,14 @@ def estimates(vectors: DataFrame, steps: int = STEPS, cover: float = COVER) -> D
         *[(F.col(f"m_{a}") / 20).alias(f"m_{a}") for a in DIMS],
         *[F.lit(1.0 / FLOOR[a] if a == b else 0.0).alias(f"v_{a}_{b}") for i, a in enumerate(DIMS) for b in DIMS[: i + 1]],
     )
-    now = _kept_table(start, "mcd")
+    now = stored(start, "mcd")
     total = [F.sum(k).alias(k) for k in _sums()]
     for _ in range(steps):
         near = _binned(vectors, now).where(_below("below", cover)).groupBy(*KEYS).agg(*total)
-        now = _kept_table(_estimate(near, KEYS), "mcd")
+        now = stored(_estimate(near, KEYS), "mcd")
     middle = _binned(vectors, now).where(_below("below", 0.5)).groupBy(*KEYS).agg(F.max("bin").alias("bin"))
     scale = middle.select(*KEYS, (F.lit(MEDIAN_CHI2_5) / F.pow(F.lit(2.0), (F.col("bin") + 1) / F.lit(float(BINS)))).alias("scale"))
-    return _kept_table(_on(now, scale), "mcd")
+    return stored(_on(now, scale), "mcd")
 
 
 def judge(
@@ -195,7 +188,7 @@ def judge(
     steps: int = STEPS,
     cover: float = COVER,
 ) -> DataFrame:
-    """One row per row of ``df``: key, base statistics, ``base_failed``, ``distance`` (squared, scaled) and ``kept``.
+    """One row per row of ``df``: key, base statistics, ``base_failed``, ``distance`` (squared, scaled), ``kept``, ``text_hash``.
 
     ``kept`` is false for rows that fail the base rule and for rows farther than ``cut`` from the estimate
     of their group. Groups of fewer than ``min_group`` rows with words are pooled per language; a pool that
@@ -204,14 +197,14 @@ def judge(
     Repeated rows count as often as they stand there. An empty table gives no rows. Other columns are not
     read, so their names cannot clash.
     """
-    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in ((key, "_key"), (lang, "_lang"), (source, "_source"), (text, "_text"))])
-    facts = _kept_table(base_statistics(rows, "_text").withColumn("base_failed", base_failed()), "quality-facts")
+    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in ((key, "_key"), (lang, "_lang"), (source, "_source"), (text, "_text"))], text_hash(text).alias("_hash"))
+    facts = stored(base_statistics(rows, "_text").withColumn("base_failed", base_failed()), "quality-facts")
     worded = facts.where("n_words > 0")
     sizes = worded.groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("n"))
     pool = Window.partitionBy("_lang")
     small = F.col("n") < min_group
     sizes = sizes.withColumn("pooled", F.sum(F.when(small, F.col("n")).otherwise(0)).over(pool))
-    groups = _kept_table(
+    groups = stored(
         sizes.select(
             F.col("_lang").alias("g_lang"), F.col("_source").alias("g_source"), small.alias("g_small"), (small & (F.col("pooled") < min_group)).alias("g_none")
         ),
@@ -223,12 +216,12 @@ def judge(
     named = named.withColumn("g_source", F.when(F.col("g_small"), F.lit(None)).otherwise(F.concat(F.lit("="), F.coalesce(F.col("g_source").cast("string"), F.lit("")), F.col("g_source").isNull().cast("string"))))
     vectors = named.where(~F.col("g_none")).select(*KEYS, *[c.alias(k) for k, c in _vector().items()])
     final = estimates(vectors, steps, cover)
-    judged = named.select("_key", *BASE, "base_failed", *KEYS, "g_none", *[c.alias(k) for k, c in _vector().items()])
+    judged = named.select("_key", "_hash", *BASE, "base_failed", *KEYS, "g_none", *[c.alias(k) for k, c in _vector().items()])
     other = final.select(*[F.col(k).alias(f"o{k}") for k in KEYS], *[c for c in final.columns if c not in KEYS])
     match = [F.col(k).eqNullSafe(F.col(f"o{k}")) for k in KEYS] + [~F.col("g_none")]
     judged = judged.join(other, reduce(lambda x, y: x & y, match), "left").withColumn("distance", _distance() * F.col("scale"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))
-    columns = [F.col("_key").alias(key), *BASE, "base_failed"]
+    columns = [F.col("_key").alias(key), *BASE, "base_failed", F.col("_hash").alias("text_hash")]
     judged = judged.select(*columns, "distance", kept.alias("kept"))
     wordless = facts.where("n_words = 0").select(*columns, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return judged.unionByName(wordless)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfield.llm import bpe, contamination, near, quality, token_files
+from lumenfield.llm import bpe, contamination, near, quality, secrets, token_files
 from lumenfield.session import configure, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,10 +83,26 @@ from d left join words using (doc_id) left join found using (doc_id)
 @query
 def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Base statistics of every document and the verdict of the robust outlier rule."""
-    return quality.judge(table(spark, folder, "documents"))
+    return quality.judge(table(spark, folder, "documents")).drop("text_hash")
 
 
 @query
 def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near.find(table(spark, folder, "documents"))
+
+
+@query
+def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secret spans of every whole text, with the ownership of their values over all documents."""
+    found = secrets.scan(table(spark, folder, "documents"))
+    spans = F.col("spans")
+    count = lambda kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[count(kind).alias(f"n_{kind}") for kind in secrets.BASE],
+        F.sha2(secrets.labels(secrets.base(spans)).cast("binary"), 256).alias("base_sha256"),
+        secrets.labels(spans).alias("spans"),
+        F.size(F.filter(spans, lambda x: x["live"])).cast("long").alias("n_live"),
+        F.size(F.filter(spans, lambda x: ~x["live"])).cast("long").alias("n_example"),
+    )
