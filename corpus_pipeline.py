@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfield.llm import bpe, contamination, near, quality, rows, secrets
+from lumenfield.llm import bpe, contamination, near, quality, rows, secret_spans
 from lumenfield.session import configure, work_folder
 
 
@@ -38,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets by a mark; a column of text lengths follows."""
     configure(spark)
-    clean = secrets.redact(docs)
+    clean = secret_spans.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfield.llm import bpe, contamination, near, quality, secrets, token_files
+from lumenfield.llm import bpe, contamination, near, quality, secret_spans, substrings, token_files
 from lumenfield.session import configure, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,14 +95,21 @@ def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secret spans of every whole text, with the ownership of their values over all documents."""
-    found = secrets.scan(table(spark, folder, "documents"))
+    found = secret_spans.scan(table(spark, folder, "documents"))
     spans = F.col("spans")
     count = lambda kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
     return found.select(
         F.col("id").alias("doc_id"),
-        *[count(kind).alias(f"n_{kind}") for kind in secrets.BASE],
-        F.sha2(secrets.labels(secrets.base(spans)).cast("binary"), 256).alias("base_sha256"),
-        secrets.labels(spans).alias("spans"),
+        *[count(kind).alias(f"n_{kind}") for kind in secret_spans.BASE],
+        F.sha2(secret_spans.labels(secret_spans.base(spans)).cast("binary"), 256).alias("base_sha256"),
+        secret_spans.labels(spans).alias("spans"),
         F.size(F.filter(spans, lambda x: x["live"])).cast("long").alias("n_live"),
         F.size(F.filter(spans, lambda x: ~x["live"])).cast("long").alias("n_example"),
     )
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the words that a 50-word window shares with an earlier document."""
+    done = substrings.remove_repeats(table(spark, folder, "documents"))
+    return done.select(F.col("id").alias("doc_id"), "n_words", substrings.n_removed(F.col("removed")).alias("n_removed"), "kept_sha256")

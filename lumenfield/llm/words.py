@@ -66,7 +66,11 @@ class Words:
 
 
 def split(texts: pa.Array, is_word: np.ndarray = SPACES, fold: bool = False) -> Words:
-    data, offsets = text_bytes(texts)
+    return split_bytes(*text_bytes(texts), is_word, fold)
+
+
+def split_bytes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = SPACES, fold: bool = False) -> Words:
+    """Words of texts given as one array of bytes and n + 1 offsets."""
     if fold:
         data = FOLD[data]
     n = len(data)
