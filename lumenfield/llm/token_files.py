@@ -26,7 +26,7 @@ from lumenfield.llm.words import mix
 
 #: ids and documents after which a shard is closed
 SHARD_IDS, SHARD_DOCS = 1 << 20, 1 << 16
-CACHE = 500_000
+CACHE = 700_000
 LOOKUP_KEYS = 1000
 _SHARD = (
     "part int, shard int, local_start long, n_ids long, n_docs int, first_key long, last_key long,"
@@ -134,6 +134,7 @@ class WordEncoder:
         self.end = np.array([end], self.kind).tobytes()
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         #: whether an id ends a word
         self.last = np.zeros(top + 1, bool)
@@ -141,42 +142,63 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         rows = [t.replace("\n", " ").split(" ") for t in texts]
-        here = set().union(*rows) if rows else set()
-        new = list(here - self.known.keys())
-        if len(self.known) + len(new) > CACHE:  # keep what this block uses
-            self.known = {w: self.known[w] for w in here & self.known.keys()}
-        self._learn(new)
-        look = self.known.__getitem__
-        return [b"".join(map(look, row)) + self.end for row in rows]
-
-    def _learn(self, new: list[str]) -> None:
+        find = self.known.get
+        found = [list(map(find, row)) for row in rows]
+        missing = [(f, i, row[i]) for f, row in zip(found, rows, strict=True) if None in f for i, x in enumerate(f) if x is None]
+        if missing:
+            new = {w for _, _, w in missing}
+            if len(self.known) + len(new) > CACHE:  # keep what this block uses
+                self.known = {w: x for f, row in zip(found, rows, strict=True) for w, x in zip(row, f, strict=True) if x is not None}
+            self._learn(new)
+            for f, i, w in missing:
+                f[i] = self.known[w]
+        return [b"".join(f) + self.end for f in found]
+
+    def _learn(self, new: set[str]) -> None:
         """Ids of new stretches. Letters and the full stops and commas behind them are separate words to the
         tokenizer, and plain ASCII letters may be lower-cased first, so most stretches share their letters."""
-        parts = []
+        if len(self.parts) + len(new) > CACHE:
+            self.parts = {}
+        known, parts, normal = self.known, self.parts, unicodedata.normalize
+        wait: dict[str, list[tuple[str, str]]] = {}
+        rest = []
         for w in new:
             core = w.rstrip(".,")
-            if core.isascii() and core.isalpha():
-                parts.append((core.lower(), w[len(core) :]))
-            elif unicodedata.normalize("NFC", core).lower().isalpha():  # no mark that joins what follows
-                parts.append((core, w[len(core) :]))
+            if core.isascii():
+                core = core.lower() if core.isalpha() else ""
+            elif not normal("NFC", core).lower().isalpha():  # a mark may join what follows
+                core = ""
+            if not core:
+                rest.append(w)
+            elif (ids := parts.get(core)) is None:
+                wait.setdefault(core, []).append((w, w[len(core) :]))
             else:
-                parts.append((w, ""))
-        want = {x for pair in parts for x in pair} - self.parts.keys()
-        if len(self.parts) + len(want) > CACHE:
-            self.parts = {}
-            want = {x for pair in parts for x in pair}
-        letters = [x for x in want if x.isalpha()]
+                known[w] = ids + self._mark(w[len(core) :])
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, self.kind).tobytes()
+        letters, width = list(wait), self.kind.itemsize
         for i in range(0, len(letters), 1000):
             group = letters[i : i + 1000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, self.kind)
-            stop = np.flatnonzero(self.last[ids]) + 1
+            stop = ((np.flatnonzero(self.last[ids]) + 1) * width).tolist()
             if len(stop) == len(group):  # each has one word end at least, so each has just one
-                self.parts.update(zip(group, (x.tobytes() for x in np.split(ids, stop[:-1])), strict=True))
-        rest = [x for x in want if x not in self.parts]
-        made = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-        self.parts.update(zip(rest, (np.array(e.ids, self.kind).tobytes() for e in made), strict=True))
-        look = self.parts.__getitem__
-        self.known.update((w, look(a) + look(b)) for w, (a, b) in zip(new, parts, strict=True))
+                raw = ids.tobytes()
+                parts.update(zip(group, (raw[a:b] for a, b in zip([0, *stop], stop)), strict=True))  # noqa: B905
+            else:
+                made = self.tokenizer.encode_batch_fast(group, add_special_tokens=False)
+                parts.update(zip(group, (np.array(e.ids, self.kind).tobytes() for e in made), strict=True))
+        for core, words in wait.items():
+            ids = parts[core]
+            for w, tail in words:
+                known[w] = ids + self._mark(tail) if tail else ids
+
+    def _mark(self, tail: str) -> bytes:
+        """Ids of a run of full stops and commas."""
+        if (ids := self.marks.get(tail)) is None:
+            ids = np.array(self.tokenizer.encode(tail, add_special_tokens=False).ids, self.kind).tobytes()
+            if len(tail) < 8:
+                self.marks[tail] = ids
+        return ids
 
 
 @lru_cache(maxsize=2)
