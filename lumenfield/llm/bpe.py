@@ -208,16 +208,20 @@ class Encoder:
             else:
                 row = self.words(text)
             rows.append(row)
-        here = set().union(*rows) if rows else set()
-        new = list(here - self.known.keys())
-        if len(self.known) + len(new) > CACHE:  # keep what this block uses
-            self.known = {w: self.known[w] for w in here & self.known.keys()}
-        plain = [w for w in new if w not in special]
-        made = self.vocabulary.encode_words([w.encode() for w in plain])
-        self.known.update(zip(plain, (",".join(map(str, x)) for x in made), strict=True))
-        self.known.update({w: str(special[w]) for w in new if w in special})
-        look = self.known.__getitem__
-        return [np.fromstring(",".join(map(look, row)), np.int32, sep=",") if row else np.zeros(0, np.int32) for row in rows]
+        find = self.known.get
+        found = [list(map(find, row)) for row in rows]
+        missing = [(f, i, row[i]) for f, row in zip(found, rows, strict=True) if None in f for i, x in enumerate(f) if x is None]
+        if missing:
+            new = {w for _, _, w in missing}
+            if len(self.known) + len(new) > CACHE:  # keep what this block uses
+                self.known = {w: x for f, row in zip(found, rows, strict=True) for w, x in zip(row, f, strict=True) if x is not None}
+            plain = [w for w in new if w not in special]
+            made = self.vocabulary.encode_words([w.encode() for w in plain])
+            self.known.update(zip(plain, (",".join(map(str, x)) for x in made), strict=True))
+            self.known.update({w: str(special[w]) for w in new if w in special})
+            for f, i, w in missing:
+                f[i] = self.known[w]
+        return [np.fromstring(",".join(f), np.int32, sep=",") if f else np.zeros(0, np.int32) for f in found]
 
 
 @lru_cache(maxsize=2)

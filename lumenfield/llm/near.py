@@ -10,20 +10,22 @@ The work never grows with the square of a group:
 * texts with the same shingle set are one class, named by its smallest id;
 * a collection value that only one class holds can be in no shared key, so most classes leave before any
   key is formed;
-* inside a key, every class is compared with the smallest one only. Most groups are connected by this.
-  Only classes of one key that are still in different components are compared with each other, if their
-  sizes and sketches allow the wanted similarity. So no link between unconnected texts is lost.
+* inside a key, every class is compared only with the one that meets most others, the likely original of a
+  group of copies. Most groups are connected by this.
+  Classes of one key that are still in different components meet once more by an exact prefix join of
+  their sets, rarest shingles first. So no link between unconnected texts is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,8 +35,7 @@ from lumenfield.llm.words import SPACES, grams, inside, mix, pair, split
 
 SHINGLE, PERCENT = 5, 75
 COLLECTIONS, WIDTH = 16, 2
-#: equal minhashes of 32 below which a pair cannot reach the similarity (but for one in 300 000 pairs at 0.75)
-SKETCH_EQUAL = 13
+PARITY = 16
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(75))
 _XOR = _RNG.integers(0, 2**63, COLLECTIONS * WIDTH, dtype=np.uint64)
@@ -45,7 +46,6 @@ FACTS = T.StructType(
         T.StructField("d1", T.LongType()),
         T.StructField("d2", T.LongType()),
         T.StructField("c", T.ArrayType(T.LongType())),
-        T.StructField("sketch", T.BinaryType()),
     ]
 )
 SETS = T.StructType([T.StructField("set", T.BinaryType())])
@@ -85,8 +85,7 @@ def _facts(texts: pa.Array) -> pa.Array:
         c = pair(c, hashes[:, i::WIDTH].astype(np.uint64))
     at = pa.array(np.arange(len(n) + 1, dtype=np.int32) * COLLECTIONS)
     lists = pa.ListArray.from_arrays(at, pa.array(c.view(np.int64).ravel()))
-    sketch = pa.array([x.tobytes() for x in hashes], pa.binary())
-    return pa.StructArray.from_arrays([pa.array(n), pa.array(d[0]), pa.array(d[1]), lists, sketch], ["n", "d1", "d2", "c", "sketch"])
+    return pa.StructArray.from_arrays([pa.array(n), pa.array(d[0]), pa.array(d[1]), lists], ["n", "d1", "d2", "c"])
 
 
 def _sets(texts: pa.Array) -> pa.Array:
@@ -100,11 +99,14 @@ def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), True)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-@F.pandas_udf(T.IntegerType())
-def _equal(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Number of equal minhashes of two sketches."""
-    x, y = (np.frombuffer(b"".join(s), np.uint32).reshape(len(s), -1) for s in (a, b))
-    return pd.Series((x == y).sum(axis=1), dtype="int32")
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _parity(sets: pd.Series) -> pd.Series:
+    """Parities of the number of shingles in each of 1024 parts of the hash space."""
+    out = []
+    for x in sets:
+        odd = np.bincount((np.frombuffer(x, np.uint64) >> _U(54)).astype(np.int64), minlength=64 * PARITY) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+    return pd.Series(out)
 
 
 def links(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -146,9 +148,9 @@ def _table_keys(live: DataFrame) -> DataFrame:
                 flag = (on[:, None] >> np.arange(COLLECTIONS)) & 1 == 1
                 row, table = np.nonzero(flag[:, left] & flag[:, right])
                 key = pair(pair(c[row, left[table]], c[row, right[table]]), table.astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row])], ["key", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row]), b.column("pull").take(pa.array(row))], ["key", "id", "pull"])
 
-    return live.select("id", "on", "c").mapInArrow(run, "key long, id long")
+    return live.select("id", "on", "c", "pull").mapInArrow(run, "key long, id long, pull long")
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -165,44 +167,73 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     filled = facts.where("n > 0 and id is not null")
     # copies: texts with the same set, by two independent 64-bit sums and the size
     classes = stored(filled.groupBy("n", "d1", "d2").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies")), "near-classes")
-    first = filled.groupBy("id", "n", "d1", "d2").agg(F.first("c").alias("c"), F.first("sketch").alias("sketch"))
-    heads = first.join(classes.select("n", "d1", "d2", F.col("class").alias("id")), ["n", "d1", "d2", "id"]).select("id", "n", "c", "sketch")
+    first = filled.groupBy("id", "n", "d1", "d2").agg(F.first("c").alias("c"))
+    heads = first.join(classes.select("n", "d1", "d2", F.col("class").alias("id")), ["n", "d1", "d2", "id"]).select("id", "n", "c")
     heads = stored(heads, "near-heads")
-    # collections whose value another class has too
+    # collections whose value another class has too; ``pull`` is how many others a class meets, on a log scale
     values = heads.select("id", F.posexplode("c").alias("i", "v"))
-    shared = values.groupBy("i", "v").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("i", "v")
-    on = values.join(shared, ["i", "v"], "left_semi").groupBy("id").agg(F.bit_or(F.expr("shiftleft(1, i)")).cast("long").alias("on"))
-    live = heads.join(on.where(F.bit_count("on") > 1), "id")
+    shared = values.groupBy("i", "v").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    met = values.join(shared, ["i", "v"]).groupBy("id").agg(
+        F.bit_or(F.expr("shiftleft(1, i)")).cast("long").alias("on"), F.sum(F.floor(256 * F.log2(F.col("k").cast("double")))).alias("pull")
+    )
+    live = heads.join(met.where(F.bit_count("on") > 1), "id")
     keys = stored(_table_keys(live), "near-keys")
-    # every class against the smallest of its key
-    tops = keys.groupBy("key").agg(F.min("id").alias("top"), F.max("id").alias("last")).where("last > top")
-    tops = stored(tops.select("key", "top"), "near-tops")
+    # every class against the one of its key that meets most others: the original of a group of copies
+    rank = F.struct("pull", (-F.col("id")).alias("id"))
+    tops = keys.groupBy("key").agg(F.max(rank).alias("top"), F.min("id").alias("least"), F.max("id").alias("last")).where("last > least")
+    tops = stored(tops.select("key", (-F.col("top.id")).alias("top")), "near-tops")
     met = stored(keys.join(tops, "key").select("key", "id", "top"), "near-met")
-    pairs = stored(met.where("id <> top").select(F.col("top").alias("a"), F.col("id").alias("b")).distinct(), "near-pairs")
+    pairs = stored(met.where("id <> top").select(F.least("top", "id").alias("a"), F.greatest("top", "id").alias("b")).distinct(), "near-pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     sets = annotate(rows.join(wanted, "id", "left_semi"), "text", "s", SETS, _sets, ["id"]).select("id", "s.set")
     sets = stored(sets.distinct(), "near-sets")
     edges = stored(links(pairs, sets, percent), "near-links")
     labels = components(edges)
     # classes that still stand apart within a key
-    rest = _apart(met, labels, heads, pairs, percent)
+    rest = _apart(met, labels, sets, pairs, percent)
     more = links(stored(rest, "near-rest"), sets, percent)
     labels = components(edges.unionByName(more))
     return _result(facts, classes, labels, key)
 
 
-def _apart(met: DataFrame, labels: DataFrame, heads: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one key in different components, not compared yet, whose sizes and sketches allow a link."""
+def _apart(met: DataFrame, labels: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes that share keys but no component yet, by an exact prefix join of their full sets.
+
+    Two sets this similar share one of their rarest shingles: of n, the first n - ceil(n * percent / 100) + 1
+    by frequency. Shingles of one class alone come first and meet nothing, so passages that many texts
+    share are looked at only in texts that hold little else.
+    """
     named = met.join(labels, met["id"] == labels["node"], "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("k")).where("y > x and k > 2").select("key")
-    rows = named.join(mixed, "key").join(heads.select("id", "n"), "id")
-    one = rows.select("key", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    two = rows.select("key", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-    fits = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    apart = one.join(two, "key").where(fits).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    sketch = heads.select("id", "sketch")
-    apart = apart.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b")
-    return apart.where(_equal("sa", "sb") >= SKETCH_EQUAL).select("a", "b")
+    wanted = stored(named.join(mixed, "key").select("id", "label").distinct(), "near-rest-ids")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, label, raw in zip(*(batch.column(c).to_pylist() for c in ("id", "label", "set")), strict=True):
+                h = np.frombuffer(raw, np.int64)
+                n = len(h)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, x, np.int64)) for x in (i, label, n)] + [pa.array(h)], ["id", "label", "n", "h"])
+
+    rest = stored(sets.join(wanted, "id").select("id", "label", "set"), "near-rest-sets")
+    rows = stored(rest.mapInArrow(each, "id long, label long, n long, h long"), "near-rest-shingles")
+    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("often"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
+    shared = rows.join(often.select("h", "often"), "h")
+    mine = Window.partitionBy("id")
+    # shingles that only the class's own component has rank first and can never be common
+    shared = shared.withColumn("s", F.count(F.lit(1)).over(mine)).withColumn("rank", F.row_number().over(mine.orderBy("often", "h")))
+    need = F.ceil(F.col("n") * percent / 100)
+    prefix = stored(shared.where(F.col("rank") <= F.col("s") - need + 1).select("h", "id", "label", "n", "s"), "near-rest-prefix")
+    prefix = prefix.join(rest.select("id", _parity("set").alias("p")).select("id", *[F.get("p", F.lit(i)).alias(f"p{i}") for i in range(PARITY)]), "id")
+    names = ("id", "label", "n", "s", *[f"p{i}" for i in range(PARITY)])
+    one, two = (prefix.select("h", *[F.col(c).alias(f"{c}_{k}") for c in names]) for k in (1, 2))
+    total = F.col("n_1") + F.col("n_2")
+    fits = (F.col("id_1") < F.col("id_2")) & (F.col("label_1") != F.col("label_2")) & (100 * F.least("n_1", "n_2") >= percent * F.greatest("n_1", "n_2"))
+    fits = fits & ((100 + percent) * F.least("s_1", "s_2") >= percent * total)
+    # every differing parity is a shingle that one of the two lacks
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"p{i}_1").bitwiseXOR(F.col(f"p{i}_2"))) for i in range(PARITY)])
+    fits = fits & ((100 + percent) * differ <= (100 - percent) * total)
+    met_again = one.join(two, (one["h"] == two["h"]) & fits).select(F.col("id_1").alias("a"), F.col("id_2").alias("b")).distinct()
+    return met_again.join(pairs, ["a", "b"], "left_anti")
 
 
 def _result(facts: DataFrame, classes: DataFrame, labels: DataFrame, key: str) -> DataFrame:
