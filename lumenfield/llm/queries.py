@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfield.llm import bpe, contamination, near, quality, secret_spans, substrings, token_files
+from lumenfield.llm import bpe, contamination, lm, near, quality, secret_spans, substrings, token_files
 from lumenfield.session import configure, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,11 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the words that a 50-word window shares with an earlier document."""
     done = substrings.remove_repeats(table(spark, folder, "documents"))
     return done.select(F.col("id").alias("doc_id"), "n_words", substrings.n_removed(F.col("removed")).alias("n_removed"), "kept_sha256")
+
+
+@query
+def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Stupid-backoff score of every document by the trigram counts of all others."""
+    scored = lm.score(table(spark, folder, "documents"))
+    mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
+    return scored.withColumnRenamed("id", "doc_id").withColumn("mean_log_score", mean)
