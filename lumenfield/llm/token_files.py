@@ -12,7 +12,6 @@ documents.
 from __future__ import annotations
 
 import os
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenfield.llm.batches import blocks
-from lumenfield.llm.words import mix
+from lumenfield.llm.batches import blocks, text_bytes
+from lumenfield.llm.words import ALNUM, mix, split_bytes, split_pieces
 
 #: ids and documents after which a shard is closed
 SHARD_IDS, SHARD_DOCS = 1 << 20, 1 << 16
-CACHE = 700_000
+CACHE = 3_000_000
 LOOKUP_KEYS = 1000
 _SHARD = (
     "part int, shard int, local_start long, n_ids long, n_docs int, first_key long, last_key long,"
@@ -115,11 +114,14 @@ class Index:
 
 
 class WordEncoder:
-    """Ids of whole texts through the tokenizers library, asked once for each distinct stretch between blanks.
-
-    For vocabularies whose normaliser folds white space and whose words never hold any: their text splits
-    at a blank or a line end without changing a token. The vocabulary marks word ends with ``</w>``. The
-    caches of stretches and of their parts are bounded.
+    """Ids of whole texts through the tokenizers library, asked once for each distinct piece.
+
+    For vocabularies that lower-case, whose words never hold white space, and that mark word ends with
+    ``</w>``. There a text can be cut at white space without changing a token, full stops and commas can be
+    cut off behind an ASCII letter or digit, and A-Z can be lower-cased first unless a combining mark
+    follows. Pieces are found and looked up for many texts at once by 64-bit hashes. Texts with combining
+    marks or the start of a special token go to the library as they are. The table of known pieces is
+    bounded.
     """
 
     def __init__(self, path: str, end: int):
@@ -129,76 +131,92 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        top = max(end, self.tokenizer.get_vocab_size(with_added_tokens=True) - 1)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        top = max(end, *vocabulary.values())
         self.kind = np.dtype("<u2" if top < 1 << 16 else "<u4")
         self.end = np.array([end], self.kind).tobytes()
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         #: whether an id ends a word
         self.last = np.zeros(top + 1, bool)
         self.last[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        rows = [t.replace("\n", " ").split(" ") for t in texts]
-        find = self.known.get
-        found = [list(map(find, row)) for row in rows]
-        missing = [(f, i, row[i]) for f, row in zip(found, rows, strict=True) if None in f for i, x in enumerate(f) if x is None]
-        if missing:
-            new = {w for _, _, w in missing}
-            if len(self.known) + len(new) > CACHE:  # keep what this block uses
-                self.known = {w: x for f, row in zip(found, rows, strict=True) for w, x in zip(row, f, strict=True) if x is not None}
-            self._learn(new)
-            for f, i, w in missing:
-                f[i] = self.known[w]
-        return [b"".join(f) + self.end for f in found]
-
-    def _learn(self, new: set[str]) -> None:
-        """Ids of new stretches. Letters and the full stops and commas behind them are separate words to the
-        tokenizer, and plain ASCII letters may be lower-cased first, so most stretches share their letters."""
-        if len(self.parts) + len(new) > CACHE:
-            self.parts = {}
-        known, parts, normal = self.known, self.parts, unicodedata.normalize
-        wait: dict[str, list[tuple[str, str]]] = {}
-        rest = []
-        for w in new:
-            core = w.rstrip(".,")
-            if core.isascii():
-                core = core.lower() if core.isalpha() else ""
-            elif not normal("NFC", core).lower().isalpha():  # a mark may join what follows
-                core = ""
-            if not core:
-                rest.append(w)
-            elif (ids := parts.get(core)) is None:
-                wait.setdefault(core, []).append((w, w[len(core) :]))
-            else:
-                known[w] = ids + self._mark(w[len(core) :])
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, self.kind).tobytes()
-        letters, width = list(wait), self.kind.itemsize
-        for i in range(0, len(letters), 1000):
-            group = letters[i : i + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, self.kind)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hash, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, self.kind)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        data, offsets = text_bytes(texts)
+        odd = (data == 0xCC) | (data == 0xCD)
+        odd[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+        apart = np.zeros(len(texts), bool)
+        apart[np.searchsorted(offsets, np.flatnonzero(odd), side="right") - 1] = True
+        if apart.any():
+            out = [b""] * len(texts)
+            rest = np.flatnonzero(~apart)
+            for i, x in zip(rest.tolist(), self.encode(texts.take(pa.array(rest))), strict=True):
+                out[i] = x
+            for i in np.flatnonzero(apart).tolist():
+                out[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, self.kind).tobytes() + self.end
+            return out
+        w = split_bytes(data, offsets, fold=True)
+        start, stop = w.start, w.end
+        mark = (w.data == ord(".")) | (w.data == ord(","))
+        core = np.maximum.accumulate(np.where(mark, -1, np.arange(len(data))))[stop - 1] + 1 if len(stop) else stop
+        letter = ALNUM[w.data] & (w.data < 0x80)
+        cut = np.flatnonzero((core > start) & (core < stop) & letter[core - 1])
+        cuts = np.sort(np.concatenate([start, core[cut]]))
+        ends = np.sort(np.concatenate([stop, core[cut]]))
+        pieces = split_pieces(w.data, cuts, ends)
+        distinct, where, back = np.unique(pieces, return_index=True, return_inverse=True)
+        row = self._rows(distinct, lambda new: [w.data[a:b].tobytes().decode() for a, b in zip(cuts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
+        first = np.cumsum(self.size) - self.size
+        row = row[back]
+        size = self.size[row]
+        total = np.cumsum(size)
+        at = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(first[row] - (total - size), size)
+        raw = self.ids[at].tobytes()
+        bounds = np.concatenate([[0], total])[np.searchsorted(cuts, offsets)] * self.kind.itemsize
+        return [raw[a:b] + self.end for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+    def _rows(self, hashes: np.ndarray, texts) -> np.ndarray:
+        """Rows of known pieces; unknown ones are encoded and added."""
+        if len(self.hash) > CACHE:
+            self._forget()
+        at = np.searchsorted(self.hash, hashes)
+        known = at < len(self.hash)
+        known[known] = self.hash[at[known]] == hashes[known]
+        new = np.flatnonzero(~known)
+        if len(new):
+            made = self._learn(texts(new))
+            size = np.array([len(x) for x in made]) // self.kind.itemsize
+            row = len(self.size) + np.arange(len(new))
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(made), self.kind)])
+            self.size = np.concatenate([self.size, size])
+            self.hash, self.row = np.insert(self.hash, at[new], hashes[new]), np.insert(self.row, at[new], row)
+            at = np.searchsorted(self.hash, hashes)
+        return self.row[at]
+
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece. Pieces of letters alone are asked for together and told apart by the word ends."""
+        out = [b""] * len(pieces)
+        letters, rest = [], []
+        for i, w in enumerate(pieces):
+            (letters if w.isalpha() else rest).append(i)
+        width = self.kind.itemsize
+        for a in range(0, len(letters), 1000):
+            group = letters[a : a + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([pieces[i] for i in group])], add_special_tokens=False)[0].ids, self.kind)
             stop = ((np.flatnonzero(self.last[ids]) + 1) * width).tolist()
             if len(stop) == len(group):  # each has one word end at least, so each has just one
-                raw = ids.tobytes()
-                parts.update(zip(group, (raw[a:b] for a, b in zip([0, *stop], stop)), strict=True))  # noqa: B905
+                raw, x = ids.tobytes(), 0
+                for i, y in zip(group, stop, strict=True):
+                    out[i] = raw[x:y]
+                    x = y
             else:
-                made = self.tokenizer.encode_batch_fast(group, add_special_tokens=False)
-                parts.update(zip(group, (np.array(e.ids, self.kind).tobytes() for e in made), strict=True))
-        for core, words in wait.items():
-            ids = parts[core]
-            for w, tail in words:
-                known[w] = ids + self._mark(tail) if tail else ids
-
-    def _mark(self, tail: str) -> bytes:
-        """Ids of a run of full stops and commas."""
-        if (ids := self.marks.get(tail)) is None:
-            ids = np.array(self.tokenizer.encode(tail, add_special_tokens=False).ids, self.kind).tobytes()
-            if len(tail) < 8:
-                self.marks[tail] = ids
-        return ids
+                rest += group
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, self.kind).tobytes()
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -246,7 +264,7 @@ def write(df: DataFrame, path: str, folder: str, key: str = "doc_id", text: str
         for batch in batches:
             for b in blocks(batch, "text"):
                 part = b.column("part")[0].as_py()
-                for k, x in zip(b.column("key").to_pylist(), e.encode(b.column("text").to_pylist()), strict=True):
+                for k, x in zip(b.column("key").to_pylist(), e.encode(b.column("text")), strict=True):
                     keys.append(k)
                     ids.append(x)
                     held += len(x) // e.kind.itemsize

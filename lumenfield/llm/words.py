@@ -88,6 +88,14 @@ def split_bytes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = SPA
     return Words(data, start, end, first, _hashes(data[w], end - start))
 
 
+def split_pieces(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte ranges, which are in order and do not overlap."""
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[start] += 1
+    edge[end] -= 1
+    return _hashes(data[np.cumsum(edge[:-1], dtype=np.int8) > 0], end - start)
+
+
 def _hashes(letters: np.ndarray, size: np.ndarray) -> np.ndarray:
     if not len(size):
         return np.zeros(0, np.uint64)
