@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfield.llm import bpe, contamination, lm, near, quality, secret_spans, substrings, token_files
+from lumenfield.llm import bpe, contamination, licences, lm, near, quality, secret_spans, substrings, token_files, url_filter
 from lumenfield.session import configure, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,35 @@ def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     scored = lm.score(table(spark, folder, "documents"))
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
     return scored.withColumnRenamed("id", "doc_id").withColumn("mean_log_score", mean)
+
+
+@query
+def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page by rules, else by exact membership of its host and path in the listed keys."""
+    return url_filter.judge(table(spark, folder, "pages"), URL_RULES, LISTED_TERMS)
+
+
+#: fixed values of the query: rules (action, host, path) and words of listed hosts
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+LISTED_TERMS = ("spam", "pills", "casino", "cheap", "adult")
+
+SQL["op8_url_filter"] = """
+with p as (
+  select page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path
+  from pages),
+rules(act, h, p) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fit as (
+  select host, path, arg_max(h || p, length(h || p)) as rule, arg_max(act, length(h || p)) as act
+  from (select distinct host, path from p) u, rules r
+  where (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by host, path)
+select page_id, p.host, p.path, rule,
+  coalesce(act, case when regexp_matches(p.host, 'spam|pills|casino|cheap|adult') then 'block' else 'allow' end) as verdict
+from p left join fit using (host, path)
+"""
+
+
+@query
+def op2_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """Licences of every document by known sentences and ordered rules."""
+    return licences.scan(table(spark, folder, "documents"))
