@@ -46,9 +46,9 @@ RULES = (
     ("BSD-3-Clause", ("bsd-source", "bsd-binary")),
     ("proprietary", ("reserved",)),
 )
-#: every known sentence holds one of these words, so texts without any need not be cut
+#: every known sentence holds one of these (within a word), so texts without any need not be cut
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-ANCHORS = ("licen", "redistribut", "permission", "copyright", "warranty", "rights reserved")
+ANCHORS = ("licen", "redistribut", "permission", "copyright", "warranty", "reserved")
 SENTENCE_END = r"[.!?;:][ \t\n\r\"')]+|[\n\r]+"
 assert all(any(a in s for a in ANCHORS) for s in SENTENCES.values())
 
