@@ -185,7 +185,8 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     met = stored(keys.join(tops, "key").select("key", "id", "top"), "near-met")
     pairs = stored(met.where("id <> top").select(F.least("top", "id").alias("a"), F.greatest("top", "id").alias("b")).distinct(), "near-pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = annotate(rows.join(wanted, "id", "left_semi"), "text", "s", SETS, _sets, ["id"]).select("id", "s.set")
+    # the wanted ids grow with the documents, so the plan is the one for large tables at every size
+    sets = annotate(rows.join(wanted.hint("merge"), "id", "left_semi"), "text", "s", SETS, _sets, ["id"]).select("id", "s.set")
     sets = stored(sets.distinct(), "near-sets")
     edges = stored(links(pairs, sets, percent), "near-links")
     labels = components(edges)
