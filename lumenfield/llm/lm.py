@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,9 @@ from lumenfield.llm.rows import stored
 from lumenfield.llm.words import grams
 
 ORDER, BACKOFF = 3, 0.4
+#: bits of a hash within its bucket. With 256 buckets a hash has 52 bits: of 100 million n-grams about one pair
+#: shares its count. The buckets, and so the bits, grow with the cluster.
+KEY_BITS = 44
 _U = np.uint64
 _MESSAGE = "bucket int, block long, body binary"
 
@@ -51,12 +55,12 @@ class Grams:
 
 
 def _pack(parts: list[tuple[np.ndarray, ...]], widths: tuple[int, ...]) -> bytes:
-    """For each order: its length, then its columns."""
-    return b"".join(np.int32(len(p[0])).tobytes() + b"".join(planes(x, w) for x, w in zip(p, widths, strict=True)) for p in parts)
+    """For each order: its length, then its columns; compressed, because counts and high bytes repeat."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.int32(len(p[0])).tobytes() + b"".join(planes(x, w) for x, w in zip(p, widths, strict=True)) for p in parts))
 
 
 def _unpack(raw: bytes, widths: tuple[int, ...]) -> list[list[np.ndarray]]:
-    out, at = [], 0
+    out, at, raw = [], 0, zstandard.ZstdDecompressor().decompress(raw)
     while at < len(raw):
         n = int(np.frombuffer(raw, np.int32, 1, at)[0])
         at += 4
@@ -81,7 +85,7 @@ def _questions(order: int, bits: int):
                 for n in range(1, order + 1):
                     g = Grams(b, n)
                     cuts = np.concatenate([[0], np.searchsorted(g.distinct, edges), [len(g.distinct)]])
-                    each.append(((g.distinct << _U(bits)) >> _U(16), np.bincount(g.number, minlength=len(g.distinct)), cuts))
+                    each.append(((g.distinct << _U(bits)) >> _U(64 - KEY_BITS), np.bincount(g.number, minlength=len(g.distinct)), cuts))
                 bodies = []
                 for i in range(1 << bits):
                     parts = [(np.diff(k[c[i] : c[i + 1]], prepend=_U(0)), m[c[i] : c[i + 1]]) for k, m, c in each]
