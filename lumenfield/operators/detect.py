@@ -161,7 +161,7 @@ def trail_pixels(
 
 
 def brightest(sources: DataFrame, n: int, ident: str = "source_id") -> DataFrame:
-    return rank_within(sources, FRAME, [F.desc("flux"), F.asc(ident)], n)
+    return rank_within(sources, FRAME, [F.desc("flux"), F.asc(ident)], n, ident)
 
 
 def with_shape(sources: DataFrame) -> DataFrame:

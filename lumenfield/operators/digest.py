@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FANOUT = 1000
+#: ceil(log(2 ** 63) / log(FANOUT))
+LEVELS = 7
 
 
 def level_digest(df: DataFrame, groups: list[str], key: str, text: str) -> DataFrame:
@@ -15,15 +17,15 @@ def level_digest(df: DataFrame, groups: list[str], key: str, text: str) -> DataF
 
 
 def tree_digest(
-    df: DataFrame, key: str, text: Column, groups: tuple[str, ...] = (), levels: int = 4
+    df: DataFrame, key: str, text: Column, groups: tuple[str, ...] = ()
 ) -> DataFrame:
     """Root digest per group over rows with unique whole-number ``key``.
 
-    Each level joins at most ``FANOUT`` neighbours in key order; ``levels`` covers keys below
-    ``FANOUT ** levels``.
+    Each level joins at most ``FANOUT`` neighbours in key order. ``LEVELS`` levels leave one node for
+    every 64-bit key; the upper ones hold few rows.
     """
     d = df.select(*groups, F.col(key).cast("bigint").alias("_k"), text.alias("digest"))
-    for _ in range(levels):
+    for _ in range(LEVELS):
         d = d.withColumn("_b", F.floor(F.col("_k") / FANOUT).cast("bigint"))
         d = level_digest(d, [*groups, "_b"], "_k", "digest").select(
             *groups, F.col("_b").alias("_k"), "digest"

@@ -35,22 +35,23 @@ class JobRequest:
     target_count: int = 50
 
     def validate(self) -> JobRequest:
-        if (self.photo_ids is None) == (not self.has_selector):
-            raise ValueError("give exactly one of photo_ids and selector")
-        if self.photo_ids is not None:
-            if len(self.photo_ids) < 2:
-                raise ValueError("a stack needs at least two frames")
-            if len(set(self.photo_ids)) != len(self.photo_ids):
-                raise ValueError("photo_ids holds duplicates")
-        elif self.object_id is None and not self.selector_object:
-            raise ValueError("a selector needs an object")
-        if self.pipeline not in PIPELINES:
-            raise ValueError(f"unknown pipeline {self.pipeline}")
-        if not 1 <= self.target_count <= selection.MAX_INPUTS:
-            raise ValueError("target_count out of range")
+        broken = [text for text, holds in REQUEST_RULES if not holds(self)]
+        if broken:
+            raise ValueError("; ".join(broken))
         return self
 
 
+#: what must hold for a request
+REQUEST_RULES = (
+    ("photos come from a list or from a selector", lambda r: r.has_selector != (r.photo_ids is not None)),
+    ("a list holds two photos or more", lambda r: r.photo_ids is None or len(r.photo_ids) > 1),
+    ("a list holds no photo twice", lambda r: r.photo_ids is None or len(r.photo_ids) == len(set(r.photo_ids))),
+    ("a selector names its object", lambda r: not r.has_selector or bool(r.selector_object) or r.object_id is not None),
+    ("the pipeline is known", lambda r: r.pipeline in PIPELINES),
+    ("the target lies within the limit of inputs", lambda r: 0 < r.target_count <= selection.MAX_INPUTS),
+)
+
+
 def request_problems(requests: DataFrame, wanted: DataFrame) -> DataFrame:
     """Batch form of the request rules; ``wanted`` has one row per (job, requested photo)."""
     ids = wanted.groupBy("job_id").agg(
@@ -113,37 +114,80 @@ def most_restrictive(inputs: DataFrame) -> DataFrame:
 # --- plans ---------------------------------------------------------------------------------------
 
 
+def explicit_candidates(wanted: DataFrame, photos: DataFrame) -> DataFrame:
+    """Candidates of jobs that list their photos (``job_id, photo_id``): all of them, if all are live and ready.
+
+    A job with a missing or unready photo has no candidates at all; ``search.unavailable`` names the photos.
+    """
+    ready = photos.where("deleted_at is null and status = 'ready'").drop("job_id", "target_count")
+    size = wanted.groupBy("job_id").agg(F.count("*").cast("int").alias("target_count"))
+    found = wanted.select("job_id", "photo_id").join(ready, "photo_id")
+    whole = found.groupBy("job_id").agg(F.count("*").alias("_n")).join(size, "job_id").where("_n = target_count").drop("_n")
+    return found.join(whole, "job_id")
+
+
+def preview(candidates: DataFrame) -> DataFrame:
+    """Every candidate of every job once: ``selected``, ``rejected`` or ``blocked``, with reason and rank.
+
+    Selection runs among the photos whose licence and owner allow it. Blocked ones are reported. ``n_selected`` and
+    ``n_blocked`` are totals of the job; a job holds a bounded number of candidates, so they are a window.
+    """
+    facts = with_licence_flags(candidates)
+    blocked = block_reason(F.col("allows_derivatives"), F.col("allow_derivatives_in_stacks"))
+    facts = facts.withColumn("_blocked", blocked)
+    chosen = selection.select_frames(facts.where("_blocked is null"))
+    state = F.when(F.col("is_selected"), "selected").otherwise("rejected")
+    rows = chosen.select("job_id", "photo_id", state.alias("state"), "reason", "rank", "quality").unionByName(
+        facts.where("_blocked is not null").select(
+            "job_id", "photo_id", F.lit("blocked").alias("state"), F.col("_blocked").alias("reason"), F.lit(-1).alias("rank"),
+            F.coalesce("quality_score", F.lit(selection.UNKNOWN_QUALITY)).alias("quality"),
+        )
+    )
+    job = Window.partitionBy("job_id")
+    return rows.select(
+        "*", F.count(F.when(F.col("state") == "selected", 1)).over(job).alias("n_selected"),
+        F.count(F.when(F.col("state") == "blocked", 1)).over(job).alias("n_blocked"),
+    )
+
+
+def can_run() -> Column:
+    return (F.col("n_blocked") == 0) & (F.col("n_selected") >= 2)
+
+
+def plan_status(jobs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row per job: ``planned``, ``licence_blocked`` or ``too_few``, and the licence its result would have."""
+    n = preview(candidates).groupBy("job_id").agg(F.first("n_selected").alias("n_selected"), F.first("n_blocked").alias("n_blocked"))
+    licence = resolve_licence(candidates).select("job_id", "resulting_license")
+    d = jobs.select("job_id").join(n, "job_id", "left").join(licence, "job_id", "left").fillna(0, ["n_selected", "n_blocked"])
+    status = F.when(F.col("n_blocked") > 0, "licence_blocked").when(F.col("n_selected") < 2, "too_few").otherwise("planned")
+    return d.select("job_id", "n_selected", "n_blocked", "resulting_license", status.alias("status"))
+
+
 def plan_stacks(jobs: DataFrame, photos: DataFrame) -> DataFrame:
-    """Candidates, licence gate, selection and weights of all jobs in one plan.
+    """Candidates, licence gate, selection and weights of all selector jobs in one plan.
 
-    Returns one provenance row per considered photo: selected with its weight, or rejected with the
-    reason, with licence and author frozen.
+    A job that holds a blocked candidate, or fewer than two usable frames, is refused as a whole; the rest
+    get one provenance row per candidate, selected with its weight or rejected with the reason, with
+    licence and author frozen.
     """
-    cand = selection.job_candidates(jobs, photos)
-    facts = with_licence_flags(cand)
-    reason = block_reason(F.col("allows_derivatives"), F.col("allow_derivatives_in_stacks"))
-    facts = facts.withColumn("_blocked", reason)
-    allowed = facts.where("_blocked is null")
-    chosen = selection.select_frames(allowed)
-    return provenance_rows(chosen, photos)
+    return provenance_rows(preview(selection.job_candidates(jobs, photos)), photos)
 
 
-def provenance_rows(chosen: DataFrame, photos: DataFrame) -> DataFrame:
-    """Selected and rejected rows with the licence and author of the photo at this moment.
+def provenance_rows(rows: DataFrame, photos: DataFrame) -> DataFrame:
+    """Provenance of the jobs that can run, from their preview, with the photo's licence and author at this moment.
 
     Both kinds come from one pass over the choice: a job's candidates are bounded, so its quality
     total is a window over them and the choice is never computed twice.
     """
     job = Window.partitionBy("job_id")
-    picked = F.col("is_selected")
+    picked = F.col("state") == "selected"
     total = F.sum(F.when(picked, F.col("quality"))).over(job)
-    n = F.count(F.when(picked, F.lit(1))).over(job)
-    share = F.when(total > 0, F.try_divide(F.col("quality"), total)).otherwise(1.0 / n)
-    rows = chosen.select(
+    share = F.when(total > 0, F.try_divide(F.col("quality"), total)).otherwise(1.0 / F.col("n_selected"))
+    made = rows.where(can_run()).select(
         "job_id", "photo_id", F.when(picked, share).otherwise(0.0).alias("weight"),
         (~picked).alias("was_rejected"), F.col("reason").alias("rejection_reason"), "rank",
     )
-    return freeze(rows, photos)
+    return freeze(made, photos)
 
 
 def freeze(rows: DataFrame, photos: DataFrame) -> DataFrame:
@@ -158,7 +202,7 @@ def freeze(rows: DataFrame, photos: DataFrame) -> DataFrame:
 def plan_estimates(selected: DataFrame, jobs: DataFrame) -> DataFrame:
     """Size, cost, expected gain, limits and honest warnings of each plan.
 
-    ``selected`` has one row per (job, photo) with optics and dither columns.
+    ``selected`` has one row per (job, photo) with optics and dither columns; a job without any is estimated too.
     """
     c = F.col
     size = selected.groupBy("job_id").agg(
@@ -166,9 +210,8 @@ def plan_estimates(selected: DataFrame, jobs: DataFrame) -> DataFrame:
         F.max(F.when(c("focal_ratio") > 0, c("focal_length_mm") / c("focal_ratio"))).alias("aperture"),
         F.min(F.when(c("pixel_scale_arcsec") > 0, c("pixel_scale_arcsec"))).alias("finest"),
     )
-    d = jobs.select("job_id", "pipeline").join(size, "job_id").join(
-        selection.diversity(selected), "job_id"
-    )
+    d = jobs.select("job_id", "pipeline").join(size, "job_id", "left").join(selection.diversity(selected), "job_id", "left")
+    d = d.fillna(0, ["n"]).fillna(0.0, ["phase_diversity", "scale_diversity"])
     per_frame = F.lit(DEFAULT_SECONDS)
     for name, sec in SECONDS_PER_FRAME.items():
         per_frame = F.when(c("pipeline") == name, sec).otherwise(per_frame)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfield.functions.optics import phase_distance, scale_distance
-from lumenfield.operators.skew import spread
+from lumenfield.operators.skew import SALTS, spread
 
 QUALITY_WEIGHT = 0.65
 PHASE_WEIGHT, SCALE_WEIGHT = 0.7, 0.3
@@ -145,7 +145,13 @@ def job_candidates(jobs: DataFrame, photos: DataFrame, min_quality: float = 0.0)
     return wanted.join(best, "object_id").where(F.col("rank") <= F.col("_limit")).drop("_limit", "rank")
 
 
-def rank_within(df: DataFrame, group: list[str], order: list, limit: int) -> DataFrame:
-    """First ``limit`` rows per group; the limit is applied before the shuffle as well."""
+def rank_within(df: DataFrame, group: list[str], order: list, limit: int, ident: str, salts: int = SALTS) -> DataFrame:
+    """First ``limit`` rows per group: first within salted parts of it, then among what the parts kept.
+
+    No task sorts a whole group; the second sort sees at most ``salts * limit`` rows of one.
+    """
+    salt = F.pmod(F.xxhash64(ident), F.lit(salts))
+    parts = Window.partitionBy(*group, "_salt").orderBy(*order)
+    d = df.withColumn("_salt", salt).withColumn("rank", F.row_number().over(parts)).where(F.col("rank") <= limit).drop("_salt")
     w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)

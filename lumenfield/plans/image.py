@@ -87,7 +87,7 @@ def frame_weights(t):
     return out
 
 
-@query("robust_sigma", "A28", check("pixels", f"""select stack_id, frame_id, {s6(f'1.4826::double * median(abs(value - med)) / {px.truncated_mad(0.9)!r}::double')} as sigma from (select *, median(value) over (partition by stack_id, frame_id) as med
+@query("robust_sigma", "A28", check("pixels", f"""select stack_id, frame_id, {s6(f'1.4826::double * median(abs(value - med)) / 0.89325736754014::double')} as sigma from (select *, median(value) over (partition by stack_id, frame_id) as med
  from (select *, quantile_cont(value, 0.9) over (partition by stack_id, frame_id) as cut from pixels) where value <= cut) group by all"""))
 def robust_sigma(t):
     return round_all(px.robust_sigma(t.pixels, FR))

@@ -13,18 +13,23 @@ c = F.col
 VIS = "deleted_at is null and status = 'ready'"
 
 
+_CAND = f"""best as (select *, row_number() over (partition by object_id order by quality_score desc nulls last, photo_id) as rk from photos
+   where {VIS} and is_plate_solved and object_id is not null and (quality_score is null or quality_score >= 0)),
+ cand as (select j.job_id, j.target_count as target, b.* from jobs j join best b using (object_id) where rk <= least(2000, 4 * j.target_count + 200)),
+ pool0 as (select c.*, coalesce(quality_score, 0.5) as q, dither_phase_x is not null and dither_phase_y is not null and coalesce(pixel_scale_arcsec, 0) > 0 as solved from cand c)"""
+
+
 def _inputs(t):
-    """Job inputs with the licence and consent of their photo."""
-    p = t.photos.select("photo_id", "license", "allow_derivatives_in_stacks")
-    return t.job_inputs.join(p, "photo_id").withColumn("job_id", c("job_id") * 1000 + c("photo_id") % 1000)
+    """Candidates of every selector job, with licence and consent: what the licence gate judges."""
+    return selection.job_candidates(t.jobs, t.photos)
 
 
-_IN = """ins as (select job_id * 1000 + photo_id % 1000 as job_id, photo_id, license, allow_derivatives_in_stacks,
+_IN = _CAND + """, ins as (select job_id, photo_id, license, allow_derivatives_in_stacks,
   l.*, case when not allows_derivatives then 'no_derivatives' when not allow_derivatives_in_stacks then 'stack_opt_out' end as reason
-  from job_inputs join photos using (photo_id) join licences l on code = license)"""
+  from cand join licences l on code = license)"""
 
 
-@query("resolved_licences", "A7", check("job_inputs photos licences", """
+@query("resolved_licences", "A7", check("photos jobs licences", """
 select job_id, count(*) as n_inputs, count(reason) as n_blocked, case when count(reason) > 0 then null
   when bool_or(not allows_commercial) and bool_or(requires_sharealike) then 'CC-BY-NC-SA-4.0'
   when bool_or(not allows_commercial) then 'CC-BY-NC-4.0' when bool_or(requires_sharealike) then 'CC-BY-SA-4.0'
@@ -33,12 +38,12 @@ def resolved_licences(t):
     return jobs.resolve_licence(_inputs(t))
 
 
-@query("blocked_inputs", "A7", check("job_inputs photos licences", "select job_id, photo_id, license, reason from ins where reason is not null", _IN))
+@query("blocked_inputs", "A7", check("photos jobs licences", "select job_id, photo_id, license, reason from ins where reason is not null", _IN))
 def blocked_inputs(t):
     return jobs.blocked_inputs(_inputs(t))
 
 
-@query("most_restrictive_licence", "A8", check("job_inputs photos licences", "select job_id, arg_max(license, restrictiveness) as most_restrictive from ins group by 1", _IN))
+@query("most_restrictive_licence", "A8", check("photos jobs licences", "select job_id, arg_max(license, restrictiveness) as most_restrictive from ins group by 1", _IN))
 def most_restrictive_licence(t):
     return jobs.most_restrictive(_inputs(t))
 
@@ -92,10 +97,6 @@ def job_request_rules(t):
     return d.select("job_id", F.array_join("problems", ",").alias("problems"))
 
 
-_CAND = f"""best as (select *, row_number() over (partition by object_id order by quality_score desc nulls last, photo_id) as rk from photos
-   where {VIS} and is_plate_solved and object_id is not null and (quality_score is null or quality_score >= 0)),
- cand as (select j.job_id, j.target_count as target, b.* from jobs j join best b using (object_id) where rk <= least(2000, 4 * j.target_count + 200)),
- pool0 as (select c.*, coalesce(quality_score, 0.5) as q, dither_phase_x is not null and dither_phase_y is not null and coalesce(pixel_scale_arcsec, 0) > 0 as solved from cand c)"""
 _TOR = "sqrt(power(least(abs(e.x - b.x), 1 - abs(e.x - b.x)), 2) + power(least(abs(e.y - b.y), 1 - abs(e.y - b.y)), 2))"
 _DIST = f"case when e.solved and b.solved then 0.7::double * least(1, {_TOR} / sqrt(0.5::double)) + 0.3::double * least(1, abs(log2(e.s / b.s)) / 2) else 0 end"
 _GREEDY = f"""pool as (select *, solved or count(*) filter (solved) over (partition by job_id) < target as inpool from pool0 join licences on code = license where allows_derivatives and allow_derivatives_in_stacks),
@@ -107,13 +108,39 @@ _GREEDY = f"""pool as (select *, solved or count(*) filter (solved) over (partit
  picks as (select job_id, e.id as photo_id, e.sel as rank, e.q as q from fin where e.sel >= 0)"""
 
 
+_BLOCK = """, blk as (select job_id, count(*) filter (not (allows_derivatives and allow_derivatives_in_stacks)) as nb from pool0 join licences on code = license group by 1),
+ npick as (select job_id, count(*) as ns from picks group by 1)"""
+
+
 @query("plan_stacks", "W2 X1 S10 J8 U1 A12", check("photos jobs licences", f"""select job_id, photo_id, {s6("case when picks.rank is null then 0 when sum(picks.q) over w > 0 then picks.q / sum(picks.q) over w else 1 / count(picks.q) over w end")} as weight, picks.rank is null as was_rejected,
  case when picks.rank is null then case when inpool then 'not_selected' else 'unsolved' end end as rejection_reason, coalesce(picks.rank, -1) as rank, license as snapshot_license, attribution_name as snapshot_attribution_name
- from pool left join picks using (job_id, photo_id) window w as (partition by job_id, picks.rank is null)""", _CAND + ", " + _GREEDY))
+ from pool left join picks using (job_id, photo_id) join blk using (job_id) join npick using (job_id) where nb = 0 and ns >= 2 window w as (partition by job_id, picks.rank is null)""", _CAND + ", " + _GREEDY + _BLOCK))
 def plan_stacks(t):
     return round_all(jobs.plan_stacks(t.jobs, t.photos).withColumn("rank", c("rank").cast("bigint")))
 
 
+@query("plan_preview", "W2 X1 U1 S10", check("photos jobs licences", """select job_id, photo_id, case when picks.rank is not null then 'selected' else 'rejected' end as state,
+  case when picks.rank is null then case when inpool then 'not_selected' else 'unsolved' end end as reason, coalesce(picks.rank, -1) as rank
+ from pool left join picks using (job_id, photo_id)
+ union all select job_id, photo_id, 'blocked', case when not allows_derivatives then 'no_derivatives' else 'stack_opt_out' end, -1
+ from pool0 join licences on code = license where not (allows_derivatives and allow_derivatives_in_stacks)""", _CAND + ", " + _GREEDY))
+def plan_preview(t):
+    return jobs.preview(selection.job_candidates(t.jobs, t.photos)).select("job_id", "photo_id", "state", "reason", c("rank").cast("bigint").alias("rank"))
+
+
+_LICENCE = """, lic as (select job_id, case when bool_or(not (allows_derivatives and allow_derivatives_in_stacks)) then null
+  when bool_or(not allows_commercial) and bool_or(requires_sharealike) then 'CC-BY-NC-SA-4.0' when bool_or(not allows_commercial) then 'CC-BY-NC-4.0'
+  when bool_or(requires_sharealike) then 'CC-BY-SA-4.0' else arg_max(license, restrictiveness) end as resulting_license
+  from pool0 join licences on code = license group by 1)"""
+
+
+@query("plan_status", "A7 A8 X1 P16", check("photos jobs licences", """select job_id, coalesce(ns, 0) as n_selected, coalesce(nb, 0) as n_blocked, resulting_license,
+  case when coalesce(nb, 0) > 0 then 'licence_blocked' when coalesce(ns, 0) < 2 then 'too_few' else 'planned' end as status
+ from jobs left join blk using (job_id) left join npick using (job_id) left join lic using (job_id)""", _CAND + ", " + _GREEDY + _BLOCK + _LICENCE))
+def plan_status(t):
+    return jobs.plan_status(t.jobs, selection.job_candidates(t.jobs, t.photos))
+
+
 @query("selection_partition", "U5", check("photos jobs", """select job_id, n as candidates, least(target, case when ns >= target then ns else ne end) as selected, n - least(target, case when ns >= target then ns else ne end) as rejected, 0::bigint as both
  from (select job_id, any_value(target) as target, count(*) as n, count(*) filter (q >= 0.3) as ne, count(*) filter (q >= 0.3 and solved) as ns from pool0 group by 1)""", _CAND))
 def selection_partition(t):
@@ -126,20 +153,20 @@ def selection_partition(t):
     return n.join(g, "job_id")
 
 
-_TOP = f"""top as (select * from (select object_id as job_id, photo_id, dither_phase_x as x, dither_phase_y as y, pixel_scale_arcsec as s,
-   focal_length_mm, focal_ratio, row_number() over (partition by object_id order by quality_score desc nulls last, photo_id) as n
-   from photos where {VIS} and is_plate_solved and object_id is not null) where n <= 20),
+_TOP = _CAND + ", " + _GREEDY + """, top as (select k.job_id, k.photo_id, dither_phase_x as x, dither_phase_y as y, pixel_scale_arcsec as s, focal_length_mm, focal_ratio
+   from picks k join photos using (photo_id)),
  pairs as (select a.job_id, coalesce(least(1, sqrt(power(least(abs(a.x - b.x), 1 - abs(a.x - b.x)), 2) + power(least(abs(a.y - b.y), 1 - abs(a.y - b.y)), 2)) / sqrt(0.5::double)), 0) as p,
-   coalesce(least(1, abs(log2(a.s / b.s)) / 2), 0) as o from top a join top b on a.job_id = b.job_id and a.photo_id < b.photo_id where a.s > 0 and b.s > 0),
- div as (select job_id, avg(p) as phase, avg(o) as scale from pairs group by 1)"""
+   coalesce(least(1, abs(log2(a.s / b.s)) / 2), 0) as o from top a join top b on a.job_id = b.job_id and a.photo_id < b.photo_id where a.s > 0 and b.s > 0 and a.x is not null and b.x is not null),
+ div as (select job_id, coalesce(avg(p), 0) as phase, coalesce(avg(o), 0) as scale from (select distinct job_id from top) left join pairs using (job_id) group by 1)"""
 
 
 def _top(t):
-    d = search.stack_candidates(t.photos, 20)
-    return d.withColumnRenamed("object_id", "job_id")
+    """The frames that each job's preview selects, with their optics and dither."""
+    rows = jobs.preview(selection.job_candidates(t.jobs, t.photos)).where("state = 'selected'").select("job_id", "photo_id")
+    return rows.join(t.photos, "photo_id")
 
 
-@query("pairwise_diversity", "A13 J13", check("photos", f"select job_id, {s6('phase')} as phase_diversity, {s6('scale')} as scale_diversity from div", _TOP))
+@query("pairwise_diversity", "A13 J13", check("photos jobs licences", f"select job_id, {s6('phase')} as phase_diversity, {s6('scale')} as scale_diversity from div", _TOP))
 def pairwise_diversity(t):
     return round_all(selection.diversity(_top(t)))
 
@@ -153,13 +180,13 @@ def selection_weights(t):
     return selection.with_weights(d).select("job_id", "photo_id", r6("weight").alias("weight"))
 
 
-@query("plan_estimates", "A45", check("photos jobs", f"""
+@query("plan_estimates", "A45", check("photos jobs licences", f"""
 select job_id, n, {s6('phase')} as phase_diversity, {s6('scale')} as scale_diversity, sec * n as compute_seconds, {s6('sec * n * 0.000012::double')} as cost_usd,
  {s6('case when n >= 2 then 10 * log10(n::double) end')} as snr_gain_db, {s6('lim')} as best_limit_arcsec, {s6('finest / (1 + phase / 2)')} as reachable_scale_arcsec,
  concat_ws(',', case when phase < 0.15 then 'low_dither' end, case when finest < lim / 2 then 'oversampled' end, case when lim is not null then 'diffraction_ceiling' end, case when n < 5 then 'few_frames' end) as warnings,
  pipeline = 'burst-sr-v1' as uses_learned_model
-from (select *, 1.22::double * 550e-9 / (ap * 1e-3) * 206264.80624709636::double as lim, case pipeline when 'classical-stack-v1' then 1.5::double when 'drizzle-v1' then 4 else 12 end as sec
- from jobs join (select job_id, count(*) as n, max(focal_length_mm / focal_ratio) as ap, min(s) as finest from top group by 1) using (job_id) join div using (job_id))""", _TOP))
+from (select jobs.*, coalesce(n, 0) as n, coalesce(phase, 0) as phase, coalesce(scale, 0) as scale, finest, 1.22::double * 550e-9 / (ap * 1e-3) * 206264.80624709636::double as lim, case pipeline when 'classical-stack-v1' then 1.5::double when 'drizzle-v1' then 4 else 12 end as sec
+ from jobs left join (select job_id, count(*) as n, max(focal_length_mm / focal_ratio) as ap, min(s) as finest from top group by 1) using (job_id) left join div using (job_id))""", _TOP))
 def plan_estimates(t):
     d = jobs.plan_estimates(_top(t), t.jobs)
     return round_all(d.withColumn("warnings", F.array_join("warnings", ",")))
@@ -243,7 +270,7 @@ def attribution_rows(t):
     return records.attribution_rows(t.job_inputs, t.photos.select("photo_id", "attribution_name"))
 
 
-def _tree(src, key, text, groups="", levels=4):
+def _tree(src, key, text, groups="", levels=7):
     g = groups + ", " if groups else ""
     q = f"select {g}{key} as k, {text} as digest from {src}"
     for _ in range(levels):
@@ -252,7 +279,7 @@ def _tree(src, key, text, groups="", levels=4):
 
 
 @query("run_checksums", "A47 S8", check("job_inputs jobs", f"""select job_id, sha256(concat_ws('|', job_id, pipeline, object_id, digest)) as run_checksum
- from jobs join ({_tree('job_inputs', 'photo_id', "concat_ws(':', photo_id, was_rejected, snapshot_license)", 'job_id', 3)}) using (job_id)"""))
+ from jobs join ({_tree('job_inputs', 'photo_id', "concat_ws(':', photo_id, was_rejected, snapshot_license)", 'job_id')}) using (job_id)"""))
 def run_checksums(t):
     return records.run_checksums(t.jobs, t.job_inputs)
 
@@ -265,7 +292,7 @@ def frame_checksums(t):
 
 @query("provenance_record", "S8", check("job_inputs jobs", f"""select job_id, '{{"schema":"provenance/1","run_checksum":"' || sha256(concat_ws('|', job_id, pipeline, object_id, digest))
  || '","deterministic":{{"job_id":' || job_id || ',"pipeline":"' || pipeline || '","object_id":' || object_id || '}},"volatile":{{"status":"' || status || '"}}}}' as record
- from jobs join ({_tree('job_inputs', 'photo_id', "concat_ws(':', photo_id, was_rejected, snapshot_license)", 'job_id', 3)}) using (job_id)"""))
+ from jobs join ({_tree('job_inputs', 'photo_id', "concat_ws(':', photo_id, was_rejected, snapshot_license)", 'job_id')}) using (job_id)"""))
 def provenance_record(t):
     return records.provenance_json(t.jobs, t.job_inputs, F.struct("status"))
 

@@ -91,7 +91,7 @@ def matched_filter(t):
 
 
 def _robust_sql(name, src):
-    t = repr(px.truncated_mad(0.9))
+    t = "0.89325736754014"
     return f"""{name} as (select stack_id, 1.4826::double * median(abs(image - med)) / {t}::double as sig from (select *, median(image) over (partition by stack_id) as med from (select *, quantile_cont(image, 0.9) over (partition by stack_id) as cut from {src}) where image <= cut) group by 1)"""
 
 

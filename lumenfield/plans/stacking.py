@@ -228,7 +228,7 @@ def reprojected_frames(t):
     return d.select(*FR, "ox", "oy", r1("value").alias("value"), r1("variance").alias("variance"))
 
 
-@query("reprojected_noise", "X5", check("pixels frames", f"""select stack_id, frame_id, any_value(n) as n, {s3(f'1.4826::double * median(abs(value - med)) / {px.truncated_mad(0.9)!r}::double')} as sigma from (select *, median(value) over (partition by stack_id, frame_id) as med from (
+@query("reprojected_noise", "X5", check("pixels frames", f"""select stack_id, frame_id, any_value(n) as n, {s3(f'1.4826::double * median(abs(value - med)) / 0.89325736754014::double')} as sigma from (select *, median(value) over (partition by stack_id, frame_id) as med from (
   select *, count(*) over (partition by stack_id, frame_id) as n, quantile_cont(value, 0.9) over (partition by stack_id, frame_id) as cut from rp where w > 1 - 1e-9) where value <= cut) group by stack_id, frame_id""", _GRID + ", " + _REP))
 def reprojected_noise(t):
     d = drizzle.rescale_variance(drizzle.reproject(t.pixels, t.frames, drizzle.output_grids(t.frames)))

@@ -66,8 +66,8 @@ def photos(d: SparkText) -> str:
       case substr(o_orderpriority, 1, 1) when '1' then 'L' when '2' then 'R' when '3' then 'G'
         when '4' then 'B' else 'Ha' end as filter_name,
       {k} % 3 <> 0 as is_tracked,
-      {_pick(f'{k} % 8', _text(LICENCE_ORDER))} as license,
-      {k} % 19 <> 0 as allow_derivatives_in_stacks,
+      case when {c} % 50 % 3 = 0 then {_pick(f'{k} % 5', _text(LICENCE_ORDER[:5]))} else {_pick(f'{k} % 8', _text(LICENCE_ORDER))} end as license,
+      {c} % 50 % 3 = 0 or {k} % 19 <> 0 as allow_derivatives_in_stacks,
       {k} % 5 <> 0 as allow_ai_training,
       case when {k} % 4 = 0 then null else concat('Author ', cast({c} as varchar(20))) end
         as attribution_name,

@@ -121,7 +121,7 @@ def dead_letters(receives: DataFrame, message: str = "photo_id") -> DataFrame:
     """Messages received at least five times without success, with the time of the fifth receive."""
     from lumenfield.operators.selection import rank_within
 
-    fifth = rank_within(receives, [message], [F.asc("ts"), F.asc("event_id")], MAX_RECEIVES)
+    fifth = rank_within(receives, [message], [F.asc("ts"), F.asc("event_id")], MAX_RECEIVES, "event_id")
     return fifth.where(F.col("rank") == MAX_RECEIVES).select(message, F.col("ts").alias("dead_at"))
 
 

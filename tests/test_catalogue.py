@@ -220,3 +220,41 @@ def test_record_sinks(cat, folder):
     records.append(audit, folder + "/audit")
     stored = cat.spark.read.parquet(folder + "/audit")
     assert stored.count() == 2 * audit.count() and stored.where("ip_hash like '%10.0%'").count() == 0
+
+
+def test_checksum_has_one_row_per_job_for_any_id(spark):
+    rows = [(j, p, False, "CC0-1.0") for j in (1, 2) for p in (5, 3_000_000_000, 2_000_000_000_000_123, 9_223_372_036_854_775_807)]
+    inputs = spark.createDataFrame(rows, "job_id long, photo_id long, was_rejected boolean, snapshot_license string")
+    j = spark.createDataFrame([(1, "drizzle-v1", 3), (2, "drizzle-v1", 3)], "job_id long, pipeline string, object_id long")
+    got = records.run_checksums(j, inputs).collect()
+    assert sorted(r.job_id for r in got) == [1, 2]
+    again = records.run_checksums(j, inputs.orderBy(F.desc("photo_id"))).collect()
+    assert {r.job_id: r.run_checksum for r in got} == {r.job_id: r.run_checksum for r in again}
+
+
+def test_listed_jobs_take_all_or_nothing(cat):
+    ready = [r.photo_id for r in cat.photos.where("status = 'ready' and deleted_at is null").orderBy("photo_id").limit(3).collect()]
+    failed = cat.photos.where("status = 'failed'").first().photo_id
+    wanted = cat.spark.createDataFrame([(1, p) for p in ready] + [(2, ready[0]), (2, failed), (3, ready[1]), (3, -1)], "job_id long, photo_id long")
+    got = jobs.explicit_candidates(wanted, cat.photos).select("job_id", "photo_id", "target_count").collect()
+    assert sorted(map(tuple, got)) == [(1, p, 3) for p in ready]
+
+
+def test_refused_jobs_write_no_provenance(cat):
+    from lumenfield.operators import selection
+
+    cand = selection.job_candidates(cat.jobs, cat.photos)
+    status = {r.job_id: r.status for r in jobs.plan_status(cat.jobs, cand).collect()}
+    planned = {r.job_id for r in jobs.plan_stacks(cat.jobs, cat.photos).select("job_id").distinct().collect()}
+    assert planned == {j for j, s in status.items() if s == "planned"}
+    assert {"planned", "licence_blocked"} <= set(status.values())
+    assert jobs.preview(cand).count() == cand.count()
+
+
+def test_top_rows_of_a_hot_group_are_exact(spark):
+    from lumenfield.operators.selection import rank_within
+
+    df = spark.range(20_000).selectExpr("1 as g", "id", "(id * 7919) % 20011 as v")
+    got = [(r["rank"], r.id) for r in rank_within(df, ["g"], [F.desc("v"), F.asc("id")], 50, "id").orderBy("rank").collect()]
+    want = sorted(range(20_000), key=lambda i: (-((i * 7919) % 20011), i))[:50]
+    assert got == list(enumerate(want, 1))
