@@ -16,16 +16,17 @@ from lumenfield.plans.registry import check, query, r6
 c = F.col
 
 
-def _live(t, name):
-    """A derived table over the event file read as a stream."""
+def _live(t, name, order="event_id"):
+    """A derived table over the event table, replayed in several micro-batches in event order."""
     build, needs = TABLES[name]
-    stream = flows.file_stream(t.spark, t.folder, needs[0])
+    source = t.given(needs[0])
+    stream = flows.replay(source, order if order in source.columns else source.columns[0], work_folder(t.spark, f"replay-{name}"))
     return t.spark.sql(build(SparkText()), **{needs[0]: stream})
 
 
-def _drained(t, stream, name, mode="append", part="rows", split=None):
+def _drained(t, stream, name, mode="append", part="rows", split=None, once=None):
     folder = work_folder(t.spark, name)
-    flows.run_to_folder(stream, folder, mode, split)
+    flows.run_to_folder(stream, folder, mode, split, once)
     return t.spark.read.parquet(f"{folder}/{part}")
 
 
@@ -69,18 +70,26 @@ def stats_windows_stream(t):
     return d.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "n", "views", r6("value").alias("value"))
 
 
-@query("rate_limit_decisions", "T5", check("activity jobs", """select event_id, user_id, case when act >= 5 then 'active_limit' when n > 20 then 'daily_limit' else 'ok' end as decision,
- case when act >= 5 then 60 when n > 20 then 3600 end::bigint as retry_after from (select event_id, user_id, coalesce(act, 0) as act,
-  count(*) over (partition by user_id order by epoch_us(ts) range between 86399999999 preceding and current row) as n
-  from (select *, user_id as u from activity where event_type in ('purchase', 'signup', 'view')) left join (select requested_by as u, count(*) as act from jobs where status in ('queued', 'running') group by 1) using (u))"""))
+_RATE = check("activity jobs", """select event_id, user_id, case when act >= 5 then 'active_limit' when not ok then 'daily_limit' else 'ok' end as decision,
+ case when act >= 5 then 60 when not ok then 3600 end::bigint as retry_after from walk""", """req as materialized (select event_id, user_id, epoch_us(ts) as t, coalesce(act, 0) as act, row_number() over (partition by user_id order by ts, event_id) as n
+  from (select *, user_id as u from activity where event_type in ('purchase', 'signup', 'view')) left join (select requested_by as u, count(*) as act from jobs where status in ('queued', 'running') group by 1) using (u)),
+ walk as (select event_id, user_id, act, n, true as ok, [t] as kept from req where n = 1
+  union all select event_id, user_id, act, n, len(recent) < 20, case when len(recent) < 20 then list_append(recent, t) else recent end
+   from (select q.*, list_filter(w.kept, lambda k: k > q.t - 86400000000) as recent from walk w join req q on q.user_id = w.user_id and q.n = w.n + 1))""")
+_ASKED = "event_type in ('purchase', 'signup', 'view')"
+
+
+@query("rate_limit_decisions", "T5", _RATE)
 def rate_limit_decisions(t):
-    d = twins.rate_decisions(t.activity.where("event_type in ('purchase', 'signup', 'view')"), t.jobs)
+    d = twins.rate_decisions(t.activity.where(_ASKED), t.jobs)
     return d.withColumn("retry_after", c("retry_after").cast("bigint"))
 
 
-@query("rate_limit_stream", "T5")
+@query("rate_limit_stream", "T5", _RATE)
 def rate_limit_stream(t):
-    return _drained(t, flows.rate_limit_stream(_live(t, "activity").select("event_id", "user_id", "ts")), "rate").select("event_id", "user_id", "decision")
+    asked = _live(t, "activity").where(_ASKED).select("event_id", "user_id", "ts")
+    d = _drained(t, flows.rate_limit_stream(asked, t.jobs), "rate")
+    return d.select("event_id", "user_id", "decision", c("retry_after").cast("bigint").alias("retry_after"))
 
 
 _COUNT = check("activity", "select photo_id, count(*) filter (event_type = 'view') as views, count(*) filter (event_type = 'click') as downloads from activity group by 1")
@@ -115,7 +124,7 @@ def idempotent_requests(t):
 @query("first_requests_stream", "T8", check("activity", "select distinct user_id, k from activity where event_type = 'purchase'"))
 def first_requests_stream(t):
     d = flows.first_request_stream(_live(t, "activity").where("event_type = 'purchase'"))
-    return _drained(t, d, "requests").select("user_id", "k")
+    return _drained(t, d, "requests", once=flows.REQUEST_ONCE).select("user_id", "k")
 
 
 _STORE = check("storage_changes", """select change_id, owner_id, (p - least(0, min(p) over (partition by owner_id order by ts, change_id)))::bigint as used_bytes from (select *, sum(d) over (partition by owner_id order by ts, change_id) as p from (select *,
@@ -169,7 +178,7 @@ def job_states_stream(t):
 def ingest_stream(t):
     m = _live(t, "activity").select("photo_id", c("ts").alias("enqueued_at"))
     d = flows.ingest_stream(m, t.photos.drop("created_at"), t.analysis)
-    return _drained(t, d, "ingest").select("photo_id", "status", r6("d_quality_score").alias("quality"))
+    return _drained(t, d, "ingest", once=flows.INGEST_ONCE).select("photo_id", "status", r6("d_quality_score").alias("quality"))
 
 
 # --- uploads, folders, manifests ---------------------------------------------------------------------

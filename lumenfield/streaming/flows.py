@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from lumenfield.operators import ingest
-from lumenfield.operators.jobs import MAX_PER_DAY, TERMINAL
+from lumenfield.operators.jobs import MAX_ACTIVE, TERMINAL
 from lumenfield.sources.files import verify_uploads
+from lumenfield.streaming import twins
 from lumenfield.streaming.twins import MAX_RECEIVES, signed_bytes
 
-DAY = pd.Timedelta(days=1)
-
 
 def file_stream(spark: SparkSession, folder: str, table: str, per_trigger: int = 64) -> DataFrame:
     """Stream one table from a folder; the number of files bounds each micro-batch."""
@@ -28,13 +28,43 @@ def file_stream(spark: SparkSession, folder: str, table: str, per_trigger: int =
     )
 
 
+def replay(df: DataFrame, by: str, folder: str, batches: int = 4) -> DataFrame:
+    """A finished table as a stream of ``batches`` micro-batches in the order of the number ``by``."""
+    cuts = df.approxQuantile(by, [i / batches for i in range(1, batches)], 0.01)
+    bounds = [None, *sorted(set(cuts)), None]
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        part = df if low is None else df.where(F.col(by) >= low)
+        part = part if high is None else part.where(F.col(by) < high)
+        part.write.mode("append").parquet(folder)
+    n = df.sparkSession.read.parquet(folder).select(F.input_file_name().alias("f")).distinct().count()
+    per = max(1, n // batches)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", per).parquet(folder)
+
+
 def run_to_folder(
-    stream: DataFrame, folder: str, mode: str = "append", split: Callable[[DataFrame], dict] | None = None
+    stream: DataFrame,
+    folder: str,
+    mode: str = "append",
+    split: Callable[[DataFrame], dict] | None = None,
+    once: tuple[list[str], str] | None = None,
 ) -> None:
-    """Drain the stream into Parquet. Each batch overwrites its own partition, so replays are safe."""
+    """Drain the stream into Parquet. Each batch overwrites its own partition, so replays are safe.
+
+    ``once`` names key columns and an order column: only the first row of each key is written, for ever. Keys of
+    earlier batches are looked up in what was written, so nothing is held as state and nothing is forgotten.
+    """
+
+    def first_only(batch: DataFrame, name: str, batch_id: int) -> DataFrame:
+        keys, order = once
+        rows = batch.groupBy(*keys).agg(F.min_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
+        if not batch_id:
+            return rows
+        written = batch.sparkSession.read.parquet(f"{folder}/{name}").where(F.col("batch_id") < batch_id)
+        return rows.join(written.select(*keys).distinct(), keys, "left_anti")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         for name, part in (split(batch) if split else {"rows": batch}).items():
+            part = first_only(part, name, batch_id) if once else part
             part.write.mode("overwrite").parquet(f"{folder}/{name}/batch_id={batch_id}")
 
     q = (
@@ -52,16 +82,19 @@ def _ordered(batches, *by: str) -> pd.DataFrame:
     return pd.concat(list(batches)).sort_values(list(by), kind="stable")
 
 
+INGEST_ONCE, REQUEST_ONCE = (["photo_id"], "enqueued_at"), (["user_id", "k"], "event_id")
+
+
 # --- ingest and verification -----------------------------------------------------------------------
 
 
 def ingest_stream(messages: DataFrame, photos: DataFrame, analysis: DataFrame) -> DataFrame:
-    """At-least-once messages, once per photo; ready photos are skipped, broken ones fail.
+    """At-least-once messages; ready photos are skipped, broken ones fail.
 
-    ``messages`` needs ``photo_id`` and the event time ``enqueued_at``.
+    ``messages`` needs ``photo_id`` and the event time ``enqueued_at``. Drain it with ``INGEST_ONCE``, so that
+    a replay never writes a photo again, however late it comes.
     """
-    once = messages.withWatermark("enqueued_at", "1 day").dropDuplicatesWithinWatermark(["photo_id"])
-    todo = once.select("photo_id", "enqueued_at").join(
+    todo = messages.select("photo_id", "enqueued_at").join(
         photos.where("status <> 'ready'"), "photo_id"
     )
     merged = todo.join(analysis.select("photo_id", F.lit(True).alias("_analysed")), "photo_id", "left")
@@ -131,29 +164,27 @@ def progress_stream(polls: DataFrame, cap_seconds: int) -> DataFrame:
     )
 
 
-def rate_limit_stream(requests: DataFrame) -> DataFrame:
-    """Admission per user: at most twenty admitted requests in any 24 hours.
+def rate_limit_stream(requests: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Admission per user by active jobs and admitted requests; the same rule as ``twins.rate_decisions``.
 
     State is the list of admitted times in the last day, so it never exceeds the limit.
     """
+    d = requests.join(twins.active_jobs(jobs), "user_id", "left").fillna(0, ["n_active"])
 
     def step(key, batches, state):
+        rows = _ordered(batches, "ts", "event_id")
         kept = list(state.get[0]) if state.exists else []
-        out = []
-        for r in _ordered(batches, "ts", "event_id").itertuples():
-            now = r.ts.value // 1000
-            kept = [t for t in kept if t > now - DAY.value // 1000]
-            ok = len(kept) < MAX_PER_DAY
-            if ok:
-                kept.append(now)
-            out.append((r.event_id, key[0], "ok" if ok else "daily_limit"))
+        full = rows["n_active"].to_numpy() >= MAX_ACTIVE
+        ok = np.zeros(len(rows), bool)
+        ok[~full] = twins.admissions(rows["ts"].to_numpy().astype("datetime64[us]").astype("int64")[~full], kept)
         state.update((kept,))
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "decision"])
+        yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "n_active": rows["n_active"], "admitted": ok})
 
-    return requests.groupBy("user_id").applyInPandasWithState(
-        step, "event_id bigint, user_id bigint, decision string", "kept array<bigint>", "append",
+    rows = d.select("event_id", "user_id", "ts", "n_active").groupBy("user_id").applyInPandasWithState(
+        step, "event_id bigint, user_id bigint, n_active bigint, admitted boolean", "kept array<bigint>", "append",
         GroupStateTimeout.NoTimeout,
     )
+    return twins.with_reasons(rows)
 
 
 def counter_stream(activity: DataFrame) -> DataFrame:
@@ -170,8 +201,8 @@ def window_stream(activity: DataFrame, every: str = "5 minutes", late: str = "10
 
 
 def first_request_stream(requests: DataFrame) -> DataFrame:
-    """First request per (user, key); replays inside the watermark are dropped."""
-    return requests.withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["user_id", "k"])
+    """Requests by (user, key); drained with ``REQUEST_ONCE`` only the first of each is ever written."""
+    return requests
 
 
 def storage_stream(changes: DataFrame) -> DataFrame:

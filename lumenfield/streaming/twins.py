@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,19 +55,69 @@ def window_stats(activity: DataFrame, every: str = "5 minutes") -> DataFrame:
     )
 
 
-def rate_decisions(requests: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Admit or refuse each request by the user's active jobs and requests in the last 24 hours."""
-    active = jobs.where(F.col("status").isin("queued", "running")).groupBy(
+DAY_US = 86_400_000_000
+
+
+def admissions(times: np.ndarray, kept: list[int]) -> np.ndarray:
+    """Which requests of one user, in time order, are admitted; ``kept`` holds the admitted times of the last day.
+
+    Only admitted requests count against the limit. ``kept`` never grows beyond the limit; a full day jumps
+    straight to the request at which its oldest entry has expired.
+    """
+    ok, i = np.zeros(len(times), bool), 0
+    while i < len(times):
+        while kept and kept[0] <= times[i] - DAY_US:
+            kept.pop(0)
+        if len(kept) < MAX_PER_DAY:
+            ok[i] = True
+            kept.append(int(times[i]))
+            i += 1
+        else:
+            i = int(np.searchsorted(times, kept[0] + DAY_US))
+    return ok
+
+
+def active_jobs(jobs: DataFrame) -> DataFrame:
+    return jobs.where(F.col("status").isin("queued", "running")).groupBy(
         F.col("requested_by").alias("user_id")
     ).agg(F.count("*").alias("n_active"))
-    d = scan.rolling_count(requests, ["user_id"], "ts", "event_id")
-    d = salted_lookup(d, active, ["user_id"], "event_id").fillna(0, ["n_active"])
-    earlier = F.col("n_window") - 1
-    why = F.when(F.col("n_active") >= MAX_ACTIVE, "active_limit").when(earlier >= MAX_PER_DAY, "daily_limit")
+
+
+def with_reasons(d: DataFrame) -> DataFrame:
+    """Decision and seconds to wait, from ``n_active`` and ``admitted``; the active limit is named first."""
+    why = F.when(F.col("n_active") >= MAX_ACTIVE, "active_limit").when(~F.col("admitted"), "daily_limit")
     wait = F.when(why == "active_limit", 60).when(why == "daily_limit", 3600)
     return d.select("event_id", "user_id", F.coalesce(why, F.lit("ok")).alias("decision"), wait.alias("retry_after"))
 
 
+def rate_decisions(requests: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Admit or refuse each request by the user's active jobs and admitted requests in the last 24 hours.
+
+    Each decision depends on earlier ones, so a user's requests pass in order through one task; what is held
+    is one Arrow batch and the admitted times of a day, however many requests the user sends. Users at the
+    active limit are settled without that.
+    """
+    d = salted_lookup(requests.select("event_id", "user_id", "ts"), active_jobs(jobs), ["user_id"], "event_id").fillna(0, ["n_active"])
+    full = d.where(F.col("n_active") >= MAX_ACTIVE).withColumn("admitted", F.lit(False)).drop("ts")
+
+    def run(batches):
+        user, kept = None, []
+        for batch in batches:
+            who, t = batch.column("user_id").to_numpy(zero_copy_only=False), batch.column("t").to_numpy(zero_copy_only=False)
+            ok = np.zeros(len(who), bool)
+            cuts = [0, *(np.flatnonzero(who[1:] != who[:-1]) + 1).tolist(), len(who)] if len(who) else []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if who[a] != user:
+                    user, kept = who[a], []
+                ok[a:b] = admissions(t[a:b], kept)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("event_id", "user_id", "n_active")], pa.array(ok)], ["event_id", "user_id", "n_active", "admitted"])
+
+    rest = d.where(F.col("n_active") < MAX_ACTIVE).select("event_id", "user_id", "n_active", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    rest = rest.repartition("user_id").sortWithinPartitions("user_id", "t", "event_id")
+    open_ = rest.mapInArrow(run, "event_id bigint, user_id bigint, n_active bigint, admitted boolean")
+    return with_reasons(full.select(*open_.columns).unionByName(open_))
+
+
 def counters(activity: DataFrame) -> DataFrame:
     return activity.groupBy("photo_id").agg(
         F.count_if(F.col("event_type") == "view").alias("views"),
