@@ -47,11 +47,13 @@ def annotate(
     fn: Callable[[pa.Array], pa.Array],
     carry: list[str] | None = None,
     size: int = BLOCK,
+    after: Callable[[], None] | None = None,
 ) -> DataFrame:
     """``df`` with a struct column ``out`` of type ``kind``; ``fn`` makes it from an array of texts.
 
     ``carry`` names the columns that stay (all by default). A column that is already called ``out`` is
-    replaced; no other name can clash, because the text travels under a name that is not in ``df``.
+    replaced; no other name can clash, because the text travels under a name that is not in ``df``. ``after``
+    runs at the end of a task.
     """
     keep = [c for c in (df.columns if carry is None else carry) if c != out]
     own = "_text"
@@ -65,5 +67,7 @@ def annotate(
             for b in blocks(batch, own, size):
                 made = fn(b.column(own))
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], made], [*keep, out])
+        if after:
+            after()
 
     return source.mapInArrow(run, schema)

@@ -26,7 +26,9 @@ from lumenfield.llm.batches import annotate
 
 #: how byte-level tokenizers cut text into words (a fixed public pattern)
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE = 800_000
+CACHE = 600_000
+#: bytes up to which merging scans all pairs
+SHORT = 48
 KIND = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 _NEVER = np.int64(1) << 40
 
@@ -65,11 +67,17 @@ class Vocabulary:
             if self.born[z] < 0:
                 self.born[z], self.left[z], self.right[z] = rank, x, y
         self.ranks = ranks
+        self.rank = {pair: r for pair, (r, _) in ranks.items()}
+        self.made = {r: z for r, z in ranks.values()}
+        self.byte_id = [self.ids[bytes([b])] for b in range(256)]
         keys = np.array([x * size + y for x, y in ranks], np.int64)
         order = np.argsort(keys)
         self.keys, self.key_rank = keys[order], np.array([r for r, _ in ranks.values()], np.int64)[order]
-        self.longest = max(map(len, self.ids))
         self.proper = self._proper()
+        #: length of the longest proper entry by its first two bytes
+        self.reach: dict[bytes, int] = {}
+        for k in self.proper:
+            self.reach[k[:2]] = max(self.reach.get(k[:2], 1), len(k))
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.length = np.array([len(x) for x in self.bytes])
         self.offset = np.cumsum(self.length) - self.length
@@ -110,9 +118,12 @@ class Vocabulary:
 
     def propose(self, word: bytes) -> list[int]:
         """Longest proper vocabulary entry at each place; single bytes are always entries."""
-        out, i, n, find = [], 0, len(word), self.proper.get
+        find, reach, n = self.proper.get, self.reach.get, len(word)
+        out, i = [], 0
         while i < n:
-            j = min(n, i + self.longest)
+            j = i + reach(word[i : i + 2], 1)
+            if j > n:
+                j = n
             while (t := find(word[i:j])) is None:
                 j -= 1
             out.append(t)
@@ -121,6 +132,26 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: always the lowest rank, leftmost first."""
+        if len(word) > SHORT:
+            return self._merge_long(word)
+        find, never, made = self.rank.get, int(_NEVER), self.made
+        token = list(map(self.byte_id.__getitem__, word))
+        ranked = [find(p, never) for p in zip(token, token[1:])]  # noqa: B905
+        while ranked:
+            best = min(ranked)
+            if best == never:
+                break
+            i = ranked.index(best)
+            token[i] = made[best]
+            del token[i + 1], ranked[i]
+            if i:
+                ranked[i - 1] = find((token[i - 1], token[i]), never)
+            if i < len(ranked):
+                ranked[i] = find((token[i], token[i + 1]), never)
+        return token
+
+    def _merge_long(self, word: bytes) -> list[int]:
+        """The same with a heap, for words of any length."""
         token: list[int] = [self.ids[word[i : i + 1]] for i in range(len(word))]
         n = len(token)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -175,6 +206,7 @@ class Encoder:
         self.library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         self.letters = byte_letters()
         self.known: dict[str, str] = {}
+        self.last: tuple[list, list] = [], []
         self.seen: set[str] = set()
         self.odd: set[str] = set()
 
@@ -194,6 +226,10 @@ class Encoder:
             return [bytes(self.letters[c] for c in w).decode() for w, _ in self.library.pre_tokenize_str(part)]
         return self.split.findall(part)
 
+    def rest(self) -> None:
+        """Between tasks an idle worker keeps only the words of its last block."""
+        self.known = {w: x for row, f in zip(*self.last, strict=True) for w, x in zip(row, f, strict=True)}
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text, as the tokenizers library gives them without adding special tokens."""
         self.note_characters(texts)
@@ -221,6 +257,7 @@ class Encoder:
             self.known.update({w: str(special[w]) for w in new if w in special})
             for f, i, w in missing:
                 f[i] = self.known[w]
+        self.last = rows, found
         return [np.fromstring(",".join(f), np.int32, sep=",") if f else np.zeros(0, np.int32) for f in found]
 
 
@@ -247,4 +284,4 @@ def round_trip(df: DataFrame, path: str, text: str = "text", out: str = "bpe", c
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat, pa.int32()))
         return pa.StructArray.from_arrays([lists, pa.array([e.vocabulary.decode(x) for x in ids], pa.string())], ["ids", "decoded"])
 
-    return annotate(df, text, out, KIND, run, carry)
+    return annotate(df, text, out, KIND, run, carry, after=lambda: encoder(path).rest())

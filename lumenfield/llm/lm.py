@@ -30,6 +30,8 @@ ORDER, BACKOFF = 3, 0.4
 #: bits of a hash within its bucket. With 256 buckets a hash has 52 bits: of 100 million n-grams about one pair
 #: shares its count. The buckets, and so the bits, grow with the cluster.
 KEY_BITS = 44
+#: larger blocks ask for an n-gram less often
+BLOCK_BYTES = 4 << 20
 _U = np.uint64
 _MESSAGE = "bucket int, block long, body binary"
 
@@ -54,27 +56,37 @@ class Grams:
         return count[back]
 
 
-def _pack(parts: list[tuple[np.ndarray, ...]], widths: tuple[int, ...]) -> bytes:
-    """For each order: its length, then its columns; compressed, because counts and high bytes repeat."""
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.int32(len(p[0])).tobytes() + b"".join(planes(x, w) for x, w in zip(p, widths, strict=True)) for p in parts))
-
-
-def _unpack(raw: bytes, widths: tuple[int, ...]) -> list[list[np.ndarray]]:
-    out, at, raw = [], 0, zstandard.ZstdDecompressor().decompress(raw)
-    while at < len(raw):
-        n = int(np.frombuffer(raw, np.int32, 1, at)[0])
-        at += 4
-        columns = []
-        for w in widths:
-            columns.append(unplaned(raw, n, w, at).view(np.int64))
-            at += n * w
-        out.append(columns)
+#: columns of a question (hash, count) and of an answer (total): bytes of a value, and how many low bytes look random
+_ASK, _TELL = ((6, 4), (4, 0)), ((6, 0),)
+
+
+def _pack(parts: list[tuple[np.ndarray, ...]], columns: tuple[tuple[int, int], ...]) -> bytes:
+    """Lengths of the orders, random bytes as they are, and the rest compressed: high bytes and counts repeat."""
+    low, high = [], []
+    for part in parts:
+        for x, (width, plain) in zip(part, columns, strict=True):
+            x = x.astype(np.uint64)
+            low.append(planes(x, plain))
+            high.append(planes(x >> _U(8 * plain), width - plain))
+    head = np.array([len(parts), *[len(p[0]) for p in parts]], np.int32).tobytes()
+    return head + b"".join(low) + zstandard.ZstdCompressor(level=3).compress(b"".join(high))
+
+
+def _unpack(raw: bytes, columns: tuple[tuple[int, int], ...]) -> list[list[np.ndarray]]:
+    sizes = np.frombuffer(raw, np.int32, int(np.frombuffer(raw, np.int32, 1)[0]), 4).tolist()
+    at = 4 + 4 * len(sizes)
+    cut = at + sum(n * plain for n in sizes for _, plain in columns)
+    high, place, out = zstandard.ZstdDecompressor().decompress(raw[cut:]), 0, []
+    for n in sizes:
+        row = []
+        for width, plain in columns:
+            x = unplaned(raw, n, plain, at) | (unplaned(high, n, width - plain, place) << _U(8 * plain))
+            at, place = at + n * plain, place + n * (width - plain)
+            row.append(x.view(np.int64))
+        out.append(row)
     return out
 
 
-_ASK, _TELL = (6, 4), (6,)
-
-
 def _questions(order: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.arange(1, 1 << bits, dtype=np.uint64) << _U(64 - bits)
@@ -168,7 +180,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = O
     """
     spark = df.sparkSession
     bits = _bucket_bits(spark)
-    texts = stored(text_blocks(df, key, text), "lm-blocks")
+    texts = stored(text_blocks(df, key, text, BLOCK_BYTES), "lm-blocks")
     told = texts.mapInArrow(_questions(order, bits), _MESSAGE).groupBy("bucket").applyInArrow(_totals, _MESSAGE)
     n_corpus = texts.select(F.sum("n_words")).first()[0] or 0
     schema = "id long, n_words long, log_score double, " + ", ".join(f"n_order{n} long" for n in range(order, -1, -1))

@@ -65,19 +65,19 @@ def _normal(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray, i
     return clean[flag].tobytes(), np.diff(keep[offsets]), len(w.start)
 
 
-def text_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
+def text_blocks(df: DataFrame, key: str, text: str, size: int = TEXT_BLOCK) -> DataFrame:
     """Documents in blocks of whole rows: ids, bytes of each text, and all texts compressed."""
     source = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=6)
         for batch in batches:
-            for b in blocks(batch, "text", TEXT_BLOCK):
+            for b in blocks(batch, "text", size):
                 parts = [_normal(*text_bytes(x.column("text"))) for x in blocks(b, "text", BLOCK)]
                 raw = b"".join(x for x, _, _ in parts)
-                size = np.concatenate([n for _, n, _ in parts]).astype(np.int32)
+                length = np.concatenate([n for _, n, _ in parts]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([size], pa.list_(pa.int32())), pa.array([len(raw)], pa.int32()), pa.array([sum(n for _, _, n in parts)], pa.int64()), pa.array([pack.compress(raw)], pa.binary())],
+                    [pa.array([b.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([length], pa.list_(pa.int32())), pa.array([len(raw)], pa.int32()), pa.array([sum(n for _, _, n in parts)], pa.int64()), pa.array([pack.compress(raw)], pa.binary())],
                     ["ids", "bytes", "raw", "n_words", "text"],
                 )
 
