@@ -137,22 +137,25 @@ def calibrated_pixels(t):
 
 # --- kernels and geometry ----------------------------------------------------------------------------
 _SIG = "fwhm_px / (2 * sqrt(2 * ln(2)))"
-_KER = f"""off as (select unnest(range(-5, 6)) as v), ker as (select stack_id, frame_id, a.v as dx, b.v as dy, exp(-0.5::double * (power(a.v / (sg / sqrt(ra)), 2) + power(b.v / (sg * sqrt(ra)), 2))) as g,
-   power(1 + (a.v * a.v + b.v * b.v) / power(fwhm_px / (2 * sqrt(power(2::double, 1 / 3.5::double) - 1)), 2), -3.5::double) as m
-   from (select *, {_SIG} as sg, sqrt(1 - power(coalesce(psf_eccentricity, 0), 2)) as ra from frames), off a, off b)"""
+_ALPHA = "fwhm_px / (2 * sqrt(power(2::double, 1 / 3.5::double) - 1))"
+_KER = f"""off as (select unnest(range(-60, 61)) as v), ker as (select stack_id, frame_id, a.v as dx, b.v as dy, exp(-0.5::double * (power(a.v / (sg / sqrt(ra)), 2) + power(b.v / (sg * sqrt(ra)), 2))) as g
+   from (select *, {_SIG} as sg, sqrt(1 - power(coalesce(psf_eccentricity, 0), 2)) as ra from frames), off a, off b where greatest(abs(a.v), abs(b.v)) <= greatest(1, ceil(4 * sg)))"""
+_KMOF = f"""kmof as (select stack_id, frame_id, a.v as dx, b.v as dy, power(1 + (a.v * a.v + b.v * b.v) / power(al, 2), -3.5::double) as m
+   from (select *, {_ALPHA} as al from frames), off a, off b where greatest(abs(a.v), abs(b.v)) <= greatest(1, ceil(4 * al)))"""
 
 
-@query("psf_kernels", "F29", check("frames", f"select stack_id, frame_id, dx, dy, {s6('g / sum(g) over w')} as gaussian, {s6('m / sum(m) over w')} as moffat from ker window w as (partition by stack_id, frame_id)", _KER))
+@query("psf_kernels", "F29", check("frames", f"""select stack_id, frame_id, dx, dy, {s6('g')} as gaussian, {s6('m')} as moffat from (select stack_id, frame_id, dx, dy, m / sum(m) over w as m from kmof window w as (partition by stack_id, frame_id))
+ left join (select stack_id, frame_id, dx, dy, g / sum(g) over w as g from ker window w as (partition by stack_id, frame_id)) using (stack_id, frame_id, dx, dy)""", _KER + ", " + _KMOF))
 def psf_kernels(t):
-    g = kernels.gaussian(t.frames, 5).withColumnRenamed("w", "gaussian")
-    m = kernels.moffat(t.frames, 3.5, 5).withColumnRenamed("w", "moffat")
-    d = g.join(m, [*FR, "dx", "dy"])
+    g = kernels.gaussian(t.frames).withColumnRenamed("w", "gaussian")
+    m = kernels.moffat(t.frames, 3.5).withColumnRenamed("w", "moffat")
+    d = m.join(g, [*FR, "dx", "dy"], "left")
     return d.select(*FR, c("dx").cast("bigint").alias("dx"), c("dy").cast("bigint").alias("dy"), r6("gaussian").alias("gaussian"), r6("moffat").alias("moffat"))
 
 
 @query("kernel_widths", "A42", check("frames", f"select stack_id, frame_id, {s6('sqrt(2 * ln(2) / pi()) / (sqrt(sum(g * g)) / sum(g))')} as width from ker group by all", _KER))
 def kernel_widths(t):
-    return round_all(kernels.noise_equivalent_width(kernels.gaussian(t.frames, 5), FR))
+    return round_all(kernels.noise_equivalent_width(kernels.gaussian(t.frames), FR))
 
 
 @query("source_shapes", "F30 F31", check("sources", f"""select source_id, {s6('2 * sqrt(2 * ln(2)) * sqrt(greatest(a * b, 1e-12))')} as fwhm, {s6('sqrt(greatest(1 - power(least(1, greatest(0, b / greatest(a, 1e-12))), 2), 0))')} as eccentricity,

@@ -81,7 +81,7 @@ _PSFU = _PSFM + ", psfu as (select stack_id, dx, dy, w / sum(w) over (partition
 
 
 def _mean_psf(t):
-    return stack.mean_psf(kernels.gaussian(t.frames, 5), px.frame_weights(t.frames))
+    return stack.mean_psf(kernels.gaussian(t.frames), px.frame_weights(t.frames))
 
 
 @query("matched_filter", "A34 J15", check("pixels frames", f"select stack_id, source_id, {s6('est')} as flux, {s6('snr')} as snr from mf", _BASE + ", " + _MEAN + ", " + _KER + ", " + _PSFU + ", " + _POS1 + ", " + _MF))
@@ -105,7 +105,7 @@ _EVAL = f"""cu as (select stack_id, x, y, avg(value) as image from p0 where keep
  from sc1 a join sb1 b using (stack_id, source_id) join (select stack_id, min(fwhm_px) as lo, median(fwhm_px) as me, max(fwhm_px) as hi from frames group by 1) using (stack_id) group by 1""", _BASE + ", " + _MEAN + ", " + _KER + ", " + _PSFU + ", " + _POS1 + ", " + _EVAL))
 def run_evaluation(t):
     even = px.frame_weights(t.frames, "uniform")
-    ker = kernels.gaussian(t.frames, 5)
+    ker = kernels.gaussian(t.frames)
     base = stack.combine(t.pixels.join(even.select(*FR, "weight"), FR), t.frames, "mean")
     coadd = stack.combine(weighted(t), t.frames, "mean")
     d = audit.run_evaluation(coadd, _mean_psf(t), base, stack.mean_psf(ker, even), _positions(t), t.frames)
@@ -130,12 +130,12 @@ _INJ = """kn as (select stack_id, frame_id, dx, dy, g / sum(g) over (partition b
 @query("injected_pixels", "X7", check("pixels frames", f"select stack_id, frame_id, x, y, {s6('value')} as value from pj", _BASE + ", " + _KER + ", " + _POSF + ", " + _INJ))
 def injected_pixels(t):
     src = audit.lattice(audit.image_size(t.frames), 9, FLUXES, margin=6)
-    return round_all(audit.inject(t.pixels, src, kernels.gaussian(t.frames, 5)).select(*FR, "x", "y", "value"))
+    return round_all(audit.inject(t.pixels, src, kernels.gaussian(t.frames)).select(*FR, "x", "y", "value"))
 
 
 def _recovery(t):
     src = audit.lattice(audit.image_size(t.frames), 9, FLUXES, margin=6)
-    ker = kernels.gaussian(t.frames, 5)
+    ker = kernels.gaussian(t.frames)
     w = weighted(t)
     after = stack.combine(audit.inject(w, src, ker), t.frames, "mean")
     delta = audit.difference(after, stack.combine(w, t.frames, "mean"))
@@ -172,7 +172,7 @@ def depth_curve(t):
     vp, vf = audit.first_frames(t.pixels, t.frames)
     wts = px.frame_weights(vf)
     image = stack.combine(vp.join(wts.select(*FR, "weight"), FR), vf, "mean").where("weight > 0")
-    psf = stack.mean_psf(kernels.gaussian(vf, 5), wts)
+    psf = stack.mean_psf(kernels.gaussian(vf), wts)
     pos = audit.lattice(audit.image_size(vf), 9, [100.0], margin=6)
     m = kernels.matched_filter(image, pos, psf, ["stack_id"], ["source_id"])
     return round_all(audit.depth_curve(m))
@@ -222,7 +222,7 @@ _CHI = """kn as (select stack_id, frame_id, dx, dy, g / sum(g) over (partition b
     _B2 + ", " + _LOSS + ", " + _mom("a", "ma") + ", " + _mom("b", "mb") + ", " + _KER + ", " + _CHI))
 def combined_loss(t):
     pair = _images(t)
-    chi = audit.forward_model(pair.select(*CELL, c("a").alias("image")), t.pixels, kernels.gaussian(t.frames, 5), t.frames)
+    chi = audit.forward_model(pair.select(*CELL, c("a").alias("image")), t.pixels, kernels.gaussian(t.frames), t.frames)
     return round_all(audit.combined_loss(pair, audit.image_size(t.frames), chi, 8))
 
 

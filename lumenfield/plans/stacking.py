@@ -143,7 +143,7 @@ _PSFM = "psfm as (select stack_id, dx, dy, sum(weight * gn) as w from (select *,
 
 @query("mean_psf", "A49", check("frames", f"select stack_id, dx, dy, {s6('w / sum(w) over (partition by stack_id)')} as w from psfm", _KER + ", wts as (select stack_id, frame_id, (1 / power(noise_sigma, 2)) / sum(1 / power(noise_sigma, 2)) over (partition by stack_id) as weight from frames), " + _PSFM))
 def mean_psf(t):
-    d = stack.mean_psf(kernels.gaussian(t.frames, 5), px.frame_weights(t.frames))
+    d = stack.mean_psf(kernels.gaussian(t.frames), px.frame_weights(t.frames))
     return d.select("stack_id", c("dx").cast("bigint").alias("dx"), c("dy").cast("bigint").alias("dy"), r6("w").alias("w"))
 
 
@@ -253,14 +253,14 @@ _FFT = f"""sc as (select stack_id, frame_id, case when photometrically_unreliabl
 
 @query("fourier_modes", "A24", check("pixels frames", f"select stack_id, ky, kx, {s6('re')} as re, {s6('im')} as im, {s6('d')} as d from md", _BASE + ", " + _KER + ", " + _FFT))
 def fourier_modes(t):
-    d = fourier.modes(fourier.dense_samples(t.pixels, t.frames), kernels.gaussian(t.frames, 5), fourier.frame_scalars(t.frames))
+    d = fourier.modes(fourier.dense_samples(t.pixels, t.frames), kernels.gaussian(t.frames), fourier.frame_scalars(t.frames))
     return round_all(d.withColumns({"ky": c("ky").cast("bigint"), "kx": c("kx").cast("bigint")}))
 
 
 @query("optimal_coadd", "A24", check("pixels frames", f"""select stack_id, x, y, {s6('case when seen > 0 then r / f_r else 0 end')} as image, {s6('coalesce(seen / ideal, 0)')} as coverage, {s6('case when seen > 0 then sr / f_r / sqrt(greatest(seen / ideal, 1e-6)) else 0 end')} as sigma
  from im join sx using (stack_id) join nz using (stack_id) left join cv using (stack_id, x, y)""", _BASE + ", " + _KER + ", " + _FFT))
 def optimal_coadd(t):
-    d = fourier.optimal_coadd(t.pixels, t.frames, kernels.gaussian(t.frames, 5))
+    d = fourier.optimal_coadd(t.pixels, t.frames, kernels.gaussian(t.frames))
     return round_all(d.select(*CELL, "image", "coverage", "sigma"))
 
 
