@@ -71,12 +71,6 @@ def percentile_clip(t):
     return d.select(*FR, "x", "y", "keep")
 
 
-@query("combined_rejection", "A21", check("pixels frames", f"""select stack_id, frame_id, count(*) filter (good and not keep) as n_clipped, 0 as n_trail, {s6('avg(rejected::int)')} as rejected_fraction from (select *, case when nk < least(2, depth) then not good else good and not keep end as rejected
- from (select *, count(*) filter (good and keep) over (partition by stack_id, x, y) as nk from c3)) group by all""", _BASE + ", " + clip_sql()))
-def combined_rejection(t):
-    return round_all(stack.rejection_report(stack.combined_rejection(t.pixels, t.frames, trails=False)))
-
-
 _TR = """conn as (select stack_id, frame_id, x, y, y * 100000 + x as lab from po union select t.stack_id, t.frame_id, t.x, t.y, c.lab from conn c join po t on t.stack_id = c.stack_id and t.frame_id = c.frame_id and abs(t.x - c.x) <= 1 and abs(t.y - c.y) <= 1),
  lab as (select stack_id, frame_id, x, y, min(lab) as lab from conn group by all),
  comp as (select stack_id, frame_id, lab, count(*) as n, greatest((var_samp(x) + var_samp(y)) / 2 + sqrt(power((var_samp(x) - var_samp(y)) / 2, 2) + power(covar_samp(x, y), 2)), 1e-9) as big,
@@ -95,6 +89,18 @@ def trail_pixels(t):
     return find(out, min_length=4.05, min_elongation=2.05, min_pixels=4, tile=8)
 
 
+_TRAIL = {"min_length": 4.05, "min_elongation": 2.05, "min_pixels": 4, "tile": 8}
+_OUT = ", po as (select stack_id, frame_id, x, y from (select *, median(value) over (partition by stack_id, x, y) as am from pc) where good and not coalesce(pk, false) and value > am and depth >= 3), "
+
+
+@query("combined_rejection", "A21", check("pixels frames", f"""select stack_id, frame_id, count(*) filter (good and not coalesce(pk, false)) as n_clipped, count(*) filter (tr) as n_trail, {s6('avg(rejected::int)')} as rejected_fraction
+ from (select *, case when nk < least(2, depth) then not good else rej end as rejected from (select *, count(*) filter (good and not rej) over (partition by stack_id, x, y) as nk
+  from (select p.*, g.x is not null as tr, good and (not coalesce(pk, false) or g.x is not null) as rej from pc p left join grow g on g.stack_id = p.stack_id and g.frame_id = p.frame_id and g.x = p.x and g.y = p.y))) group by all""", _BASE + ", " + _PCT + _OUT + _TR))
+def combined_rejection(t):
+    d = stack.combined_rejection(t.pixels, t.frames, method="percentile", trail_options=_TRAIL)
+    return round_all(stack.rejection_report(d))
+
+
 def _combine_sql(method):
     src = "c3" if method in ("sigma-clip", "winsorized") else "p0"
     ctes = _BASE + (", " + clip_sql() if src == "c3" else "")
