@@ -153,3 +153,28 @@ from p left join fit using (host, path)
 def op2_licences(spark: SparkSession, folder: str) -> DataFrame:
     """Licences of every document by known sentences and ordered rules."""
     return licences.scan(table(spark, folder, "documents"))
+
+
+SQL["op3_substring_dedup"] = r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') as w from documents),
+g as (select doc_id, i, array_to_string(w[i + 1 : i + 50], ' ') as g from (select doc_id, w, unnest(range(0, len(w) - 49)) as i from d where len(w) >= 50)),
+f as (select g, min(doc_id) as earliest from g group by g),
+gone as (select distinct doc_id, p, true as is_gone from (select doc_id, unnest(range(i, i + 50)) as p from g join f using (g) where earliest < doc_id)),
+words as (select doc_id, unnest(w) as word, unnest(range(0, len(w))) as p from d),
+kept as (select doc_id, count(is_gone) as n, string_agg(word, ' ' order by p) filter (is_gone is null) as rest from words left join gone using (doc_id, p) group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(rest, '')) as kept_sha256 from d left join kept using (doc_id)
+"""
+
+SQL["op7_near_duplicates"] = r"""
+with recursive d as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') as w from documents),
+g as (select distinct doc_id, array_to_string(w[i + 1 : i + 5], ' ') as g from (select doc_id, w, unnest(range(0, greatest(len(w) - 4, 1))) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from g group by doc_id),
+link as (
+  select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as same from g x join g y on x.g = y.g and x.doc_id < y.doc_id group by all)
+  join n p on p.doc_id = a join n q on q.doc_id = b where 100 * same >= 75 * (p.n + q.n - same)),
+edges as (select a, b from link union all select b, a from link),
+reach as (select doc_id as a, doc_id as b from n union select r.a, e.b from reach r join edges e on e.a = r.b)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(component, d.doc_id) as component_id, coalesce(component, d.doc_id) = d.doc_id as kept
+from d left join n using (doc_id) left join (select a as doc_id, min(b) as component from reach group by a) using (doc_id)
+"""

@@ -129,3 +129,30 @@ def backoff(rows, alpha: float = 0.4) -> list[tuple]:
             level[n] += 1
         out.append((k, len(w), score, *level[::-1]))
     return out
+
+
+def licences(text: str | None, sentences: dict[str, str], rules) -> tuple:
+    """Identifiers in order, and the rules that find theirs in what earlier rules left."""
+    name = {v: k for k, v in sentences.items()}
+    found = []
+    for part in re.split(r"[.!?;:][ \t\n\r\"')]+|[\n\r]+", text or ""):
+        plain = " ".join(re.findall("[a-z0-9]+", part.translate(FOLD)))
+        if plain in name:
+            found.append(name[plain])
+    left, out = list(found), []
+    for licence, ids in rules:
+        at = 0
+        while True:
+            places, j = [], at
+            for i in ids:
+                if i not in left[j:]:
+                    break
+                j = left.index(i, j) + 1
+                places.append(j - 1)
+            if len(places) < len(ids):
+                break
+            if licence not in out:
+                out.append(licence)
+            at = places[-1] + 1 - len(places)
+            left = [x for i, x in enumerate(left) if i not in places]
+    return ",".join(found), ",".join(out), len(found)

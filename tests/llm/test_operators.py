@@ -102,6 +102,21 @@ def test_licences(spark):
     }
 
 
+def test_licences_of_documents(spark, docs, odd):
+    got = QUERIES["op2_licences"](spark, DATA).collect()
+    same(got, [(k, *brute.licences(t, licences.SENTENCES, licences.RULES)) for k, t in docs])
+    same(licences.scan(odd).collect(), [(k, *brute.licences(t, licences.SENTENCES, licences.RULES)) for k, t, _, _ in ODD])
+    assert licences.scan(odd.limit(0)).count() == 0
+
+
+def test_licences_of_shuffled_sentences(spark):
+    rng = np.random.default_rng(4)
+    names = list(licences.SENTENCES)
+    rows = [(i, ". ".join(licences.SENTENCES[n] for n in rng.choice(names, rng.integers(1, 9)))) for i in range(200)]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    same(got, [(k, *brute.licences(t, licences.SENTENCES, licences.RULES)) for k, t in rows])
+
+
 def test_licences_of_given_lines(spark, docs):
     """The licence lines of the given documents are found where they stand."""
     lines = {"Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0"}
