@@ -202,13 +202,17 @@ def injection_recovery(
     return rows, d
 
 
+#: room for the number of frames in the id of a virtual stack
+VIRTUAL = 1 << 20
+
+
 def first_frames(pixels: DataFrame, frames: DataFrame, shares=(0.125, 0.25, 0.5, 1.0)) -> tuple[DataFrame, DataFrame]:
-    """Virtual stacks of the first n frames: ``stack_id * 1000 + n`` for each distinct n."""
+    """Virtual stacks of the first n frames: ``stack_id * VIRTUAL + n`` for each distinct n."""
     depth = frames.groupBy("stack_id").agg(F.count("*").alias("_depth"))
     n = F.array_distinct(F.transform(F.array(*[F.lit(float(s)) for s in shares]), lambda s: F.greatest(F.lit(1.0), F.rint(F.col("_depth") * s)).cast("bigint")))
     w = Window.partitionBy("stack_id").orderBy("frame_id")
     f = frames.withColumn("_rank", F.row_number().over(w)).join(depth, "stack_id").withColumn("_n", F.explode(n))
-    f = f.where(F.col("_rank") <= F.col("_n")).withColumn("_vid", F.col("stack_id") * 1000 + F.col("_n"))
+    f = f.where(F.col("_rank") <= F.col("_n")).withColumn("_vid", F.col("stack_id") * VIRTUAL + F.col("_n"))
     vf = f.drop("stack_id", "_rank", "_depth", "_n").withColumnRenamed("_vid", "stack_id")
     vp = pixels.join(f.select("stack_id", "frame_id", "_vid"), FRAME).drop("stack_id").withColumnRenamed("_vid", "stack_id")
     return vp, vf
@@ -217,8 +221,8 @@ def first_frames(pixels: DataFrame, frames: DataFrame, shares=(0.125, 0.25, 0.5,
 def depth_curve(snr: DataFrame) -> DataFrame:
     """Median significance per number of frames, next to the square-root law."""
     m = exact_quantiles(snr, STACK, "snr", {"median_snr": 0.5})
-    n = F.col("stack_id") % 1000
-    return m.select(F.floor(F.col("stack_id") / 1000).alias("stack_id"), n.alias("n_frames"), "median_snr", F.sqrt(n.cast("double")).alias("sqrt_n"))
+    n = F.col("stack_id") % VIRTUAL
+    return m.select(F.floor(F.col("stack_id") / VIRTUAL).alias("stack_id"), n.alias("n_frames"), "median_snr", F.sqrt(n.cast("double")).alias("sqrt_n"))
 
 
 def false_positives(image: DataFrame, psf: DataFrame, size: DataFrame, threshold: float, radius: int) -> DataFrame:

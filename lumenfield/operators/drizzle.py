@@ -55,7 +55,7 @@ def output_grids(
     max_pixels: float = 64e6,
 ) -> DataFrame:
     """Common grid per stack: scale, oversampling granted by the dither score, centre and size."""
-    # a stack has at most MAX_DEPTH frames, so its scales fit one buffer
+    # one scale for each frame of a stack, so they fit one buffer
     scale = frames.where("is_solved").groupBy("stack_id").agg(
         F.percentile("scale_arcsec", F.lit(scale_quantile)).alias("base_scale")
     )

@@ -229,7 +229,11 @@ def folder_scan(t):
 @query("manifest_entries", "S3", check("photos", """select case when photo_id % 3 = 0 then 'p' || photo_id else photo_id::varchar end as photo_id, license from photos
  where allow_derivatives_in_stacks and license not in ('ARR', 'CC-BY-ND-4.0', 'CC-BY-NC-ND-4.0')"""))
 def manifest_entries(t):
+    """Manifests of up to a thousand entries are written as JSON files, read back and split."""
     k = c("photo_id")
-    raw = t.photos.select(F.concat(F.lit("frames/p"), k, F.lit(".fits")).alias("path"), F.when(k % 3 != 0, k.cast("string")).alias("photo_id"), "license", "allow_derivatives_in_stacks")
-    kept, _ = manifest.split_manifest(manifest.with_defaults(raw), strict=False)
+    raw = t.photos.select(F.concat(F.lit("frames/p"), k, F.lit(".fits")).alias("path"), F.when(k % 3 != 0, k.cast("string")).alias("photo_id"), "license", "allow_derivatives_in_stacks", F.floor(k / 1000).alias("part"))
+    text = raw.groupBy("part").agg(F.to_json(F.collect_list(F.struct("path", "photo_id", "license", "allow_derivatives_in_stacks"))).alias("value"))
+    folder = work_folder(t.spark, "manifests")
+    text.write.partitionBy("part").text(folder)
+    kept, _ = manifest.split_manifest(manifest.read_manifest(t.spark, folder), strict=False)
     return kept.select("photo_id", "license")
