@@ -6,7 +6,7 @@ adjacent pairs of many words are tested together: both tokens are taken apart ag
 first, and at each step the two pieces that face each other must not have a merge that would have come
 before the piece was absorbed. Words with a failing pair go through the merges in order.
 
-Only whole words of the tokenizer's own split are looked up, and known words are kept in a bounded cache.
+Only whole words of the tokenizer's own split are looked up, and known words are kept in a bounded table.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from lumenfield.llm.batches import annotate
 
 #: how byte-level tokenizers cut text into words (a fixed public pattern)
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE = 600_000
+CACHE = 3_000_000
 #: bytes up to which merging scans all pairs
 SHORT = 48
 KIND = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
@@ -196,7 +196,7 @@ class Vocabulary:
 
 
 class Encoder:
-    """Whole texts to ids, with a bounded cache of the decimal ids of known words."""
+    """Whole texts to ids. Known words are kept by their 64-bit hash in sorted arrays, about 40 bytes a word."""
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
@@ -205,8 +205,7 @@ class Encoder:
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         self.letters = byte_letters()
-        self.known: dict[str, str] = {}
-        self.last: tuple[list, list] = [], []
+        self.forget()
         self.seen: set[str] = set()
         self.odd: set[str] = set()
 
@@ -226,39 +225,58 @@ class Encoder:
             return [bytes(self.letters[c] for c in w).decode() for w, _ in self.library.pre_tokenize_str(part)]
         return self.split.findall(part)
 
-    def rest(self) -> None:
-        """Between tasks an idle worker keeps only the words of its last block."""
-        self.known = {w: x for row, f in zip(*self.last, strict=True) for w, x in zip(row, f, strict=True)}
+    def forget(self) -> None:
+        self.hash, self.row = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Token ids of each text, as the tokenizers library gives them without adding special tokens."""
-        self.note_characters(texts)
-        special = self.vocabulary.special
+    def split_texts(self, texts: list[str]) -> list[list[str]]:
+        """Words of each text; special tokens are words of their own."""
         rows: list[list[str]] = []
         for text in texts:
-            if self.special and any(s in text for s in special):
-                # the parts at odd places are special tokens themselves
+            if self.special and any(s in text for s in self.vocabulary.special):
                 row = []
-                for i, part in enumerate(self.special.split(text)):
+                for i, part in enumerate(self.special.split(text)):  # special tokens stand at odd places
                     row += [part] if i % 2 else self.words(part)
             else:
                 row = self.words(text)
             rows.append(row)
-        find = self.known.get
-        found = [list(map(find, row)) for row in rows]
-        missing = [(f, i, row[i]) for f, row in zip(found, rows, strict=True) if None in f for i, x in enumerate(f) if x is None]
-        if missing:
-            new = {w for _, _, w in missing}
-            if len(self.known) + len(new) > CACHE:  # keep what this block uses
-                self.known = {w: x for f, row in zip(found, rows, strict=True) for w, x in zip(row, f, strict=True) if x is not None}
-            plain = [w for w in new if w not in special]
-            made = self.vocabulary.encode_words([w.encode() for w in plain])
-            self.known.update(zip(plain, (",".join(map(str, x)) for x in made), strict=True))
-            self.known.update({w: str(special[w]) for w in new if w in special})
-            for f, i, w in missing:
-                f[i] = self.known[w]
-        self.last = rows, found
-        return [np.fromstring(",".join(f), np.int32, sep=",") if f else np.zeros(0, np.int32) for f in found]
+        return rows
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts behind each other, and the n + 1 places where each text's begin."""
+        self.note_characters(texts)
+        rows = self.split_texts(texts)
+        count = np.array([len(r) for r in rows], np.int64)
+        words = [w for r in rows for w in r]
+        # Python hashes the stored bytes of a string, whatever their width, so the length tells "15" from U+3531
+        key = np.fromiter(map(hash, words), np.int64, len(words)) ^ (np.fromiter(map(len, words), np.int64, len(words)) * 0x1E3779B97F4A7C15)
+        hashes, where, back = np.unique(key, return_index=True, return_inverse=True)
+        row = self._rows(hashes, words, where)[back]
+        size = self.size[row]
+        total = np.cumsum(size)
+        first = np.cumsum(self.size) - self.size
+        ids = self.ids[np.arange(int(size.sum())) + np.repeat(first[row] - (total - size), size)]
+        return ids, np.concatenate([[0], total])[np.concatenate([[0], np.cumsum(count)])]
+
+    def _rows(self, hashes: np.ndarray, words: list[str], where: np.ndarray) -> np.ndarray:
+        """Rows of known words; unknown ones are encoded and added."""
+        if len(self.hash) > CACHE:
+            self.forget()
+        at = np.searchsorted(self.hash, hashes)
+        known = at < len(self.hash)
+        known[known] = self.hash[at[known]] == hashes[known]
+        new = np.flatnonzero(~known)
+        if len(new):
+            special = self.vocabulary.special
+            fresh = [words[i] for i in where[new].tolist()]
+            plain = iter(self.vocabulary.encode_words([w.encode() for w in fresh if w not in special]))
+            made = [[special[w]] if w in special else next(plain) for w in fresh]
+            row = len(self.size) + np.arange(len(new))
+            self.size = np.concatenate([self.size, [len(x) for x in made]])
+            self.ids = np.concatenate([self.ids, np.fromiter((t for x in made for t in x), np.int32)])
+            self.hash, self.row = np.insert(self.hash, at[new], hashes[new]), np.insert(self.row, at[new], row)
+            at = np.searchsorted(self.hash, hashes)
+        return self.row[at]
 
 
 @lru_cache(maxsize=2)
@@ -278,10 +296,9 @@ def round_trip(df: DataFrame, path: str, text: str = "text", out: str = "bpe", c
 
     def run(texts: pa.Array) -> pa.Array:
         e = encoder(path)
-        ids = e.encode(texts.fill_null("").to_pylist())
-        size = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate([np.zeros(0, np.int32), *ids])
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat, pa.int32()))
-        return pa.StructArray.from_arrays([lists, pa.array([e.vocabulary.decode(x) for x in ids], pa.string())], ["ids", "decoded"])
+        ids, first = e.encode(texts.fill_null("").to_pylist())
+        lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids, pa.int32()))
+        decoded = [e.vocabulary.decode(ids[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        return pa.StructArray.from_arrays([lists, pa.array(decoded, pa.string())], ["ids", "decoded"])
 
-    return annotate(df, text, out, KIND, run, carry, after=lambda: encoder(path).rest())
+    return annotate(df, text, out, KIND, run, carry)

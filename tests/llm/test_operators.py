@@ -373,7 +373,8 @@ def test_bpe_random_texts():
     texts = ["a" * 3000, "aaaa aaaaa", "don't WE'LL 's", "  x\n\n y\t", "<|endoftext|>", "\u2028\u00a0 z"] + ["".join(pick() for _ in range(100)) for _ in range(300)]
     texts += ["".join(rng.choice(["the", "in", "tion", "er", "s", "0", " "]) for _ in range(60)) for _ in range(200)]
     t = _library(BYTES)
-    assert [x.tolist() for x in bpe.Encoder(BYTES).encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    ids, first = bpe.Encoder(BYTES).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 # --- scores ----------------------------------------------------------------------------------------------
