@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from lumenfield.plans import load_all
 from tests.conftest import DATA
 from tools.compare import TABLES, normal
 
@@ -38,6 +39,6 @@ def test_entry_has_rows(spark):
 
 
 def test_inventory_is_covered():
-    have = {i for q in QUERIES.values() for i in q.covers}
+    have = {i for q in load_all().values() for i in q.covers}
     sizes = {"S": 14, "P": 23, "J": 21, "A": 53, "W": 12, "L": 6, "U": 5, "F": 41, "T": 11, "X": 9}
     assert {f"{p}{i}" for p, n in sizes.items() for i in range(1, n + 1)} <= have
