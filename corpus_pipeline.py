@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     configure(spark)
     verdict = quality.judge(docs)
     gone = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
-    return rows.without(docs, gone)
+    return rows.without(docs, rows.stored(gone, "quality-gone"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

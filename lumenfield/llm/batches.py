@@ -7,6 +7,8 @@ single text larger than a block is a block of its own.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,6 +41,13 @@ def blocks(batch: pa.RecordBatch, text: str, size: int = BLOCK) -> Iterator[pa.R
         yield batch.slice(a, b - a)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def annotate(
     df: DataFrame,
     text: str,
@@ -65,5 +74,6 @@ def annotate(
             for b in blocks(batch, own, size):
                 made = fn(b.column(own))
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], made], [*keep, out])
+        give_back()
 
     return source.mapInArrow(run, schema)
