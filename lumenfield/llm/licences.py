@@ -1,13 +1,19 @@
 """Licence scans: known licence sentences as identifiers, and ordered rules over their sequence.
 
-A text is cut into sentences, each is normalised (lower case, only letters and digits, one blank between)
-and looked up among the known sentences. The identifiers found, in order, form the document's sequence.
+A text is normalised: lower case, letters and digits, and between two words one blank, one soft cut (``;``, ``:``
+or a single line break, with any comment marks) or one hard cut (``.``, ``!``, ``?`` or an empty line). A known
+sentence may run over soft cuts, so notices are found wrapped, indented, commented or on one line. Short
+sentences begin and end at a cut of either kind. Whole sentences of published notices may begin at any word,
+because a copyright line without a full stop often stands before them.
+The identifiers found, in order, form the document's sequence.
 Rules are tried from the most to the least specific; a rule that finds its identifiers in order takes
 them out of the sequence, so that a sentence supports one licence only.
 """
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +37,43 @@ SENTENCES = {
     "mit-asis": "the software is provided as is without warranty of any kind express or implied",
     "reserved": "all rights reserved",
 }
+# The sentences whole, as the published notices have them: wording -> identifiers. ``a|b`` are alternatives of one
+# place (``_`` for nothing, ``+`` for a blank), ``^`` before a word allows an empty line there.
+_NOTICES = {
+    "licensed under the apache license version 2 0 the license": "apache2",
+    "you may not use this|these|the file|files|software|work|project except in compliance with the license": "apache2-comply",
+    "you may obtain a copy of the license at ^http|https www|_ apache org licenses license 2 0 html|txt|_": "apache2-copy",
+    "unless required by applicable law or agreed to in writing software|this+software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache2-basis",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-permit",
+    "redistributions of source code must retain the above copyright notice|notices this list of conditions and the following disclaimer": "bsd-source",
+    "redistributions in binary form must reproduce the above copyright notice|notices this list of conditions and the following disclaimer in the documentation and or|_ other materials provided with the distribution": "bsd-binary",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject+to+the+following+conditions|_": "mit-permit",
+    "the above copyright notice and this permission notice including+the+next+paragraph|_ shall be included in all copies or substantial portions of the software": "mit-notice",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement|non+infringement": "mit-asis",
+    "is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of+the+license|_ or at your option any later version": "gpl-program,gpl-later",
+}
+# further wordings of short sentences
+_SHORT = {
+    "this work is licensed under a|the creative commons attribution 4 0 international license": "ccby",
+    "this+work+is|_ licensed under cc by nc 4 0": "ccbync",
+    "this program|software|project|file is licensed under the gnu general public license version 3": "gpl3",
+    "this project|software|work|program|file is|_ released|licensed under the mit license": "mit",
+    "this project|software|work|program|file is licensed under the apache license version 2 0": "apache2",
+}
+
+
+def _expand(wordings: dict[str, str]) -> dict[str, str]:
+    """Every single wording; ``^`` marks stay."""
+    out = {}
+    for text, ids in wordings.items():
+        for words in product(*[x.lstrip("^").split("|") for x in text.split(" ")]):
+            marked = ["^" + w if x[0] == "^" else w.replace("+", " ") for x, w in zip(text.split(" "), words, strict=True) if w != "_"]
+            out[" ".join(marked)] = ids
+    return out
+
+
+WHOLE = _expand(_NOTICES)
+SHORT = _expand(_SHORT) | {v: k for k, v in SENTENCES.items() if v not in WHOLE}
 #: rules in order: licence, sentence identifiers that must follow one another (others may stand between)
 RULES = (
     ("Apache-2.0", ("apache2", "apache2-comply", "apache2-copy", "apache2-basis")),
@@ -49,19 +92,44 @@ RULES = (
 #: every known sentence holds one of these (within a word), so texts without any need not be cut
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ANCHORS = ("licen", "redistribut", "permission", "copyright", "warranty", "reserved")
-SENTENCE_END = r"[.!?;:][ \t\n\r\"')]+|[\n\r]+"
-assert all(any(a in s for a in ANCHORS) for s in SENTENCES.values())
+assert all(any(a in s for a in ANCHORS) for s in [*SENTENCES.values(), *WHOLE, *SHORT])
+#: letter of each identifier, for the rules
+LETTERS = {k: chr(ord("a") + i) for i, k in enumerate(SENTENCES)}
+# comment marks made of letters; a run of other characters that is a hard cut; one that is a soft cut
+LETTER_MARKS = r"(?<![^\n])[ \t]*+@?(?:dnl|rem)(?![^ \t\n])"
+HARD_CUT = r"""(?<![^a-z0-9])[^a-z0-9]*?(?:[.!?][ \t\n"')]|\n[^a-z0-9\n]*+\n)[^a-z0-9]*+"""
+SOFT_CUT = r"""(?<![^a-z0-9H])[^a-z0-9H]*?(?:[;:][ \t\n"')]|\n)[^a-z0-9H]*+"""
+
+
+def normal(text: Column) -> Column:
+    """Words between single blanks, with ``S`` and ``H`` as words of their own where the text is cut."""
+    x = F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), UPPER + "\r", UPPER.lower() + "\n")
+    x = F.regexp_replace(F.regexp_replace(x, LETTER_MARKS, ""), HARD_CUT, " H ")
+    x = F.regexp_replace(F.regexp_replace(x, SOFT_CUT, " S "), "[^a-z0-9HS]+", " ")
+    return F.concat(F.lit("H "), F.trim(x), F.lit(" H"))
+
+
+def _known() -> str:
+    """Pattern of all known sentences, the longest first; only the URL of a notice may end within a line."""
 
+    def words(x: str) -> str:
+        return x.replace(" ^", "~").replace(" ", " (?:S )?").replace("~", " (?:[SH] )?")
 
-def normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(sentence, UPPER, UPPER.lower()), "[^a-z0-9]+", " "))
+    longest = lambda known: sorted(known, key=lambda x: (-len(x), x))
+    url = [words(x) + "(?= )" for x in longest(WHOLE) if "^" in x]
+    whole = [words(x) + "(?= [HS])" for x in longest(WHOLE) if "^" not in x]
+    short = [words(x) + "(?= [HS])" for x in longest(SHORT)]
+    return rf"(?<= )(?:{'|'.join(whole + url)})|(?<=[HS] )(?:(?:[0-9]{{1,2}}|[a-z]|i{{2,3}}) )?(?:{'|'.join(short)})"
 
 
 def sequence(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    by_words = F.create_map(*[F.lit(x) for k, v in SENTENCES.items() for x in (v, k)])
-    known = F.filter(F.transform(F.split(text, SENTENCE_END), normal), lambda x: x.isin(*SENTENCES.values()))
-    return F.transform(known, lambda x: F.element_at(by_words, x))
+    ids = {k.replace("^", ""): v for k, v in (WHOLE | SHORT).items()}
+    by_words = F.create_map(*[F.lit(x) for k, v in ids.items() for x in (k, v)])
+    plain = lambda x: F.regexp_replace(x, " [HS](?= )", "")
+    named = lambda x: F.coalesce(F.element_at(by_words, x), F.element_at(by_words, F.regexp_replace(x, "^[^ ]+ ", "")))
+    found = F.transform(F.transform(F.regexp_extract_all(normal(text), F.lit(_known()), F.lit(0)), plain), named)
+    return F.flatten(F.transform(found, lambda x: F.split(x, ",")))
 
 
 def _pattern(ids: tuple[str, ...]) -> str:
