@@ -133,7 +133,21 @@ def sequence(text: Column) -> Column:
 
 
 def _pattern(ids: tuple[str, ...]) -> str:
-    return r"<" + r">((?:<[a-z0-9-]+>)*?)<".join(ids) + r">"
+    """The identifiers in order over a string of letters; the gaps are groups 2 and up.
+
+    Gaps are possessive loops over one letter class, which need no stack. A rule begun but never ended takes
+    the rest of the string (group 1), so that it is read once and not once from each beginning.
+    """
+    letters = [LETTERS[i] for i in ids]
+    begun = ""
+    for x, y in reversed(list(zip(letters, letters[1:]))):
+        begun = f"{x}[^{y}]*+" + (f"(?:{begun})?+" if begun else "")
+    return (rf"({begun}\z)|" if begun else "") + letters[0] + "".join(f"([^{x}]*+){x}" for x in letters[1:])
+
+
+def _holds(ids: tuple[str, ...]) -> str:
+    """The identifiers in order, sought once from the start."""
+    return r"\A" + "".join(f"[^{x}]*+{x}" for x in (LETTERS[i] for i in ids))
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -146,9 +160,10 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     hint = F.lower(body).rlike("|".join(ANCHORS))
     rows = df.select(F.col(f"`{key}`").alias("_key"), F.when(hint, sequence(body)).otherwise(F.array().cast("array<string>")).alias("ids"))
-    rows = rows.withColumn("left", F.array_join(F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")).withColumn("found", F.array().cast("array<string>"))
+    letters = F.create_map(*[F.lit(x) for k, v in LETTERS.items() for x in (k, v)])
+    rows = rows.withColumn("left", F.array_join(F.transform("ids", lambda x: F.element_at(letters, x)), "")).withColumn("found", F.array().cast("array<string>"))
     for licence, ids in RULES:
-        hit = F.col("left").rlike(_pattern(ids))
-        rest = F.regexp_replace("left", _pattern(ids), "".join(f"${i + 1}" for i in range(len(ids) - 1)))
+        hit = F.col("left").rlike(_holds(ids))
+        rest = F.regexp_replace("left", _pattern(ids), "".join(f"${i + 1}" for i in range(len(ids))) if len(ids) > 1 else "")
         rows = rows.select("_key", "ids", F.when(hit, F.array_union("found", F.array(F.lit(licence)))).otherwise(F.col("found")).alias("found"), F.when(hit, rest).otherwise(F.col("left")).alias("left"))
     return rows.select(F.col("_key").alias(key), F.array_join("ids", ",").alias("sentence_ids"), F.array_join("found", ",").alias("licences"), F.size("ids").cast("long").alias("n_sentences"))

@@ -117,3 +117,15 @@ def test_published_notices(spark):
 )
 def test_other_wordings_are_no_licence(spark, text):
     assert licences.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().licences == ""
+
+
+def test_many_known_sentences_need_no_stack(spark):
+    """An opening sentence before many known sentences, with and without an end; the brute force agrees."""
+    s = licences.SENTENCES
+    rows = [
+        (1, ". ".join([s["mit-permit"], *[s["mit"]] * 20_000])),
+        (2, ". ".join([s["mit-permit"], *[s["reserved"]] * 20_000, s["mit-notice"]])),
+        (3, ". ".join([s["gpl-program"]] * 20_000)),
+    ]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.licences, r.n_sentences) for r in got} == {1: ("MIT", 20_001), 2: ("MIT,proprietary", 20_002), 3: ("", 20_000)}
