@@ -2,8 +2,9 @@
 
 Every candidate value is counted by the distinct repositories and owners that hold it. A value that many
 owners share is a copied example; a value of one or a few owners looks like a live credential. The base
-kinds are always spans. The wider kinds (long opaque strings, bearer tokens, passwords in addresses, key
-headers) are spans only where ownership says live.
+kinds are always spans. The wider kinds (long opaque strings, bearer tokens, passwords in addresses, private
+keys) are spans only where ownership says live. A private key is its header, body and footer, and its value is the
+body without line breaks, escapes and quotes; a header without a body holds no secret.
 
 Positions come from cutting a text at the matches: gaps and matches alternate, so running lengths within a
 text give starts and ends. Only texts with candidates leave their row. Values travel as hashes; a value
@@ -18,6 +19,11 @@ from pyspark.sql import functions as F
 from lumenfield.llm.rows import stored, text_hash
 
 BASE = ("assign", "access", "hex")
+# a private key: header, body and footer; where no footer follows before the next dashes, the lines of the key that
+# are there. Loops are possessive, so that long bodies need no stack; the body is the group.
+_FOOTED = r"[^-]++(?:-(?!----)[^-]*+)*+(?=-----END [A-Z0-9 ]*PRIVATE KEY-----)"
+_LINES = r"""(?:\s*+(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+(?:(?:[\s"',+>#*]|\\[nr])*+[A-Za-z0-9+/=]{16,}+)++(?:(?:[\s"',+>#*]|\\[nr])*+[A-Za-z0-9+/]+={1,2})?+"""
+_KEY = rf"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----({_FOOTED}|{_LINES}|)(?:-----END [A-Z0-9 ]*PRIVATE KEY-----)?+"
 #: kind -> pattern, group that holds the value, least length of that value; in the order of equal starts
 KINDS = {
     "assign": (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
@@ -25,7 +31,7 @@ KINDS = {
     "hex": (r"[0-9a-f]{24,}", 0, 24),
     "bearer": (r"(?i:bearer)\x20+([A-Za-z0-9._~+/=-]{16,})", 1, 16),
     "address": (r"://[^\s:/@]+:([^\s:/@]{6,})@", 1, 6),
-    "header": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    "header": (_KEY, 1, 16),
     "opaque": (r"(?<![A-Za-z0-9_-])(?=[a-z0-9_-]*[A-Z])(?=[A-Z0-9_-]*[a-z])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{32,}", 0, 32),
 }
 ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -40,9 +46,10 @@ def _pieces(text: str) -> Column:
         whole, value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
         zipped = F.arrays_zip(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("gap"), whole.alias("match"), value.alias("value"))
         number = F.lit(ORDER[kind])
+        plain = (lambda x: F.when(x.rlike("[A-Za-z0-9+/=]{16}"), F.regexp_replace(x, r"\\[nr]|[^A-Za-z0-9+/=]+", "")).otherwise("")) if kind == "header" else (lambda x: x)
         rows = F.transform(
             F.filter(zipped, lambda x: x["match"].isNotNull()),
-            lambda x, i: F.struct(number.alias("kind"), i.alias("i"), x["gap"].alias("gap"), F.length(x["match"]).alias("size"), F.length(x["value"]).alias("value_size"), F.xxhash64(x["value"]).alias("value")),
+            lambda x, i: F.struct(number.alias("kind"), i.alias("i"), x["gap"].alias("gap"), F.length(x["match"]).alias("size"), F.length(plain(x["value"])).alias("value_size"), F.xxhash64(plain(x["value"])).alias("value")),
         )
         parts.append(F.when(F.col(text).rlike(pattern), rows).otherwise(F.array().cast("array<struct<kind:int,i:int,gap:int,size:int,value_size:int,value:bigint>>")))
     return F.concat(*parts)
@@ -59,7 +66,8 @@ def scan(
     """One row per row of ``df``: ``id``, ``hash`` (of the text) and ``spans``, sorted by start and kind.
 
     A span has ``start``, ``end`` (code points, end exclusive), ``kind``, ``owners``, ``repositories``, and
-    ``live`` (no more than ``max_owners`` owners). A null or empty text has no spans; a null owner or
+    ``live`` (no more than ``max_owners`` owners; repositories are told but do not judge, because a key in every
+    repository of one owner is still that owner's). A null or empty text has no spans; a null owner or
     repository counts as one of its own. Repeated rows are scanned each. An empty table gives no rows.
     Other columns are not read, so their names cannot clash.
     """

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import random
+import string
 import textwrap
 
 import pytest
 
-from lumenfield.llm import licences
+from lumenfield.llm import licences, secret_spans
 
 # --- licences: published notices -------------------------------------------------------------------------
 
@@ -129,3 +131,39 @@ def test_many_known_sentences_need_no_stack(spark):
     ]
     got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.licences, r.n_sentences) for r in got} == {1: ("MIT", 20_001), 2: ("MIT,proprietary", 20_002), 3: ("", 20_000)}
+
+
+# --- secrets: private keys -------------------------------------------------------------------------------
+
+
+def _key(seed: int, kind: str = "RSA ", brk: str = "\n", lines: int = 8, foot: bool = True) -> str:
+    r = random.Random(seed)
+    body = ["".join(r.choices(string.ascii_letters + string.digits + "+/", k=64)) for _ in range(lines)] + [f"tail{seed}=="]
+    return f"-----BEGIN {kind}PRIVATE KEY-----{brk}" + brk.join(body) + (f"{brk}-----END {kind}PRIVATE KEY-----" if foot else "")
+
+
+def test_private_keys_are_judged_and_redacted_whole(spark):
+    """Keys of many sources are each live; one key in many sources is an example; no part of a live key stays."""
+    rows = [(i, f"before {_key(i)} after", "en", f"s{i}") for i in range(6)]
+    rows += [(10 + i, f"before {_key(99, brk=['\r\n', '\n'][i % 2])} after", "en", f"s{i}") for i in range(4)]
+    crypted = _key(31).replace("KEY-----\n", "KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n", 1)
+    rows += [
+        (20, f"before {_key(20, 'EC ', brk=chr(92) + 'n')} after", "en", "s0"),  # escaped breaks
+        (21, f"before {crypted} after", "en", "s1"),
+        (22, f"before {_key(22, foot=False)}\nafter", "en", "s2"),
+        (23, f"before {_key(23, foot=False)}\n{_key(24, '')} after", "en", "s3"),
+        (24, f"before {_key(25, lines=20_000)} after", "en", "s4"),  # no stack overflow
+        (25, "before -----BEGIN RSA PRIVATE KEY----- opens a key that one day ends in -----END RSA PRIVATE KEY----- after", "en", "s5"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r.id: [s for s in r.spans if s.kind == "header"] for r in secret_spans.scan(df).collect()}
+    clean = {r.doc_id: r.text for r in secret_spans.redact(df).collect()}
+    for k, text, *_ in rows:
+        if k < 10 or k in (20, 21, 24):
+            assert [(s.start, s.end, s.live, s.owners) for s in found[k]] == [(7, len(text) - 6, True, 1)], k
+            assert clean[k] == "before [secret] after", k
+    for k in range(10, 14):
+        assert not found[k] and clean[k] == dict((k, t) for k, t, *_ in rows)[k]
+    assert clean[22] == "before [secret]\nafter"
+    assert len(found[23]) == 2 and clean[23] == "before [secret]\n[secret] after"
+    assert not found[25] and clean[25] == rows[-1][1]
