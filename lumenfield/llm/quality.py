@@ -30,6 +30,8 @@ UNIT = 10_000
 COVER, STEPS, MIN_GROUP = 0.75, 5, 200
 MEDIAN_CHI2_5 = 4.351460191095526
 CUT = 300.0
+#: groups of prose have scales of 4 to 6; without a bound few rows, or copies, would have a median distance of nothing
+MAX_SCALE = 8.0
 BINS = 8
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -140,6 +142,8 @@ def _bin(d2: Column) -> Column:
 
 
 KEYS = ["g_lang", "g_source"]
+#: whose estimate judges a row: its language and source, its language, or all rows
+OWN, LANGUAGE, ALL = 0, 1, 2
 
 
 def _on(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -173,7 +177,8 @@ def estimates(vectors: DataFrame, steps: int = STEPS, cover: float = COVER) -> D
         near = _binned(vectors, now).where(_below("below", cover)).groupBy(*KEYS).agg(*total)
         now = stored(_estimate(near, KEYS), "mcd")
     middle = _binned(vectors, now).where(_below("below", 0.5)).groupBy(*KEYS).agg(F.max("bin").alias("bin"))
-    scale = middle.select(*KEYS, (F.lit(MEDIAN_CHI2_5) / F.pow(F.lit(2.0), (F.col("bin") + 1) / F.lit(float(BINS)))).alias("scale"))
+    ratio = F.lit(MEDIAN_CHI2_5) / F.pow(F.lit(2.0), (F.col("bin") + 1) / F.lit(float(BINS)))
+    scale = middle.select(*KEYS, F.least(ratio, F.lit(MAX_SCALE)).alias("scale"))
     return stored(_on(now, scale), "mcd")
 
 
@@ -191,8 +196,8 @@ def judge(
     """One row per row of ``df``: key, base statistics, ``base_failed``, ``distance`` (squared, scaled), ``kept``, ``text_hash``.
 
     ``kept`` is false for rows that fail the base rule and for rows farther than ``cut`` from the estimate
-    of their group. Groups of fewer than ``min_group`` rows with words are pooled per language; a pool that
-    is still smaller judges nobody. Null languages and sources are groups of their own. A null or empty
+    of their group. A group of fewer than ``min_group`` rows with words is judged by the estimate over all rows
+    of its language, and where these are too few, by the estimate over all rows. Null languages and sources are groups of their own. A null or empty
     text has no words: it fails the base rule, takes no part in estimates, and its distance is null.
     Repeated rows count as often as they stand there. An empty table gives no rows. Other columns are not
     read, so their names cannot clash.
@@ -201,26 +206,27 @@ def judge(
     facts = stored(base_statistics(rows, "_text").withColumn("base_failed", base_failed()), "quality-facts")
     worded = facts.where("n_words > 0")
     sizes = worded.groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("n"))
-    pool = Window.partitionBy("_lang")
-    small = F.col("n") < min_group
-    sizes = sizes.withColumn("pooled", F.sum(F.when(small, F.col("n")).otherwise(0)).over(pool))
-    groups = stored(
-        sizes.select(
-            F.col("_lang").alias("g_lang"), F.col("_source").alias("g_source"), small.alias("g_small"), (small & (F.col("pooled") < min_group)).alias("g_none")
-        ),
-        "quality-groups",
-    )
-    named = worded.select("*", F.col("_lang").alias("g_lang"), F.col("_source").alias("g_source"))
-    named = _on(named, groups)
-    # a pooled group has its source struck out and is marked, so that it cannot be taken for a null source
-    named = named.withColumn("g_source", F.when(F.col("g_small"), F.lit(None)).otherwise(F.concat(F.lit("="), F.coalesce(F.col("g_source").cast("string"), F.lit("")), F.col("g_source").isNull().cast("string"))))
-    vectors = named.where(~F.col("g_none")).select(*KEYS, *[c.alias(k) for k, c in _vector().items()])
+    language = Window.partitionBy("_lang")
+    enough = F.sum("n").over(language) >= min_group
+    sizes = sizes.withColumn("g_level", F.when(F.col("n") >= min_group, OWN).when(enough, LANGUAGE).otherwise(ALL))
+    sizes = sizes.withColumn("g_language", F.max(F.col("g_level") == LANGUAGE).over(language))
+    sizes = stored(sizes.select(F.col("_lang").alias("g_lang"), F.col("_source").alias("g_source"), "g_level", "g_language"), "quality-groups")
+    groups = sizes.crossJoin(F.broadcast(sizes.agg(F.max(F.col("g_level") == ALL).alias("g_all"))))
+    named = _on(worded.select("*", F.col("_lang").alias("g_lang"), F.col("_source").alias("g_source")), groups)
+    # names are marked, so that a null language or source cannot be taken for a wider group, whose names are null
+    marked = lambda c: F.concat(F.lit("="), F.coalesce(F.col(c).cast("string"), F.lit("")), F.col(c).isNull().cast("string"))
+    nothing = F.lit(None).cast("string")
+    levels = {OWN: (marked("g_lang"), marked("g_source")), LANGUAGE: (marked("g_lang"), nothing), ALL: (nothing, nothing)}
+    group = {k: F.struct(*[c.alias(n) for n, c in zip(KEYS, v, strict=True)]) for k, v in levels.items()}
+    wanted = {OWN: F.col("g_level") == OWN, LANGUAGE: F.col("g_language"), ALL: F.col("g_all")}
+    part = F.filter(F.array(*[F.when(wanted[k], group[k]) for k in levels]), lambda x: x.isNotNull())
+    numbers = [c.alias(k) for k, c in _vector().items()]
+    vectors = named.select(F.inline(part), *numbers)
+    named = named.withColumn("g", F.when(F.col("g_level") == OWN, group[OWN]).when(F.col("g_level") == LANGUAGE, group[LANGUAGE]).otherwise(group[ALL]))
     final = estimates(vectors, steps, cover)
-    judged = named.select("_key", "_hash", *BASE, "base_failed", *KEYS, "g_none", *[c.alias(k) for k, c in _vector().items()])
-    other = final.select(*[F.col(k).alias(f"o{k}") for k in KEYS], *[c for c in final.columns if c not in KEYS])
-    match = [F.col(k).eqNullSafe(F.col(f"o{k}")) for k in KEYS] + [~F.col("g_none")]
-    judged = judged.join(other, reduce(lambda x, y: x & y, match), "left").withColumn("distance", _distance() * F.col("scale"))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))
+    judged = named.select("_key", "_hash", *BASE, "base_failed", *[F.col(f"g.{k}").alias(k) for k in KEYS], *numbers)
+    judged = _on(judged, final).withColumn("distance", _distance() * F.col("scale"))
+    kept = ~F.col("base_failed") & (F.col("distance") <= cut)
     columns = [F.col("_key").alias(key), *BASE, "base_failed", F.col("_hash").alias("text_hash")]
     judged = judged.select(*columns, "distance", kept.alias("kept"))
     wordless = facts.where("n_words = 0").select(*columns, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))

@@ -6,9 +6,11 @@ import random
 import string
 import textwrap
 
+import numpy as np
 import pytest
 
-from lumenfield.llm import licences, secret_spans
+from lumenfield.llm import licences, quality, secret_spans
+from tests.conftest import DATA
 
 # --- licences: published notices -------------------------------------------------------------------------
 
@@ -167,3 +169,53 @@ def test_private_keys_are_judged_and_redacted_whole(spark):
     assert clean[22] == "before [secret]\nafter"
     assert len(found[23]) == 2 and clean[23] == "before [secret]\n[secret] after"
     assert not found[25] and clean[25] == rows[-1][1]
+
+
+# --- quality: every row with words is judged -------------------------------------------------------------
+
+
+def _mcd(x: np.ndarray):
+    """Distance function of the robust estimate over the rows of ``x`` (ten-thousandths), in plain NumPy."""
+    floor = np.array(list(quality.FLOOR.values()))
+    bins = lambda d2: np.floor(quality.BINS * np.log2(d2 + 1e-9))
+
+    def core(d2, share):
+        b = bins(d2)
+        return np.array([(b < v).sum() < share * len(b) for v in b])
+
+    centre, inverse = np.median(np.trunc(x / (quality.UNIT // 20)), axis=0) / 20, np.diag(floor**-2)
+    distance = lambda y: np.einsum("ij,jk,ik->i", y / quality.UNIT - centre, inverse, y / quality.UNIT - centre)
+    for _ in range(quality.STEPS):
+        near = x[core(distance(x), quality.COVER)] / quality.UNIT
+        centre, inverse = near.mean(0), np.linalg.inv(np.cov(near.T, bias=True).reshape(5, 5) + np.diag(floor**2))
+    d2 = distance(x)
+    middle = bins(d2)[core(d2, 0.5)].max()
+    scale = min(quality.MEDIAN_CHI2_5 / 2 ** ((middle + 1) / quality.BINS), quality.MAX_SCALE)
+    return lambda y: distance(y) * scale
+
+
+@pytest.mark.parametrize("min_group", [7, 26, 1000])
+def test_quality_distances_of_all_levels(spark, min_group):
+    """Own group, else all rows of the language, else all rows: distances and verdicts as NumPy has them."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = quality.judge(docs, min_group=min_group).join(docs.select("doc_id", "lang", "source"), "doc_id").toPandas()
+    rows = got[got.n_words > 0].reset_index(drop=True)
+    w, c = rows.n_words.to_numpy(float), rows.word_chars.to_numpy(float)
+    x = np.stack([np.log1p(w), np.log(c / w), rows.n_symbols / c, np.log1p(rows.n_dup_lines), np.arcsin(np.sqrt(rows.n_repeat_words / w))], axis=1)
+    x, want, levels = np.floor(x * quality.UNIT + 0.5), np.full(len(rows), np.nan), set()
+    for (lang, source), part in rows.groupby(["lang", "source"]):
+        level = 0 if len(part) >= min_group else 1 if (rows.lang == lang).sum() >= min_group else 2
+        base = [(rows.lang == lang) & (rows.source == source), rows.lang == lang, rows.lang == rows.lang][level]
+        want[part.index] = _mcd(x[base.to_numpy()])(x[part.index])
+        levels.add(level)
+    assert levels == {7: {0, 1}, 26: {1, 2}, 1000: {2}}[min_group]
+    assert np.allclose(rows.distance.astype(float), want, rtol=1e-5, atol=1e-6)
+    assert (rows.kept == (~rows.base_failed & (want <= quality.CUT))).all()
+
+
+def test_quality_judges_a_small_source(spark):
+    """199 rows of junk in a source of their own go, in a language that is judged and in one that is too small."""
+    prose = [(i, " ".join(f"word{(i * 7 + j * 13) % 997}" for j in range(60 + i % 50)), "en", "a") for i in range(600)]
+    junk = [(1000 + i, " ".join(f"#%*{j}&&$|<>{i}" for j in range(60)), "en" if i < 150 else "xx", "small") for i in range(199)]
+    kept = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(prose + junk, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(kept[i] for i, *_ in prose) and not any(kept[i] for i, *_ in junk)
