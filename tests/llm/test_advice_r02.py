@@ -219,3 +219,12 @@ def test_quality_judges_a_small_source(spark):
     junk = [(1000 + i, " ".join(f"#%*{j}&&$|<>{i}" for j in range(60)), "en" if i < 150 else "xx", "small") for i in range(199)]
     kept = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(prose + junk, "doc_id long, text string, lang string, source string")).collect()}
     assert all(kept[i] for i, *_ in prose) and not any(kept[i] for i, *_ in junk)
+
+
+def test_quality_cut_takes_junk_and_leaves_clean_rows(spark):
+    """Labels of the scale the cut was not fitted on; only rows that pass the base rule."""
+    folder = DATA.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.judge(docs).where("not base_failed").join(labels, "doc_id").select("quality", "kept").collect()
+    kept = {q: [r.kept for r in rows if r.quality == q] for q in (0, 1)}
+    assert np.mean(kept[1]) > 0.985 and np.mean(kept[0]) < 0.2
