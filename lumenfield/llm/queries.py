@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfield.llm import bpe, contamination, licences, lm, near, quality, secret_spans, substrings, token_files, url_filter
+from lumenfield.llm import ann, bpe, contamination, licences, lm, near, quality, secret_spans, substrings, token_files, url_filter
 from lumenfield.session import configure, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,6 +155,13 @@ def op2_licences(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(table(spark, folder, "documents"))
 
 
+@query
+def op11_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest of all vectors for every vector whose id is divisible by 20."""
+    vectors = table(spark, folder, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 SQL["op3_substring_dedup"] = r"""
 with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') as w from documents),
 g as (select doc_id, i, array_to_string(w[i + 1 : i + 50], ' ') as g from (select doc_id, w, unnest(range(0, len(w) - 49)) as i from d where len(w) >= 50)),
