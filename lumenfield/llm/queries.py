@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfield.llm import ann, bpe, contamination, licences, lm, near, quality, secret_spans, substrings, token_files, url_filter, whitening
+from lumenfield.llm import ann, bpe, contamination, conversations, licences, lm, near, quality, secret_spans, substrings, token_files, url_filter, whitening
 from lumenfield.session import configure, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,6 +168,12 @@ def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+@query
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    return conversations.repair(conversations.damage(table(spark, folder, "conversations")))
+
+
 SQL["op3_substring_dedup"] = r"""
 with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') as w from documents),
 g as (select doc_id, i, array_to_string(w[i + 1 : i + 50], ' ') as g from (select doc_id, w, unnest(range(0, len(w) - 49)) as i from d where len(w) >= 50)),
