@@ -83,12 +83,12 @@ class Forest:
         found: list[int] = []
         while queue and len(found) < visits:
             far, t, at = heapq.heappop(queue)
-            while at < last:  # go down the better side, leave the other in the queue
-                margin = p[t][(at + 1).bit_length() - 1] - cuts[t][at]
-                near, other = (2 * at + 2, 2 * at + 1) if margin > 0 else (2 * at + 1, 2 * at + 2)
-                heapq.heappush(queue, (max(far, abs(margin)), t, other))
-                far, at = max(far, -abs(margin)), near
-            found.append((t << self.depth) + at - last)
+            if at >= last:
+                found.append((t << self.depth) + at - last)
+                continue
+            margin = p[t][(at + 1).bit_length() - 1] - cuts[t][at]
+            heapq.heappush(queue, (max(far, margin), t, 2 * at + 1))
+            heapq.heappush(queue, (max(far, -margin), t, 2 * at + 2))
         return found
 
 

@@ -225,7 +225,7 @@ def repair(rows: DataFrame) -> DataFrame:
     Rerole, the cheapest and among these ASCII-least; repaired_sha256 of the repaired ``role:text`` lines.
 
     Rows follow by turn, nulls first, then by role and text; a null conversation is one of its own. A conversation without
-    rows left has zeros, an empty audit and the digest of nothing. Repeated rows are duplicates. An empty table gives
+    rows left has zeros, an empty audit and the digest of nothing. An empty role has no letter that could be kept. Repeated rows are duplicates. An empty table gives
     no rows. Gaps beyond the range of long are its end. Other columns are not read.
     """
     kind = rows.schema["conv_id"].dataType

@@ -175,7 +175,7 @@ def test_roots_with_multiplicity_and_close_pairs():
     for want in ([5], [3, 3, 3], [0, 0, 7, 10**12, 10**12 + 1], [1, 2, 2, 4, 10**30]):
         found = whitening.roots(product(want))
         got = [n / 2**b for n, b, k in found for _ in range(k)]
-        assert np.allclose(got, sorted((r for r in want if r), reverse=True), rtol=1e-14)
+        assert np.allclose(got, sorted((float(r) for r in want if r), reverse=True), rtol=1e-14)
         assert len(found) == len({r for r in want if r})
 
 
@@ -195,7 +195,7 @@ def test_whitening_odd_rows(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("*", *[F.lit(1).alias(c) for c in ("vector", "n", "component", "i")])
     got = whitening.whiten(df).collect()
     assert sorted({r.vec_id or -1 for r in got}) == [-1, 1, 5, 6, 7] and {r.n for r in got} == {6}
-    y = [[min(int(np.floor(64 * v)), 1 << 61) for v in x] for x in ([1e20, 0.5], [1e20, 0.5], [-1e18, 3.0], [2.5, 0], [0, 0], [0, -3.0])]
+    y = [[max(min(int(np.floor(64 * v)), 1 << 61), -(1 << 61)) for v in x] for x in ([1e20, 0.5], [1e20, 0.5], [-1e18, 3.0], [2.5, 0], [0, 0], [0, -3.0])]
     s = [sum(c) for c in zip(*y, strict=True)]
     want = [sum((6 * a - b) ** 2 for a, b in zip(r, s, strict=True)) for r in y]
     assert sorted(int(r.deviation) if r.deviation is not None else -1 for r in got if r.component == 1) == sorted(v if v < 10**38 else -1 for v in want)
@@ -249,7 +249,7 @@ def cheapest(rows, limit=None):
             late = 3 if fault == 3 else 0
             go(i + 1, roles, cost + 4, letters + "D", lines)
             if fault in (0, 3):
-                go(i + 1, roles + (role[:1] if role[:1] in "sua" else "x"), cost + late, letters + "K", [*lines, f"{role}:{text}"])
+                go(i + 1, roles + (role[:1] if role[:1] in list("sua") else "x"), cost + late, letters + "K", [*lines, f"{role}:{text}"])
                 for name in ("user", "assistant"):
                     go(i + 1, roles + name[0], cost + 3 + late, letters + "R", [*lines, f"{name}:{text}"])
         for name in ("user", "assistant"):
