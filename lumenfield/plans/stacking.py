@@ -71,14 +71,19 @@ def percentile_clip(t):
     return d.select(*FR, "x", "y", "keep")
 
 
-_TR = """conn as (select stack_id, frame_id, x, y, y * 100000 + x as lab from po union select t.stack_id, t.frame_id, t.x, t.y, c.lab from conn c join po t on t.stack_id = c.stack_id and t.frame_id = c.frame_id and abs(t.x - c.x) <= 1 and abs(t.y - c.y) <= 1),
+def trail_sql(pixels, elongation, length):
+    """CTEs from outliers ``po`` to the grown trail pixels ``grow``."""
+    return f"""conn as (select stack_id, frame_id, x, y, y * 100000 + x as lab from po union select t.stack_id, t.frame_id, t.x, t.y, c.lab from conn c join po t on t.stack_id = c.stack_id and t.frame_id = c.frame_id and abs(t.x - c.x) <= 1 and abs(t.y - c.y) <= 1),
  lab as (select stack_id, frame_id, x, y, min(lab) as lab from conn group by all),
  comp as (select stack_id, frame_id, lab, count(*) as n, greatest((var_samp(x) + var_samp(y)) / 2 + sqrt(power((var_samp(x) - var_samp(y)) / 2, 2) + power(covar_samp(x, y), 2)), 1e-9) as big,
-   greatest((var_samp(x) + var_samp(y)) / 2 - sqrt(power((var_samp(x) - var_samp(y)) / 2, 2) + power(covar_samp(x, y), 2)), 1e-9) as small from lab group by all having count(*) >= 4),
- hit as (select stack_id, frame_id, x, y from lab join comp using (stack_id, frame_id, lab) where sqrt(big / small) >= 2.05 and 4 * sqrt(big) >= 4.05),
+   greatest((var_samp(x) + var_samp(y)) / 2 - sqrt(power((var_samp(x) - var_samp(y)) / 2, 2) + power(covar_samp(x, y), 2)), 1e-9) as small from lab group by all having count(*) >= {pixels}),
+ hit as (select stack_id, frame_id, x, y from lab join comp using (stack_id, frame_id, lab) where sqrt(big / small) >= {elongation} and 4 * sqrt(big) >= {length}),
  grow as (select distinct stack_id, frame_id, x + dx as x, y + dy as y from hit, (select a.v as dx, b.v as dy from range(-2, 3) a(v), range(-2, 3) b(v) where abs(a.v) + abs(b.v) <= 2))"""
 
 
+_TR = trail_sql(4, 2.05, 4.05)
+
+
 @query("trail_pixels", "X3", check("pixels frames", "select * from grow", _BASE + ", " + _PCT + ", po as (select stack_id, frame_id, x, y from (select *, median(value) over (partition by stack_id, x, y) as am from pc) where good and not coalesce(pk, false) and value > am), " + _TR))
 def trail_pixels(t):
     from lumenfield.operators.detect import trail_pixels as find
@@ -101,9 +106,27 @@ def combined_rejection(t):
     return round_all(stack.rejection_report(d))
 
 
-def _combine_sql(method):
-    src = "c3" if method in ("sigma-clip", "winsorized") else "p0"
-    ctes = _BASE + (", " + clip_sql() if src == "c3" else "")
+# a streak of two pixels' width through one frame of each stack, for the default thresholds of trails
+_STREAK = "frame_id = 1 + stack_id % 7 and 2 * y - x between 5 and 8"
+_STREAKED = f"streaked as (select * replace (value + case when {_STREAK} then 5000::double else 0 end as value) from pixels), " + _BASE.replace("pixels p", "streaked p")
+_REJ = f"po as (select stack_id, frame_id, x, y from (select *, median(value) over (partition by stack_id, x, y) as am from c3) where good and not keep and value > am and depth >= 3), {trail_sql(10, 4, 12)}, " + """
+ rj as (select p.*, g.x is not null as tr, good and (not keep or g.x is not null) as rej from c3 p left join grow g on g.stack_id = p.stack_id and g.frame_id = p.frame_id and g.x = p.x and g.y = p.y),
+ rk as (select *, case when nk < least(2, depth) then not good else rej end as rejected from (select *, count(*) filter (good and not rej) over (partition by stack_id, x, y) as nk from rj))"""
+
+
+def streaked(t):
+    return t.pixels.withColumn("value", c("value") + F.when(F.expr(_STREAK), 5000.0).otherwise(0.0))
+
+
+@query("rejected_streaks", "A21 X3", check("pixels frames", f"""select stack_id, frame_id, count(*) filter (good and not keep) as n_clipped, count(*) filter (tr) as n_trail, {s6('avg(rejected::int)')} as rejected_fraction from rk group by all""", _STREAKED + ", " + clip_sql() + ", " + _REJ))
+def rejected_streaks(t):
+    return round_all(stack.rejection_report(stack.combined_rejection(streaked(t), t.frames)))
+
+
+def _combine_sql(method, base=_BASE):
+    clips = method in ("sigma-clip", "winsorized")
+    src = "(select * replace (good and not rejected as keep) from rk)" if clips else "p0"
+    ctes = base + (", " + clip_sql() + ", " + _REJ if clips else "")
     mid = f"u as (select *, median(value) over (partition by stack_id, x, y) as med from {src} where keep), v as (select *, 1.4826::double * median(abs(value - med)) over (partition by stack_id, x, y) as sc from u)"
     val = "case when sc > 0 then least(med + 2.5 * sc, greatest(med - 2.5 * sc, value)) else value end" if method == "winsorized" else "value"
     image = "any_value(med)" if method == "median" else f"sum(weight * {val}) / sum(weight)"
@@ -124,6 +147,13 @@ for _m in stack.METHODS:
     query("coadd_" + _m.replace("-", "_"), "A16", _combine_sql(_m))(_combine(_m))
 
 
+@query("coadd_without_streaks", "A16 X3", _combine_sql("sigma-clip", _STREAKED))
+def coadd_without_streaks(t):
+    w = px.frame_weights(t.frames)
+    d = stack.combine(streaked(t).join(w.select(*FR, "weight"), FR), t.frames)
+    return round_all(d.withColumn("n_used", c("n_used").cast("bigint")))
+
+
 _PLANES = """cw as (select stack_id, x, y, sum(weight * value) / sum(weight) as image, sum(weight) as weight, sqrt(sum(weight * weight * variance)) / sum(weight) as sigma from p0 where keep group by all),
  ca as (select z.stack_id, z.x, z.y, coalesce(image, 0) as image, coalesce(weight, 0) as weight, coalesce(sigma, 0) as sigma from (select distinct stack_id, x, y from p0) z left join cw using (stack_id, x, y)),
  pl as (select stack_id, x, y, 'SCI' as plane, image as value from ca union all select stack_id, x, y, 'WEIGHT', weight from ca union all select stack_id, x, y, 'UNCERT', sigma from ca)"""
@@ -243,9 +273,11 @@ def reprojected_noise(t):
 
 
 # --- optimal coadd ----------------------------------------------------------------------------------
-_FFT = f"""sc as (select stack_id, frame_id, case when photometrically_unreliable then 1 else transparency end as f, noise_sigma as s from frames),
- dn as (select z.stack_id, f.frame_id, z.x, z.y, coalesce(p.value, z.cons) as value, p.value is not null as usable from (select stack_id, x, y, coalesce(sum(value / variance) filter (good) / sum(1 / variance) filter (good), 0) as cons from p0 group by all) z
-   join frames f using (stack_id) left join (select * from p0 where good) p on p.stack_id = z.stack_id and p.frame_id = f.frame_id and p.x = z.x and p.y = z.y),
+def fft_sql(usable):
+    """The optimal coadd as plain sums over modes; ``usable`` names the samples that take part."""
+    return f"""sc as (select stack_id, frame_id, case when photometrically_unreliable then 1 else transparency end as f, noise_sigma as s from frames),
+ dn as (select z.stack_id, f.frame_id, z.x, z.y, coalesce(p.value, z.cons) as value, p.value is not null as usable from (select stack_id, x, y, coalesce(sum(value / variance) filter (used) / sum(1 / variance) filter (used), 0) as cons from {usable} group by all) z
+   join frames f using (stack_id) left join (select * from {usable} where used) p on p.stack_id = z.stack_id and p.frame_id = f.frame_id and p.x = z.x and p.y = z.y),
  kk as (select a.v as ky, b.v as kx from range(24) a(v), range(13) b(v)),
  fm as (select stack_id, frame_id, ky, kx, sum(value * cos(2 * pi() * (kx * x + ky * y) / 24)) as mr, -sum(value * sin(2 * pi() * (kx * x + ky * y) / 24)) as mi from dn, kk group by all),
  fp as (select stack_id, frame_id, ky, kx, sum(g * cos(2 * pi() * (kx * dx + ky * dy) / 24)) / sum(g) as pr from ker, kk group by all),
@@ -257,19 +289,38 @@ _FFT = f"""sc as (select stack_id, frame_id, case when photometrically_unreliabl
  cv as (select stack_id, x, y, sum(f / (s * s)) as seen from dn join sc using (stack_id, frame_id) where usable group by all)"""
 
 
+_FFT = fft_sql("(select *, good as used from p0)")
+_CLEAN = clip_sql() + ", " + _REJ + ", " + _KER + ", " + fft_sql("(select *, good and not rejected as used from rk)")
+
+
 @query("fourier_modes", "A24", check("pixels frames", f"select stack_id, ky, kx, {s6('re')} as re, {s6('im')} as im, {s6('d')} as d from md", _BASE + ", " + _KER + ", " + _FFT))
 def fourier_modes(t):
     d = fourier.modes(fourier.dense_samples(t.pixels, t.frames), kernels.gaussian(t.frames), fourier.frame_scalars(t.frames))
     return round_all(d.withColumns({"ky": c("ky").cast("bigint"), "kx": c("kx").cast("bigint")}))
 
 
-@query("optimal_coadd", "A24", check("pixels frames", f"""select stack_id, x, y, {s6('case when seen > 0 then r / f_r else 0 end')} as image, {s6('coalesce(seen / ideal, 0)')} as coverage, {s6('case when seen > 0 then sr / f_r / sqrt(greatest(seen / ideal, 1e-6)) else 0 end')} as sigma
- from im join sx using (stack_id) join nz using (stack_id) left join cv using (stack_id, x, y)""", _BASE + ", " + _KER + ", " + _FFT))
+_OPTIMAL = f"""select stack_id, x, y, {s6('case when seen > 0 then r / f_r else 0 end')} as image, {s6('coalesce(seen / ideal, 0)')} as coverage, {s6('case when seen > 0 then sr / f_r / sqrt(greatest(seen / ideal, 1e-6)) else 0 end')} as sigma
+ from im join sx using (stack_id) join nz using (stack_id) left join cv using (stack_id, x, y)"""
+
+
+@query("optimal_coadd", "A24", check("pixels frames", _OPTIMAL, _BASE + ", " + _CLEAN))
 def optimal_coadd(t):
     d = fourier.optimal_coadd(t.pixels, t.frames, kernels.gaussian(t.frames))
     return round_all(d.select(*CELL, "image", "coverage", "sigma"))
 
 
+@query("optimal_coadd_without_streaks", "A24 X3", check("pixels frames", _OPTIMAL, _STREAKED + ", " + _CLEAN))
+def optimal_coadd_without_streaks(t):
+    d = fourier.optimal_coadd(streaked(t), t.frames, kernels.gaussian(t.frames))
+    return round_all(d.select(*CELL, "image", "coverage", "sigma"))
+
+
+@query("optimal_coadd_unclipped", "A24", check("pixels frames", _OPTIMAL, _BASE + ", " + _KER + ", " + _FFT))
+def optimal_coadd_unclipped(t):
+    d = fourier.optimal_coadd(t.pixels, t.frames, kernels.gaussian(t.frames), reject=False)
+    return round_all(d.select(*CELL, "image", "coverage", "sigma"))
+
+
 # --- HDR --------------------------------------------------------------------------------------------
 _HDR = f"""lv as (select stack_id, frame_id, min(value) filter (is_saturated) as lvl from pixels group by all),
  uc as (select stack_id, frame_id, count(*) filter (value > 0 and good and (lvl is null or value < lvl * 0.75)) as n from p0 join lv using (stack_id, frame_id) group by all),
