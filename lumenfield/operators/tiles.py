@@ -14,33 +14,41 @@ from pyspark.sql import functions as F
 TILE = 128
 
 
-def _axis(at: str, size: str, tile: Column, margin: Column, wrap: bool) -> Column:
+def _layout(d: DataFrame, axis: str, at: str, size: str, tile: Column) -> DataFrame:
+    """Columns for one axis: number of tiles, own tile, its start, and the borders of the tiles next to it."""
+    names = {k: f"_{axis}{k}" for k in ("n", "t", "a", "b", "c", "d")}
+    x, w, n, t = (F.col(v).cast("bigint") for v in (at, size, names["n"], names["t"]))
+    start = lambda k: F.floor(k * w / n).cast("bigint")
+    d = d.withColumn(names["n"], F.greatest(F.lit(1).cast("bigint"), F.floor(w / tile).cast("bigint")))
+    d = d.withColumn(names["t"], F.floor(((x + 1) * n - 1) / w).cast("bigint"))
+    # start of the tile before (from the far end where it closes), own start and end, end of the tile after
+    before = F.when(t > 0, start(t - 1)).otherwise(start(n - 1) - w)
+    after = F.when(t < n - 1, start(t + 2)).otherwise(start(F.lit(1).cast("bigint")) + w)
+    return d.withColumns({names["a"]: before, names["b"]: start(t), names["c"]: start(t + 1), names["d"]: after})
+
+
+def _axis(axis: str, at: str, margin: Column, wrap: bool) -> Column:
     """Array of (tile, place, core length, number of tiles) for one coordinate."""
-    x, w = F.col(at).cast("bigint"), F.col(size).cast("bigint")
-    n = F.greatest(F.lit(1), F.floor(w / tile)).cast("bigint")
-    own = F.floor(((x + 1) * n - 1) / w).cast("bigint")
-    start = lambda t: F.floor(t * w / n).cast("bigint")
-    length = lambda t: start(t + 1) - start(t)
-    target = lambda t, p: F.struct(t.alias("t"), p.cast("int").alias("p"), length(t).cast("int").alias("core"), n.cast("int").alias("n"))
-    before, after = F.pmod(own - 1, n), F.pmod(own + 1, n)
-    low = (n > 1) & (x - start(own) < margin) & (F.lit(wrap) | (own > 0))
-    high = (n > 1) & (start(own + 1) - x <= margin) & (F.lit(wrap) | (own < n - 1))
-    found = F.array(
-        target(own, x - start(own)), F.when(low, target(before, length(before) + x - start(own))), F.when(high, target(after, x - start(own + 1)))
-    )
-    return F.filter(found, lambda e: e.isNotNull())
-
-
-def deal(pixels: DataFrame, margin: Column | int, tile: Column | int = TILE, wrap: bool = False) -> DataFrame:
+    x, n, t, a, b, c, d = (F.col(v) for v in (at, *[f"_{axis}{k}" for k in ("n", "t", "a", "b", "c", "d")]))
+    target = lambda k, p, length: F.struct(k.alias("t"), p.cast("int").alias("p"), length.cast("int").alias("core"), n.cast("int").alias("n"))
+    low = (n > 1) & (x - b < margin) & (F.lit(wrap) | (t > 0))
+    high = (n > 1) & (c - x <= margin) & (F.lit(wrap) | (t < n - 1))
+    own = target(t, x - b, c - b)
+    left, right = target(F.pmod(t - 1, n), x - a, b - a), target(F.pmod(t + 1, n), x - c, d - c)
+    return F.when(~low & ~high, F.array(own)).when(~high, F.array(own, left)).when(~low, F.array(own, right)).otherwise(F.array(own, left, right))
+
+
+def deal(pixels: DataFrame, margin: int, tile: Column | int = TILE, wrap: bool = False) -> DataFrame:
     """Rows of ``pixels`` (with ``x, y, width, height``) once for each tile they belong to.
 
     Added are ``tx, ty`` (tile), ``px, py`` (place in it), ``cx, cy`` (core size) and ``nx, ny`` (tiles of the image). With ``wrap``
     the image is closed at its edges. ``tile`` must not be smaller than ``margin``.
     """
-    m, t = (v if isinstance(v, Column) else F.lit(v) for v in (margin, tile))
-    places = lambda a, b: F.flatten(F.transform(a, lambda u: F.transform(b, lambda v: F.struct(u.alias("u"), v.alias("v")))))
-    both = places(_axis("x", "width", t, m, wrap), _axis("y", "height", t, m, wrap))
-    d = pixels.withColumn("_at", F.explode(both))
-    names = [n for n in d.columns if n != "_at"]
-    parts = {"tx": "u.t", "ty": "v.t", "px": "u.p", "py": "v.p", "cx": "u.core", "cy": "v.core", "nx": "u.n", "ny": "v.n"}
-    return d.select(*names, *[F.col(f"_at.{p}").alias(n) for n, p in parts.items()])
+    names = pixels.columns
+    t = tile if isinstance(tile, Column) else F.lit(tile)
+    d = pixels.withColumn("_tile", t)
+    d = _layout(_layout(d, "x", "x", "width", F.col("_tile")), "y", "y", "height", F.col("_tile"))
+    d = d.select(*names, F.explode(_axis("x", "x", F.lit(margin), wrap)).alias("_u"), *[f"_y{k}" for k in "ntabcd"])
+    d = d.select(*names, "_u", F.explode(_axis("y", "y", F.lit(margin), wrap)).alias("_v"))
+    parts = {"tx": "_u.t", "ty": "_v.t", "px": "_u.p", "py": "_v.p", "cx": "_u.core", "cy": "_v.core", "nx": "_u.n", "ny": "_v.n"}
+    return d.select(*names, *[F.col(p).alias(n) for n, p in parts.items()])
