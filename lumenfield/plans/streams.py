@@ -14,6 +14,8 @@ from lumenfield.plans.sky import _HA, _METRICS, _QD
 from lumenfield.plans.registry import check, query, r6
 
 c = F.col
+#: the batch forms look at a whole history, so the streams they are compared with remember as long
+MONTHS = 90 * flows.DAY_MS
 
 
 def _live(t, name, order="event_id"):
@@ -24,9 +26,9 @@ def _live(t, name, order="event_id"):
     return t.spark.sql(build(SparkText()), **{needs[0]: stream})
 
 
-def _drained(t, stream, name, mode="append", part="rows", split=None, once=None):
+def _drained(t, stream, name, mode="append", part="rows", split=None):
     folder = work_folder(t.spark, name)
-    flows.run_to_folder(stream, folder, mode, split, once)
+    flows.run_to_folder(stream, folder, mode, split)
     return t.spark.read.parquet(f"{folder}/{part}")
 
 
@@ -50,7 +52,7 @@ def progress_changes(t):
 
 @query("progress_feed_stream", "T3", _PROG_SQL)
 def progress_feed_stream(t):
-    d = _drained(t, flows.progress_stream(_live(t, "progress"), 2 * 86400), "progress")
+    d = _drained(t, flows.progress_stream(_live(t, "progress"), 2 * 86400, MONTHS), "progress")
     return d.select("job_id", _stamp("ts").alias("at"), "event", "status", "progress")
 
 
@@ -124,7 +126,7 @@ def idempotent_requests(t):
 @query("first_requests_stream", "T8", check("activity", "select distinct user_id, k from activity where event_type = 'purchase'"))
 def first_requests_stream(t):
     d = flows.first_request_stream(_live(t, "activity").where("event_type = 'purchase'"))
-    return _drained(t, d, "requests", once=flows.REQUEST_ONCE).select("user_id", "k")
+    return _drained(t, d, "requests").select("user_id", "k")
 
 
 _STORE = check("storage_changes", """select change_id, owner_id, (p - least(0, min(p) over (partition by owner_id order by ts, change_id)))::bigint as used_bytes from (select *, sum(d) over (partition by owner_id order by ts, change_id) as p from (select *,
@@ -153,7 +155,7 @@ def dead_letters(t):
 @query("dead_letters_stream", "T10", _DEAD)
 def dead_letters_stream(t):
     a = _live(t, "activity").where("event_type in ('error', 'view')").select("photo_id", "event_id", "ts")
-    return _drained(t, flows.dead_letter_stream(a), "dead").select("photo_id", _stamp("dead_at").alias("dead_at"))
+    return _drained(t, flows.dead_letter_stream(a, MONTHS), "dead").select("photo_id", _stamp("dead_at").alias("dead_at"))
 
 
 _STATE = "case when status = 'running' and poll_id % 6 = 0 then 'cancelled' else status end as status"
@@ -170,7 +172,7 @@ def job_states(t):
  where n = 1 and (e is null or (ts, poll_id) <= e)"""))
 def job_states_stream(t):
     p = _live(t, "progress").selectExpr("job_id", "ts", "poll_id", _STATE)
-    return _drained(t, flows.job_state_stream(p), "states").select("job_id", _stamp("ts").alias("at"), "status")
+    return _drained(t, flows.job_state_stream(p, MONTHS, MONTHS), "states").select("job_id", _stamp("ts").alias("at"), "status")
 
 
 @query("ingest_stream", "T1", check("photos analysis activity", f"""select joined.photo_id, case when a.photo_id is not null then 'ready' else 'failed' end as status, {s6(_QD[0])} as quality
@@ -178,7 +180,7 @@ def job_states_stream(t):
 def ingest_stream(t):
     m = _live(t, "activity").select("photo_id", c("ts").alias("enqueued_at"))
     d = flows.ingest_stream(m, t.photos.drop("created_at"), t.analysis)
-    return _drained(t, d, "ingest", once=flows.INGEST_ONCE).select("photo_id", "status", r6("d_quality_score").alias("quality"))
+    return _drained(t, d, "ingest").select("photo_id", "status", r6("d_quality_score").alias("quality"))
 
 
 # --- uploads, folders, manifests ---------------------------------------------------------------------

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from lumenfield.operators import ingest
-from lumenfield.operators.jobs import MAX_ACTIVE, TERMINAL
+from lumenfield.operators.jobs import MAX_ACTIVE
 from lumenfield.sources.files import verify_uploads
-from lumenfield.streaming import twins
+from lumenfield.streaming import keyed, twins
+from lumenfield.streaming.keyed import DAY_MS
 from lumenfield.streaming.twins import MAX_RECEIVES, signed_bytes
 
 
@@ -29,44 +29,30 @@ def file_stream(spark: SparkSession, folder: str, table: str, per_trigger: int =
 
 
 def replay(df: DataFrame, by: str, folder: str, batches: int = 4) -> DataFrame:
-    """A finished table as a stream of ``batches`` micro-batches in the order of the number ``by``."""
+    """A finished table as a stream of ``batches`` micro-batches in the order of the number ``by``, rows without it first."""
     cuts = df.approxQuantile(by, [i / batches for i in range(1, batches)], 0.01)
     bounds = [None, *sorted(set(cuts)), None]
     for low, high in zip(bounds, bounds[1:], strict=False):
         part = df if low is None else df.where(F.col(by) >= low)
         part = part if high is None else part.where(F.col(by) < high)
+        part = part.unionByName(df.where(F.col(by).isNull() | F.isnan(F.col(by).cast("double")))) if low is None and high is not None else part
         part.write.mode("append").parquet(folder)
     n = df.sparkSession.read.parquet(folder).select(F.input_file_name().alias("f")).distinct().count()
     per = max(1, n // batches)
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", per).parquet(folder)
 
 
-def run_to_folder(
-    stream: DataFrame,
-    folder: str,
-    mode: str = "append",
-    split: Callable[[DataFrame], dict] | None = None,
-    once: tuple[list[str], str] | None = None,
-) -> None:
-    """Drain the stream into Parquet. Each batch overwrites its own partition, so replays are safe.
-
-    ``once`` names key columns and an order column: only the first row of each key is written, for ever. Keys of
-    earlier batches are looked up in what was written, so nothing is held as state and nothing is forgotten.
-    """
-
-    def first_only(batch: DataFrame, name: str, batch_id: int) -> DataFrame:
-        keys, order = once
-        rows = batch.groupBy(*keys).agg(F.min_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        if not batch_id:
-            return rows
-        written = batch.sparkSession.read.parquet(f"{folder}/{name}").where(F.col("batch_id") < batch_id)
-        return rows.join(written.select(*keys).distinct(), keys, "left_anti")
+def run_to_folder(stream: DataFrame, folder: str, mode: str = "append", split: Callable[[DataFrame], dict] | None = None) -> None:
+    """Drain the stream into Parquet. Each batch overwrites its own partition, so replays are safe."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         for name, part in (split(batch) if split else {"rows": batch}).items():
-            part = first_only(part, name, batch_id) if once else part
             part.write.mode("overwrite").parquet(f"{folder}/{name}/batch_id={batch_id}")
 
+    # keyed state is looked up key by key in RocksDB; a batch writes its changes, not the whole store
+    conf = stream.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", keyed.ROCKS)
+    conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     q = (
         stream.writeStream.foreachBatch(write)
         .outputMode(mode)
@@ -82,7 +68,10 @@ def _ordered(batches, *by: str) -> pd.DataFrame:
     return pd.concat(list(batches)).sort_values(list(by), kind="stable")
 
 
-INGEST_ONCE, REQUEST_ONCE = (["photo_id"], "enqueued_at"), (["user_id", "k"], "event_id")
+def first_rows(stream: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Only the first row of each key, for ever; of rows in one micro-batch the least by ``order``. Null keys are one key."""
+    rows = stream.groupBy(*keys).transformWithStateInPandas(keyed.FirstRows(order, stream.columns), stream.schema, "append", "None")
+    return rows.select(*stream.columns)
 
 
 # --- ingest and verification -----------------------------------------------------------------------
@@ -91,10 +80,10 @@ INGEST_ONCE, REQUEST_ONCE = (["photo_id"], "enqueued_at"), (["user_id", "k"], "e
 def ingest_stream(messages: DataFrame, photos: DataFrame, analysis: DataFrame) -> DataFrame:
     """At-least-once messages; ready photos are skipped, broken ones fail.
 
-    ``messages`` needs ``photo_id`` and the event time ``enqueued_at``. Drain it with ``INGEST_ONCE``, so that
-    a replay never writes a photo again, however late it comes.
+    ``messages`` needs ``photo_id`` and the event time ``enqueued_at``. A replay never writes a photo again, however
+    late it comes.
     """
-    todo = messages.select("photo_id", "enqueued_at").join(
+    todo = first_rows(messages.select("photo_id", "enqueued_at"), ["photo_id"], "enqueued_at").join(
         photos.where("status <> 'ready'"), "photo_id"
     )
     merged = todo.join(analysis.select("photo_id", F.lit(True).alias("_analysed")), "photo_id", "left")
@@ -118,72 +107,20 @@ def route_uploads(batch: DataFrame) -> dict[str, DataFrame]:
 # --- stateful feeds ---------------------------------------------------------------------------------
 
 
-def progress_stream(polls: DataFrame, cap_seconds: int) -> DataFrame:
+def progress_stream(polls: DataFrame, cap_seconds: int, keep_ms: int = 30 * DAY_MS) -> DataFrame:
     """Change feed with per-job state; a job without an end is closed by an event-time timer."""
-    cap = pd.Timedelta(seconds=cap_seconds)
-
-    def step(key, batches, state):
-        (job,) = key
-        if state.hasTimedOut:
-            first, _, _, done = state.get
-            state.remove()
-            if not done:
-                yield pd.DataFrame({"job_id": [job], "ts": [pd.Timestamp(first, unit="us") + cap],
-                                    "event": ["timeout"], "status": [None], "progress": [None]})
-            return
-        first, status, progress, done = state.get if state.exists else (None, None, None, False)
-        out = []
-        for r in _ordered(batches, "ts", "poll_id").itertuples():
-            if done:
-                break
-            first = first if first is not None else r.ts.value // 1000
-            if r.ts > pd.Timestamp(first, unit="us") + cap:
-                out.append((job, pd.Timestamp(first, unit="us") + cap, "timeout", None, None))
-                done = True
-                break
-            p = round(r.progress, 4)
-            if (r.status, p) != (status, progress):
-                status, progress = r.status, p
-                out.append((job, r.ts, "progress", status, progress))
-            if status in TERMINAL:
-                out.append((job, r.ts, "done", status, None))
-                done = True
-        state.update((first, status, progress, done))
-        state.setTimeoutTimestamp(max(first // 1000 + cap_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=["job_id", "ts", "event", "status", "progress"])
-
-    return (
-        polls.withWatermark("ts", "10 minutes")
-        .groupBy("job_id")
-        .applyInPandasWithState(
-            step, "job_id bigint, ts timestamp, event string, status string, progress double",
-            "first bigint, status string, progress double, done boolean", "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
-    )
+    fed = polls.select("job_id", "ts", "poll_id", "status", "progress").withWatermark("ts", "10 minutes").groupBy("job_id")
+    return fed.transformWithStateInPandas(
+        keyed.ProgressFeed(cap_seconds * 1000, keep_ms), "job_id bigint, ts timestamp, event string, status string, progress double", "append", "EventTime"
+    )
 
 
 def rate_limit_stream(requests: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Admission per user by active jobs and admitted requests; the same rule as ``twins.rate_decisions``.
-
-    State is the list of admitted times in the last day, so it never exceeds the limit.
-    """
+    """Admission per user by active jobs and admitted requests; the same rule as ``twins.rate_decisions``."""
     d = requests.join(twins.active_jobs(jobs), "user_id", "left").fillna(0, ["n_active"])
-
-    def step(key, batches, state):
-        rows = _ordered(batches, "ts", "event_id")
-        kept = list(state.get[0]) if state.exists else []
-        full = rows["n_active"].to_numpy() >= MAX_ACTIVE
-        ok = np.zeros(len(rows), bool)
-        ok[~full] = twins.admissions(rows["ts"].to_numpy().astype("datetime64[us]").astype("int64")[~full], kept)
-        state.update((kept,))
-        yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "n_active": rows["n_active"], "admitted": ok})
-
-    rows = d.select("event_id", "user_id", "ts", "n_active").groupBy("user_id").applyInPandasWithState(
-        step, "event_id bigint, user_id bigint, n_active bigint, admitted boolean", "kept array<bigint>", "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    rows = d.select("event_id", "user_id", "ts", "n_active").groupBy("user_id").transformWithStateInPandas(
+        keyed.RateLimit(MAX_ACTIVE), "event_id bigint, user_id bigint, n_active bigint, admitted boolean", "append", "None"
+    )
     return twins.with_reasons(rows)
 
 
@@ -201,8 +138,8 @@ def window_stream(activity: DataFrame, every: str = "5 minutes", late: str = "10
 
 
 def first_request_stream(requests: DataFrame) -> DataFrame:
-    """Requests by (user, key); drained with ``REQUEST_ONCE`` only the first of each is ever written."""
-    return requests
+    """The first request of each (user, key)."""
+    return first_rows(requests, ["user_id", "k"], "event_id")
 
 
 def storage_stream(changes: DataFrame) -> DataFrame:
@@ -224,39 +161,13 @@ def storage_stream(changes: DataFrame) -> DataFrame:
     )
 
 
-def dead_letter_stream(receives: DataFrame) -> DataFrame:
-    """Messages at their fifth receive; the state is one attempt counter per message."""
-
-    def step(key, batches, state):
-        n = state.get[0] if state.exists else 0
-        for r in _ordered(batches, "ts", "event_id").itertuples():
-            n += 1
-            if n == MAX_RECEIVES:
-                yield pd.DataFrame({"photo_id": [key[0]], "dead_at": [r.ts]})
-        state.update((n,))
-
-    return receives.groupBy("photo_id").applyInPandasWithState(
-        step, "photo_id bigint, dead_at timestamp", "n int", "append", GroupStateTimeout.NoTimeout
-    )
+def dead_letter_stream(receives: DataFrame, keep_ms: int = 14 * DAY_MS) -> DataFrame:
+    """Messages at their fifth receive; a message is forgotten ``keep_ms`` (a queue's retention) after its last one."""
+    rows = receives.select("photo_id", "ts").withWatermark("ts", "10 minutes").groupBy("photo_id")
+    return rows.transformWithStateInPandas(keyed.DeadLetters(MAX_RECEIVES, keep_ms), "photo_id bigint, dead_at timestamp", "append", "EventTime")
 
 
-def job_state_stream(events: DataFrame) -> DataFrame:
+def job_state_stream(events: DataFrame, keep_ms: int = 30 * DAY_MS, idle_ms: int = 30 * DAY_MS) -> DataFrame:
     """Accepted transitions per job: running once, then one terminal state that absorbs the rest."""
-
-    def step(key, batches, state):
-        now = state.get[0] if state.exists else "queued"
-        out = []
-        for r in _ordered(batches, "ts", "poll_id").itertuples():
-            if now in TERMINAL:
-                break
-            if r.status in TERMINAL or (r.status == "running" and now == "queued"):
-                now = r.status
-                out.append((key[0], r.ts, now))
-        state.update((now,))
-        if out:
-            yield pd.DataFrame(out, columns=["job_id", "ts", "status"])
-
-    return events.groupBy("job_id").applyInPandasWithState(
-        step, "job_id bigint, ts timestamp, status string", "status string", "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    rows = events.select("job_id", "ts", "poll_id", "status").withWatermark("ts", "10 minutes").groupBy("job_id")
+    return rows.transformWithStateInPandas(keyed.JobStates(keep_ms, idle_ms), "job_id bigint, ts timestamp, status string", "append", "EventTime")
