@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,8 +159,8 @@ def drizzle(
 ) -> DataFrame:
     """Coadd on the output grid: shrunken drops carry flux and weight together.
 
-    The ``subsample ** 2`` points of a drop are laid out after the projection, inside generated code,
-    and summed per output pixel before the shuffle, so only touched output pixels travel.
+    The ``subsample ** 2`` points of a drop are laid out and counted per output pixel inside one batch of input
+    pixels, so a batch sends one row for each output pixel it touches, whatever the number of points.
     """
     if not 0.0 < pixfrac <= 1.0:
         raise ValueError("pixfrac must lie in (0, 1]")
@@ -167,27 +169,42 @@ def drizzle(
         d = d.join(weights.select(*FRAME, F.col("weight").alias("fw")), FRAME)
     else:
         d = d.withColumn("fw", F.lit(1.0))
-    points = [
-        (((i + 0.5) / subsample - 0.5) * pixfrac, ((j + 0.5) / subsample - 0.5) * pixfrac)
-        for i in range(subsample) for j in range(subsample)
-    ]
-    # one explode of literals; the position of a sub-drop is a short formula behind it
-    drop = F.explode(F.array(*[F.struct(F.lit(u).alias("u"), F.lit(v).alias("v")) for u, v in points]))
-    d = d.withColumn("p", drop)
-    sx = F.col("xo") + F.col("dxdx") * F.col("p.u") + F.col("dxdy") * F.col("p.v")
-    sy = F.col("yo") + F.col("dydx") * F.col("p.u") + F.col("dydy") * F.col("p.v")
-    d = d.select(
-        "stack_id", "out_width", "out_height", "fw", F.col("value").alias("flux"), "area", "variance",
-        F.rint(sx).cast("bigint").alias("ox"), F.rint(sy).cast("bigint").alias("oy"),
-    )
-    d = d.where(F.col("ox").between(0, F.col("out_width") - 1) & F.col("oy").between(0, F.col("out_height") - 1))
-    share = F.col("fw") / float(subsample * subsample)
-    return d.groupBy("stack_id", "ox", "oy").agg(
-        F.sum(share * F.col("flux") / F.col("area")).alias("num"),
-        F.sum(share).alias("weight"),
-        F.sum(share * share * F.greatest("variance", F.lit(P.VARIANCE_FLOOR)) / F.pow("area", F.lit(2.0))).alias("var_num"),
-        F.count("*").alias("context"),
-    )
+    d = d.withColumn("variance", F.greatest("variance", F.lit(P.VARIANCE_FLOOR))).select(*FOOTPRINT)
+    parts = d.mapInArrow(_footprints(pixfrac, subsample), TOUCHED)
+    return parts.groupBy("stack_id", "ox", "oy").agg(*[F.sum(n).alias(n) for n in ("num", "weight", "var_num", "context")])
+
+
+FOOTPRINT = ["stack_id", "out_width", "out_height", "xo", "yo", "dxdx", "dxdy", "dydx", "dydy", "area", "value", "variance", "fw"]
+TOUCHED = "stack_id bigint, ox bigint, oy bigint, num double, weight double, var_num double, context bigint"
+
+
+def _footprints(pixfrac: float, subsample: int):
+    """Sums per output pixel over one batch of drops, as a function over Arrow batches."""
+    side = ((np.arange(subsample) + 0.5) / subsample - 0.5) * pixfrac
+    u, v = np.repeat(side, subsample), np.tile(side, subsample)
+    names = [n.split()[0] for n in TOUCHED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            c = {n: b.column(n).to_numpy(zero_copy_only=False) for n in FOOTPRINT}
+            wide = {n: c[n][:, None] for n in FOOTPRINT[3:9]}
+            ox = np.rint(wide["xo"] + wide["dxdx"] * u + wide["dxdy"] * v)
+            oy = np.rint(wide["yo"] + wide["dydx"] * u + wide["dydy"] * v)
+            inside = (ox >= 0) & (ox < c["out_width"][:, None]) & (oy >= 0) & (oy < c["out_height"][:, None])
+            row, _ = np.nonzero(inside)
+            stacks, which = np.unique(c["stack_id"], return_inverse=True)
+            w, h = int(c["out_width"].max()), int(c["out_height"].max())
+            cell = (which[row] * h + oy[inside].astype(np.int64)) * w + ox[inside].astype(np.int64)
+            cells, at = np.unique(cell, return_inverse=True)
+            share = c["fw"][row] / (subsample * subsample)
+            total = lambda x: np.bincount(at, x, len(cells))
+            sums = [total(share * c["value"][row] / c["area"][row]), total(share), total(share * share * c["variance"][row] / c["area"][row] ** 2)]
+            arrays = [stacks[cells // (h * w)], cells % w, cells // w % h, *sums, np.bincount(at, minlength=len(cells))]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names)
+
+    return run
 
 
 def finish(acc: DataFrame) -> DataFrame:
@@ -265,8 +282,3 @@ def rescale_variance(resampled: DataFrame) -> DataFrame:
     d = resampled.join(sigma, FRAME).join(med, FRAME)
     factor = F.when((F.col("sigma") > 0) & (F.col("_med") > 0), F.col("sigma") * F.col("sigma") / F.col("_med"))
     return d.withColumn("variance", F.col("variance") * F.coalesce(factor, F.lit(1.0))).drop("_med")
-
-
-def kernel_box(fwhm: float) -> int:
-    """Half-width of a kernel that holds four sigma of a Gaussian."""
-    return int(math.ceil(4.0 * fwhm / P.FWHM_PER_SIGMA))

@@ -78,11 +78,6 @@ def exact_quantiles(
     return counts.groupBy(*keys).agg(*folds).select(*keys, *results)
 
 
-def with_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Attach group quantiles to every row."""
-    return df.join(exact_quantiles(df, keys, value, probs), keys, "left")
-
-
 def median_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Group median ``med`` and median absolute deviation ``mad``.
 

@@ -129,3 +129,34 @@ def test_rejection_of_odd_stacks(spark):
     assert not d[1, 1].good and not d[1, 2].good and d[2, 2].good
     assert stack.combined_rejection(df.limit(0), frames).count() == 0
     assert stack.combine(df.limit(0), frames).count() == 0
+
+
+def test_drops_of_a_batch_send_few_rows(spark):
+    """The sums of all sub-drops, point by point in Python, from at most five rows a pixel."""
+    from lumenfield.operators import drizzle
+
+    rng = np.random.default_rng(1)
+    n = 400
+    at = np.arange(n)
+    cols = {
+        "stack_id": np.full(n, 3), "out_width": np.full(n, 31), "out_height": np.full(n, 33), "xo": 1.5 * (at % 20) + rng.random(n), "yo": 1.5 * (at // 20) + rng.random(n),
+        "dxdx": np.full(n, 1.48), "dxdy": np.full(n, 0.1), "dydx": np.full(n, -0.1), "dydy": np.full(n, 1.48), "area": np.full(n, 2.2), "value": rng.normal(size=n), "variance": rng.random(n) + 0.5, "fw": rng.random(n),
+    }
+    df = spark.createDataFrame(pd.DataFrame(cols)).coalesce(1)
+    parts = df.mapInArrow(drizzle._footprints(0.7, 5), drizzle.TOUCHED)
+    assert parts.count() <= 5 * n
+    want = {}
+    side = [((i + 0.5) / 5 - 0.5) * 0.7 for i in range(5)]
+    for k in range(n):
+        r = {c: v[k] for c, v in cols.items()}
+        for u in side:
+            for v in side:
+                p = (round(r["xo"] + r["dxdx"] * u + r["dxdy"] * v), round(r["yo"] + r["dydx"] * u + r["dydy"] * v))
+                if 0 <= p[0] < 31 and 0 <= p[1] < 33:
+                    s = want.setdefault(p, [0.0, 0.0, 0.0, 0])
+                    f = r["fw"] / 25
+                    for i, x in enumerate((f * r["value"] / r["area"], f, f * f * r["variance"] / r["area"] ** 2, 1)):
+                        s[i] += x
+    got = {(r.ox, r.oy): (r.num, r.weight, r.var_num, r.context) for r in parts.groupBy("ox", "oy").agg(*[F.sum(c).alias(c) for c in ("num", "weight", "var_num", "context")]).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[p], want[p]) for p in want)
+    assert df.limit(0).mapInArrow(drizzle._footprints(0.7, 5), drizzle.TOUCHED).count() == 0
