@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfield.functions.photometry import FWHM_PER_SIGMA
+from lumenfield.operators import tiles
 from lumenfield.operators.pixels import FRAME
+from lumenfield.operators.skew import spread
+from lumenfield.session import reliable_checkpoint
 
 
 def _offsets(d: DataFrame, radius: Column) -> DataFrame:
@@ -77,16 +82,62 @@ def matched_filter(
     return g.select(*keys, *ident, (F.col("_n") / den).alias("flux"), (F.col("_n") / F.sqrt(den)).alias("snr"))
 
 
-def convolve(image: DataFrame, kernels: DataFrame, keys: list[str], value: str = "image", flip: bool = False) -> DataFrame:
-    """Convolution (or correlation with ``flip``) inside the image; pixels outside count as zero.
+def _overlap_save(image: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """The part of a convolution that needs nothing from outside ``image``, by one pair of transforms.
 
-    Every pixel sends one weighted message per kernel offset; sums are partial before the shuffle.
+    A value that is not finite makes the pixels in reach of the kernel NaN, as a sum over them would.
     """
-    sign = 1 if flip else -1
-    d = image.select(*keys, "x", "y", F.col(value).alias("_v")).join(kernels.select(*keys, "dx", "dy", "w"), keys)
+    r = kernel.shape[0] // 2
+    shape = image.shape
+    placed = np.zeros(shape)
+    placed[: 2 * r + 1, : 2 * r + 1] = kernel
+    spectrum = np.fft.rfft2(placed)
+    through = lambda x, s: np.fft.irfft2(np.fft.rfft2(x) * s, shape)[2 * r :, 2 * r :]
+    bad = ~np.isfinite(image)
+    if not bad.any():
+        return through(image, spectrum)
+    reach = through(bad.astype(float), np.fft.rfft2((placed != 0).astype(float))) > 0.5
+    return np.where(reach, np.nan, through(np.where(bad, 0.0, image), spectrum))
+
+
+def convolve(image: DataFrame, kernels: DataFrame, keys: list[str], value: str = "image", flip: bool = False, tile: int = tiles.TILE) -> DataFrame:
+    """Convolution (or correlation with ``flip``) at the pixels of the image; what is outside or null counts as zero.
+
+    Images are cut into tiles with a margin as wide as their kernel, each convolved by one pair of transforms, so
+    there are no rows per pixel and kernel offset. A tile with its margin is at most twice as wide as its core.
+    """
+    c = F.col
+    reach = kernels.groupBy(*keys).agg(F.max(F.greatest(F.abs("dx"), F.abs("dy"))).cast("bigint").alias("_r"))
+    box = image.groupBy(*keys).agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"), F.max("x").alias("_x1"), F.max("y").alias("_y1"))
+    size = reliable_checkpoint(box.join(reach, keys))
+    d = image.select(*keys, "x", "y", F.coalesce(c(value).cast("double"), F.lit(0.0)).alias("level")).join(size, keys)
     d = d.select(
-        *keys, (F.col("x") - sign * F.col("dx")).alias("x"), (F.col("y") - sign * F.col("dy")).alias("y"),
-        (F.col("_v") * F.col("w")).alias("_p"),
+        *keys, (c("x") - c("_x0")).alias("x"), (c("y") - c("_y0")).alias("y"), "level", "_x0", "_y0", "_r",
+        (c("_x1") - c("_x0") + 1).alias("width"), (c("_y1") - c("_y0") + 1).alias("height"),
     )
-    g = d.groupBy(*keys, "x", "y").agg(F.sum("_p").alias("filtered"))
-    return g.join(image.select(*keys, "x", "y"), [*keys, "x", "y"], "left_semi")
+    d = tiles.deal(d, c("_r"), F.greatest(F.lit(tile), 2 * c("_r")))
+    slots = [*keys, "tx", "ty"]
+    here = spread(d.select(*slots, "x", "y", "level", "_x0", "_y0", "_r", "px", "py", "cx", "cy"), *slots)
+    used = here.select(*slots).distinct()
+    sign = -1 if flip else 1
+    stamps_ = used.join(kernels.select(*keys, (sign * c("dx")).cast("int").alias("dx"), (sign * c("dy")).cast("int").alias("dy"), c("w").cast("double").alias("w")), keys)
+    stamps_ = stamps_.toDF(*[f"k_{n}" for n in slots], "dx", "dy", "w")  # both sides may stem from one table
+    kinds = {f.name: f.dataType.simpleString() for f in image.schema.fields}
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "x bigint", "y bigint", "filtered double"])
+    names = [*keys, "x", "y", "filtered"]
+
+    def run(pixels: pa.Table, stamp: pa.Table) -> pa.Table:
+        if not pixels.num_rows or not stamp.num_rows:
+            return pa.table([pa.array([], pixels.schema.field(k).type) for k in keys] + [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names)
+        at = {n: pixels.column(n).to_numpy() for n in ("x", "y", "px", "py", "level", "_x0", "_y0")}
+        r, cx, cy = (pixels.column(n)[0].as_py() for n in ("_r", "cx", "cy"))
+        kernel = np.zeros((2 * r + 1, 2 * r + 1))
+        np.add.at(kernel, (stamp.column("dy").to_numpy() + r, stamp.column("dx").to_numpy() + r), stamp.column("w").to_numpy())
+        block = np.zeros((cy + 2 * r, cx + 2 * r))
+        np.add.at(block, (at["py"] + r, at["px"] + r), at["level"])
+        made = _overlap_save(block, kernel)
+        core = np.flatnonzero((at["px"] >= 0) & (at["px"] < cx) & (at["py"] >= 0) & (at["py"] < cy))
+        own = [pixels.column(k).take(pa.array(core)) for k in keys]
+        return pa.table([*own, *[pa.array((at[n] + at[f"_{n}0"])[core]) for n in ("x", "y")], pa.array(made[at["py"][core], at["px"][core]])], names)
+
+    return here.groupBy(*slots).cogroup(stamps_.groupBy(*[f"k_{n}" for n in slots])).applyInArrow(run, schema)

@@ -38,7 +38,7 @@ def _axis(axis: str, at: str, margin: Column, wrap: bool) -> Column:
     return F.when(~low & ~high, F.array(own)).when(~high, F.array(own, left)).when(~low, F.array(own, right)).otherwise(F.array(own, left, right))
 
 
-def deal(pixels: DataFrame, margin: int, tile: Column | int = TILE, wrap: bool = False) -> DataFrame:
+def deal(pixels: DataFrame, margin: Column | int, tile: Column | int = TILE, wrap: bool = False) -> DataFrame:
     """Rows of ``pixels`` (with ``x, y, width, height``) once for each tile they belong to.
 
     Added are ``tx, ty`` (tile), ``px, py`` (place in it), ``cx, cy`` (core size) and ``nx, ny`` (tiles of the image). With ``wrap``
@@ -46,9 +46,9 @@ def deal(pixels: DataFrame, margin: int, tile: Column | int = TILE, wrap: bool =
     """
     names = pixels.columns
     t = tile if isinstance(tile, Column) else F.lit(tile)
-    d = pixels.withColumn("_tile", t)
+    d = pixels.withColumns({"_tile": t, "_m": margin if isinstance(margin, Column) else F.lit(margin)})
     d = _layout(_layout(d, "x", "x", "width", F.col("_tile")), "y", "y", "height", F.col("_tile"))
-    d = d.select(*names, F.explode(_axis("x", "x", F.lit(margin), wrap)).alias("_u"), *[f"_y{k}" for k in "ntabcd"])
-    d = d.select(*names, "_u", F.explode(_axis("y", "y", F.lit(margin), wrap)).alias("_v"))
+    d = d.select(*names, F.explode(_axis("x", "x", F.col("_m"), wrap)).alias("_u"), "_m", *[f"_y{k}" for k in "ntabcd"])
+    d = d.select(*names, "_u", F.explode(_axis("y", "y", F.col("_m"), wrap)).alias("_v"))
     parts = {"tx": "_u.t", "ty": "_v.t", "px": "_u.p", "py": "_v.p", "cx": "_u.core", "cy": "_v.core", "nx": "_u.n", "ny": "_v.n"}
     return d.select(*names, *[F.col(p).alias(n) for n, p in parts.items()])

@@ -160,3 +160,29 @@ def test_drops_of_a_batch_send_few_rows(spark):
     got = {(r.ox, r.oy): (r.num, r.weight, r.var_num, r.context) for r in parts.groupBy("ox", "oy").agg(*[F.sum(c).alias(c) for c in ("num", "weight", "var_num", "context")]).collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[p], want[p]) for p in want)
     assert df.limit(0).mapInArrow(drizzle._footprints(0.7, 5), drizzle.TOUCHED).count() == 0
+
+
+@pytest.mark.parametrize("flip", [False, True])
+def test_convolution_on_tiles_is_the_sum_over_offsets(spark, flip):
+    """Two images of different sizes, places and kernels, with holes, on tiles that are smaller than they are."""
+    rng = np.random.default_rng(4)
+    rows, stamps, want = [], [], {}
+    for key, (w, h, r, x0, y0) in {1: (45, 33, 3, 0, 0), 2: (12, 60, 5, 100, -7)}.items():
+        image = rng.normal(size=(h, w)) * 100
+        there = rng.random((h, w)) > 0.1
+        kernel = rng.random((2 * r + 1, 2 * r + 1))
+        rows += [(key, int(x0 + x), int(y0 + y), float(image[y, x])) for y, x in np.argwhere(there)]
+        stamps += [(key, dx, dy, float(kernel[dy + r, dx + r])) for dx in range(-r, r + 1) for dy in range(-r, r + 1)]
+        image = np.pad(np.where(there, image, 0.0), r)
+        for y, x in np.argwhere(there):
+            part = image[y : y + 2 * r + 1, x : x + 2 * r + 1]
+            want[key, x0 + x, y0 + y] = (part * (kernel if flip else kernel[::-1, ::-1])).sum()
+    df = spark.createDataFrame(rows, "stack_id long, x long, y long, image double")
+    ker = spark.createDataFrame(stamps, "stack_id long, dx int, dy int, w double")
+    got = {(r.stack_id, r.x, r.y): r.filtered for r in kernels.convolve(df, ker, ["stack_id"], flip=flip, tile=10).collect()}
+    assert got.keys() == want.keys()
+    assert max(abs(got[p] - want[p]) for p in want) < 1e-9
+    bad = kernels.convolve(df.withColumn("image", F.when(F.expr("stack_id = 1 and x = 20 and y = 20"), float("nan")).otherwise(F.col("image"))), ker, ["stack_id"], flip=flip, tile=10)
+    lost = {(r.x, r.y) for r in bad.where("isnan(filtered)").collect()}
+    assert lost == {(x, y) for k, x, y in want if k == 1 and abs(x - 20) <= 3 and abs(y - 20) <= 3}
+    assert kernels.convolve(df.limit(0), ker, ["stack_id"]).count() == kernels.convolve(df, ker.limit(0), ["stack_id"]).count() == 0
