@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenfield.functions import photometry as P
 from lumenfield.operators import kernels as K
-from lumenfield.operators.detect import local_maxima
+from lumenfield.operators.detect import detect_sources, local_maxima, with_shape
 from lumenfield.operators.pixels import CELL, FRAME, robust_sigma
 from lumenfield.operators.quantile import exact_quantiles
 from lumenfield.operators.skew import spread
@@ -95,8 +95,30 @@ def flux_consistency(pair: DataFrame, positions: DataFrame, radius: int = 5) ->
     return flux_ratio(pair).join(med, "stack_id", "left").join(g, "stack_id", "left")
 
 
-def compare_report(pair: DataFrame, positions: DataFrame, size: DataFrame, radius: int = 3) -> DataFrame:
-    return psnr(pair).join(ssim(pair, size), "stack_id").join(flux_consistency(pair, positions, radius), "stack_id")
+def image_quality(pair: DataFrame, size: DataFrame, threshold: float = 8.0, min_area: int = 5) -> DataFrame:
+    """Noise and median source width of both images: ``noise_a, noise_b, fwhm_a, fwhm_b`` and source counts.
+
+    Widths of sources that are no stars (under half a pixel, over a quarter of the image) count only where there
+    are no others.
+    """
+    sides = F.array(*[F.struct(F.lit(i).cast("bigint").alias("frame_id"), F.col(n).alias("value")) for i, n in enumerate("ab")])
+    d = pair.select(*CELL, F.explode(sides).alias("e")).select("stack_id", "e.frame_id", "x", "y", "e.value", F.lit(False).alias("is_masked"), F.lit(False).alias("is_saturated"))
+    d = reliable_checkpoint(d)
+    noise = robust_sigma(d, FRAME)
+    found = with_shape(detect_sources(d, threshold, min_area)).join(size, "stack_id")
+    found = reliable_checkpoint(found.withColumn("_star", (F.col("fwhm") > 0.5) & (F.col("fwhm") < 0.25 * F.least("width", "height"))))
+    wide = exact_quantiles(found, FRAME, "fwhm", {"_all": 0.5}).join(exact_quantiles(found.where("_star"), FRAME, "fwhm", {"_stars": 0.5}), FRAME, "left")
+    n = found.groupBy(*FRAME).agg(F.count("*").alias("n"))
+    facts = noise.join(wide, FRAME, "left").join(n, FRAME, "left").withColumn("fwhm", F.coalesce("_stars", "_all")).fillna(0, ["n"])
+    take = lambda what, i: F.max(F.when(F.col("frame_id") == i, F.col(what)))
+    names = {"noise": "sigma", "fwhm": "fwhm", "n_sources": "n"}
+    return facts.groupBy("stack_id").agg(*[take(v, i).alias(f"{k}_{s}") for k, v in names.items() for i, s in enumerate("ab")])
+
+
+def compare_report(pair: DataFrame, positions: DataFrame, size: DataFrame, radius: int = 3, threshold: float = 8.0) -> DataFrame:
+    """Likeness, flux and, for each image, noise and source width."""
+    d = psnr(pair).join(ssim(pair, size), "stack_id").join(flux_consistency(pair, positions, radius), "stack_id")
+    return d.join(image_quality(pair, size, threshold), "stack_id", "left")
 
 
 def snr_gain(rows: DataFrame) -> DataFrame:

@@ -136,13 +136,26 @@ def diversity(selected: DataFrame, group: str = "job_id", limit: int = MAX_INPUT
 
 
 def job_candidates(jobs: DataFrame, photos: DataFrame, min_quality: float = 0.0) -> DataFrame:
-    """Candidate photos of every selector job: the best of its object, up to the job's limit."""
+    """Candidate photos of every selector job: the best of its object, up to the job's limit.
+
+    A column ``min_quality`` of ``jobs`` is each job's own floor; null takes ``min_quality``. Photos without a score pass
+    any floor and come last, so the best of either kind are found per object, before jobs meet them.
+    """
     from lumenfield.operators.search import stack_candidates
 
-    best = stack_candidates(photos, candidate_limit(MAX_INPUTS), min_quality)
+    most = candidate_limit(MAX_INPUTS)
     limit = F.least(F.lit(4 * MAX_INPUTS), 4 * F.col("target_count") + 200)
-    wanted = jobs.select("job_id", "object_id", "target_count", limit.alias("_limit"))
-    return wanted.join(best, "object_id").where(F.col("rank") <= F.col("_limit")).drop("_limit", "rank")
+    wanted = jobs.select("job_id", "object_id", "target_count", limit.alias("_limit"), *(["min_quality"] if "min_quality" in jobs.columns else []))
+    if "min_quality" not in jobs.columns:
+        best = stack_candidates(photos, most, min_quality)
+        return wanted.join(best, "object_id").where(F.col("rank") <= F.col("_limit")).drop("_limit", "rank")
+    scored, unscored = (stack_candidates(photos.where(w), most, float("-inf")) for w in ("quality_score is not null", "quality_score is null"))
+    floor = F.coalesce("min_quality", F.lit(min_quality))
+    d = wanted.join(scored.unionByName(unscored).drop("rank"), "object_id")
+    d = d.where(F.col("quality_score").isNull() | (F.col("quality_score") >= floor))
+    # a job meets at most twice its limit here, so ranking it is one small sort
+    w = Window.partitionBy("job_id").orderBy(F.desc_nulls_last("quality_score"), F.asc("photo_id"))
+    return d.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= F.col("_limit")).drop("_limit", "_rank", "min_quality")
 
 
 def rank_within(df: DataFrame, group: list[str], order: list, limit: int, ident: str, salts: int = SALTS) -> DataFrame:

@@ -128,6 +128,52 @@ def plan_preview(t):
     return jobs.preview(selection.job_candidates(t.jobs, t.photos)).select("job_id", "photo_id", "state", "reason", c("rank").cast("bigint").alias("rank"))
 
 
+_FLOOR = "case when job_id % 6 = 0 then null else (job_id % 6) / 10::double end"
+_FLOORED = f"""own as (select * exclude (rk) from (select j.job_id, j.target_count as target, b.*, row_number() over (partition by j.job_id order by quality_score desc nulls last, photo_id) as rk
+   from jobs j join photos b using (object_id) where {VIS.replace('status', 'b.status')} and is_plate_solved and (quality_score is null or quality_score >= coalesce({_FLOOR}, 0.35::double))) where rk <= least(2000, 4 * target + 200)),
+ pool0 as (select c.*, coalesce(quality_score, 0.5) as q, dither_phase_x is not null and dither_phase_y is not null and coalesce(pixel_scale_arcsec, 0) > 0 as solved from own c)"""
+_STATES = """select job_id, photo_id, case when picks.rank is not null then 'selected' else 'rejected' end as state,
+  case when picks.rank is null then case when inpool then 'not_selected' else 'unsolved' end end as reason, coalesce(picks.rank, -1) as rank
+ from pool left join picks using (job_id, photo_id)
+ union all select job_id, photo_id, 'blocked', case when not allows_derivatives then 'no_derivatives' else 'stack_opt_out' end, -1
+ from pool0 join licences on code = license where not (allows_derivatives and allow_derivatives_in_stacks)"""
+
+
+def _states(rows):
+    return rows.select("job_id", "photo_id", "state", "reason", c("rank").cast("bigint").alias("rank"))
+
+
+@query("plan_preview_own_floors", "W2 X1 P12", check("photos jobs licences", _STATES, _FLOORED + ", " + _GREEDY))
+def plan_preview_own_floors(t):
+    """Every selector with its own least quality; some jobs name none."""
+    floor = F.when(c("job_id") % 6 != 0, (c("job_id") % 6) / 10.0)
+    return _states(jobs.preview(selection.job_candidates(t.jobs.withColumn("min_quality", floor), t.photos, 0.35)))
+
+
+# lists of each owner's photos; some name photos that are not ready, some photos that are blocked
+_LISTED = f"({VIS} or owner_id % 4 = 0) and (allow_derivatives_in_stacks and license not in ('ARR', 'CC-BY-ND-4.0', 'CC-BY-NC-ND-4.0') or owner_id % 7 = 0)"
+_EXPLICIT = f"""want as (select owner_id as job_id, count(*) over (partition by owner_id) as target, count(*) filter ({VIS}) over (partition by owner_id) as live, * from photos where owner_id is not null and {_LISTED}),
+ pool0 as (select *, coalesce(quality_score, 0.5) as q, dither_phase_x is not null and dither_phase_y is not null and coalesce(pixel_scale_arcsec, 0) > 0 as solved from want where live = target)"""
+
+
+def _listed(t):
+    wanted = t.photos.where(f"owner_id is not null and {_LISTED}").select(c("owner_id").alias("job_id"), "photo_id")
+    return jobs.explicit_candidates(wanted, t.photos)
+
+
+@query("plan_preview_listed", "W2 X1 P16", check("photos licences", _STATES, _EXPLICIT + ", " + _GREEDY))
+def plan_preview_listed(t):
+    return _states(jobs.preview(_listed(t)))
+
+
+@query("plan_stacks_listed", "X1 S10 J8", check("photos licences", f"""select job_id, photo_id, {s6("case when picks.rank is null then 0 when sum(picks.q) over w > 0 then picks.q / sum(picks.q) over w else 1 / count(picks.q) over w end")} as weight, picks.rank is null as was_rejected, license as snapshot_license
+ from pool left join picks using (job_id, photo_id) join blk using (job_id) join npick using (job_id) where nb = 0 and ns >= 2 window w as (partition by job_id, picks.rank is null)""", _EXPLICIT + ", " + _GREEDY + _BLOCK))
+def plan_stacks_listed(t):
+    """Provenance of jobs that list their photos; a list with an unready or blocked photo gives none."""
+    d = jobs.provenance_rows(jobs.preview(_listed(t)), t.photos)
+    return round_all(d.select("job_id", "photo_id", "weight", "was_rejected", "snapshot_license"))
+
+
 _LICENCE = """, lic as (select job_id, case when bool_or(not (allows_derivatives and allow_derivatives_in_stacks)) then null
   when bool_or(not allows_commercial) and bool_or(requires_sharealike) then 'CC-BY-NC-SA-4.0' when bool_or(not allows_commercial) then 'CC-BY-NC-4.0'
   when bool_or(requires_sharealike) then 'CC-BY-SA-4.0' else arg_max(license, restrictiveness) end as resulting_license

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenfield.operators import audit, drizzle, fourier, kernels, pixels as px, stack
 from lumenfield.plans.checks import s6
-from lumenfield.plans.image import _KER
+from lumenfield.plans.image import _KER, _SRC
 from lumenfield.plans.registry import check, query, r6, round_all
 from lumenfield.plans.stacking import _BASE, _PSFM, weighted
 
@@ -69,10 +69,18 @@ def flux_consistency(t):
     return round_all(audit.flux_consistency(_images(t), _positions(t), 3))
 
 
-@query("image_comparison", "A52", check("pixels frames", f"""select stack_id, {s6('psnr')} as psnr_db, {s6('ssim')} as ssim, {s6('ratio')} as flux_ratio, {s6('med')} as median_ratio, {s6('sd')} as scatter, n as n_apertures
- from fr join fc using (stack_id) join ss using (stack_id) join (select stack_id, 10 * log10(power(max(b) - min(b), 2) / avg(power(a - b, 2))) as psnr from pair group by 1) using (stack_id)""", _B2 + ", " + _POS1 + ", " + _AP + ", " + _FC + ", " + _SSIM))
+_IQ = "imgs as (select stack_id, x, y, unnest([0, 1]) as frame_id, unnest([a, b]) as value from pair), " + _SRC.replace(f"from pixels where {GOOD}", "from imgs") + """,
+ wid as (select stack_id, frame_id, count(*) as n, coalesce(median(fw) filter (fw > 0.5 and fw < 6), median(fw)) as fwhm from (select *, 2 * sqrt(2 * ln(2)) * sqrt(greatest(sqrt((cxx + cyy) / 2 + sqrt(power((cxx - cyy) / 2, 2) + cxy * cxy)) * sqrt(greatest((cxx + cyy) / 2 - sqrt(power((cxx - cyy) / 2, 2) + cxy * cxy), 0)), 1e-12)) as fw from mom) group by all),
+ noi as (select stack_id, frame_id, 1.4826::double * median(abs(value - med)) / 0.89325736754014::double as noise from (select *, median(value) over (partition by stack_id, frame_id) as med from (select *, quantile_cont(value, 0.9) over (partition by stack_id, frame_id) as cut from imgs) where value <= cut) group by all),
+ iq as (select stack_id, max(noise) filter (frame_id = 0) as noise_a, max(noise) filter (frame_id = 1) as noise_b, max(fwhm) filter (frame_id = 0) as fwhm_a, max(fwhm) filter (frame_id = 1) as fwhm_b,
+   max(coalesce(n, 0)) filter (frame_id = 0) as n_sources_a, max(coalesce(n, 0)) filter (frame_id = 1) as n_sources_b from noi left join wid using (stack_id, frame_id) group by 1)"""
+
+
+@query("image_comparison", "A52", check("pixels frames", f"""select stack_id, {s6('psnr')} as psnr_db, {s6('ssim')} as ssim, {s6('ratio')} as flux_ratio, {s6('med')} as median_ratio, {s6('sd')} as scatter, n as n_apertures,
+  {s6('noise_a')} as noise_a, {s6('noise_b')} as noise_b, {s6('fwhm_a')} as fwhm_a, {s6('fwhm_b')} as fwhm_b, n_sources_a, n_sources_b
+ from fr join fc using (stack_id) join ss using (stack_id) join (select stack_id, 10 * log10(power(max(b) - min(b), 2) / avg(power(a - b, 2))) as psnr from pair group by 1) using (stack_id) join iq using (stack_id)""", _B2 + ", " + _POS1 + ", " + _AP + ", " + _FC + ", " + _SSIM + ", " + _IQ))
 def image_comparison(t):
-    return round_all(audit.compare_report(_images(t), _positions(t), audit.image_size(t.frames)))
+    return round_all(audit.compare_report(_images(t), _positions(t), audit.image_size(t.frames), threshold=1.2))
 
 
 _MEAN = "cm as (select stack_id, x, y, sum(weight * value) / sum(weight) as image, sum(weight) as weight, sqrt(sum(weight * weight * variance)) / sum(weight) as sigma from p0 where keep group by all)"
