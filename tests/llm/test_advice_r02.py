@@ -72,13 +72,27 @@ modification, are permitted provided that the following conditions are met:
 3. Neither the name of the copyright holder nor the names of its
    contributors may be used to endorse or promote products derived from
    this software without specific prior written permission."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+ISC = """Copyright (c) 2021 Jane Doe
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
 NOTICES = {
     "apache": (APACHE, "apache2,apache2-comply,apache2-copy,apache2-basis", "Apache-2.0"),
     "mit": (MIT, "mit-permit,mit-notice,mit-asis", "MIT"),
     "gpl;": (GPL.format(";"), "gpl-program,gpl-later", "GPL-3.0-or-later"),
     "gpl:": (GPL.format(":"), "gpl-program,gpl-later", "GPL-3.0-or-later"),
-    "bsd": (BSD, "reserved,bsd-permit,bsd-source,bsd-binary", "BSD-3-Clause,proprietary"),
-    "bsd bullets": (BSD.replace("1.", "*").replace("2.", "(b)"), "reserved,bsd-permit,bsd-source,bsd-binary", "BSD-3-Clause,proprietary"),
+    "bsd": (BSD, "reserved,bsd-permit,bsd-source,bsd-binary,bsd-endorse", "BSD-3-Clause,proprietary"),
+    "bsd two": (BSD[: BSD.index("3. Neither")].rstrip(), "reserved,bsd-permit,bsd-source,bsd-binary", "BSD-2-Clause,proprietary"),
+    "gpl2": (GPL.format(";").replace("version 3", "version 2"), "gpl-program,gpl2-later", "GPL-2.0-or-later"),
+    "lgpl": (GPL.format(";").replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1"), "lgpl-program,lgpl21-later", "LGPL-2.1-or-later"),
+    "agpl": (GPL.format(";").replace("GNU General", "GNU Affero General"), "agpl-program,gpl-later", "AGPL-3.0-or-later"),
+    "mpl": (MPL, "mpl2", "MPL-2.0"),
+    "isc": (ISC, "isc", "ISC"),
+    "bsd bullets": (BSD.replace("1.", "*").replace("2.", "(b)"), "reserved,bsd-permit,bsd-source,bsd-binary,bsd-endorse", "BSD-3-Clause,proprietary"),
 }
 
 
@@ -123,6 +137,17 @@ def test_other_wordings_are_no_licence(spark, text):
     assert licences.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().licences == ""
 
 
+def test_short_names_and_creative_commons(spark):
+    """One line names one licence, in code or prose; a longer name is not taken for the shorter one it begins with."""
+    rows = [(f"// SPDX-License-Identifier: {n}\nint x;", n) for n in licences.SPDX] + [(f"# Tool\n# SPDX-License-Identifier: {n}", n) for n in licences.SPDX]
+    rows += [("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"), ("This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0")]
+    rows += [("SPDX-License-Identifier: MIT\nReleased under the MIT License.\nSPDX-License-Identifier: ISC", "MIT,ISC"), ("SPDX-License-Identifier: LicenseRef-Own", "")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.licences for r in licences.scan(df).collect()}
+    assert [got[i] for i in range(len(rows))] == [n for _, n in rows]
+    assert len({n for n, _ in licences.RULES}) >= 40
+
+
 def test_many_known_sentences_need_no_stack(spark):
     """An opening sentence before many known sentences, with and without an end; the brute force agrees."""
     s = licences.SENTENCES
