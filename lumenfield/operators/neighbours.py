@@ -111,7 +111,7 @@ def similar(vectors: DataFrame, queries: DataFrame, k: int, pivots: int | None =
 
     def visit(asks: DataFrame) -> DataFrame:
         sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts")).join(asks.groupBy("cell").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("groups")), "cell")
-        sizes = F.broadcast(reliable_checkpoint(sizes))  # one line a pivot
+        sizes = F.broadcast(sizes)  # one line a pivot
         every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
         one = lambda ident, c: F.pmod(F.xxhash64(ident), F.col(c)).cast("int")
         here = placed.join(sizes, "cell").withColumn("part", one("photo_id", "parts")).withColumn("group", every("groups"))
