@@ -13,7 +13,7 @@ The work never grows with the square of a group:
 * inside a key, every class is compared only with the one that meets most others, the likely original of a
   group of copies. Most groups are connected by this.
   Classes of one key that are still in different components meet once more by an exact prefix join of
-  their sets, rarest shingles first. So no link between unconnected texts is lost.
+  their sets, rarest shingles first, in bands of sizes that the place of the meeting allows. So no link between unconnected texts is lost.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ from lumenfield.llm.words import SPACES, grams, inside, mix, pair, split
 SHINGLE, PERCENT = 5, 75
 COLLECTIONS, WIDTH = 16, 2
 PARITY = 16
+#: bands of set sizes in a doubling; sets of one band and shingle that one task compares with
+BANDS, SPLIT = 8, 2000
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(75))
 _XOR = _RNG.integers(0, 2**63, COLLECTIONS * WIDTH, dtype=np.uint64)
@@ -200,8 +202,8 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
 def _apart(met: DataFrame, labels: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes that share keys but no component yet, by an exact prefix join of their full sets.
 
-    Two sets this similar share one of their rarest shingles: of n, the first n - ceil(n * percent / 100) + 1
-    by frequency. Shingles of one class alone come first and meet nothing, so passages that many texts
+    Two sets this similar share one of their rarest shingles: of n, those with n * percent / 100 or more at
+    or behind them by frequency. Shingles of one class alone come first and meet nothing, so passages that many texts
     share are looked at only in texts that hold little else.
     """
     named = met.join(labels, met["id"] == labels["node"], "left").select("key", "id", F.coalesce("label", "id").alias("label"))
@@ -222,19 +224,43 @@ def _apart(met: DataFrame, labels: DataFrame, sets: DataFrame, pairs: DataFrame,
     mine = Window.partitionBy("id")
     # shingles that only the class's own component has rank first and can never be common
     shared = shared.withColumn("s", F.count(F.lit(1)).over(mine)).withColumn("rank", F.row_number().over(mine.orderBy("often", "h")))
-    need = F.ceil(F.col("n") * percent / 100)
-    prefix = stored(shared.where(F.col("rank") <= F.col("s") - need + 1).select("h", "id", "label", "n", "s"), "near-rest-prefix")
-    prefix = prefix.join(rest.select("id", _parity("set").alias("p")).select("id", *[F.get("p", F.lit(i)).alias(f"p{i}") for i in range(PARITY)]), "id")
-    names = ("id", "label", "n", "s", *[f"p{i}" for i in range(PARITY)])
-    one, two = (prefix.select("h", *[F.col(c).alias(f"{c}_{k}") for c in names]) for k in (1, 2))
-    total = F.col("n_1") + F.col("n_2")
-    fits = (F.col("id_1") < F.col("id_2")) & (F.col("label_1") != F.col("label_2")) & (100 * F.least("n_1", "n_2") >= percent * F.greatest("n_1", "n_2"))
-    fits = fits & ((100 + percent) * F.least("s_1", "s_2") >= percent * total)
+    # at the first common shingle of two sets no more than the shingles from there on can be common
+    shared = shared.withColumn("ahead", F.col("s") - F.col("rank") + 1).where(100 * F.col("ahead") >= percent * F.col("n"))
+    prefix = stored(shared.select("h", "id", "label", "n", "ahead"), "near-rest-prefix")
+    parity = rest.select("id", _parity("set").alias("p")).select("id", *[F.get("p", F.lit(i)).alias(f"p{i}") for i in range(PARITY)])
+    return _crossing(prefix, parity, percent).join(pairs, ["a", "b"], "left_anti")
+
+
+def _crossing(prefix: DataFrame, parity: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that meet in a prefix shingle and pass all bounds.
+
+    A set of n shingles, of which ``ahead`` lie at or behind the meeting place, can only be as similar to a set
+    of m if ``m <= ahead * (100 + percent) / percent - n``. So the smaller set of a pair looks in the bands of
+    sizes from n up to that, and sets whose bound is below n look nowhere. That is the case of texts of one
+    size that share a template short of the wanted similarity. The component with most sets at a shingle
+    is not compared with itself, and a band with many sets is split among tasks.
+    """
+    band = lambda c: F.floor(F.log2(F.col(c).cast("double")) * BANDS)
+    top = prefix.groupBy("h", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
+    rows = prefix.join(top.where("labels > 1").select("h", F.col("top.label").alias("most")), "h")
+    high = F.least(F.floor(F.col("ahead") * (100 + percent) / percent) - F.col("n"), F.floor(100 * F.col("n") / percent))
+    rows = rows.select("h", "id", "label", "n", high.alias("high"), (F.col("label") != F.col("most")).alias("minor"), band("n").alias("band"))
+    rows = stored(rows, "near-rest-rows")
+    parts = rows.groupBy("h", "band", "minor").agg(F.ceil(F.count(F.lit(1)) / SPLIT).alias("parts"))
+    larger = rows.join(parts, ["h", "band", "minor"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    smaller = rows.where("high >= n").withColumn("band", F.explode(F.sequence("band", band("high"))))
+    smaller = smaller.withColumn("minor", F.explode(F.when(F.col("minor"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
+    smaller = smaller.join(parts, ["h", "band", "minor"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    key = ["h", "band", "minor", "part"]
+    names = ["id", "label", "n", "high", *[c for c in parity.columns if c != "id"]]
+    one, two = (d.join(parity, "id").select(*key, *[F.col(c).alias(f"{c}_{k}") for c in names]) for k, d in ((1, smaller), (2, larger)))
+    above = (F.col("n_1") < F.col("n_2")) | ((F.col("n_1") == F.col("n_2")) & (F.col("id_1") < F.col("id_2")))
+    fits = above & (F.col("n_2") <= F.col("high_1")) & (F.col("n_1") <= F.col("high_2")) & (F.col("label_1") != F.col("label_2"))
     # every differing parity is a shingle that one of the two lacks
     differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"p{i}_1").bitwiseXOR(F.col(f"p{i}_2"))) for i in range(PARITY)])
-    fits = fits & ((100 + percent) * differ <= (100 - percent) * total)
-    met_again = one.join(two, (one["h"] == two["h"]) & fits).select(F.col("id_1").alias("a"), F.col("id_2").alias("b")).distinct()
-    return met_again.join(pairs, ["a", "b"], "left_anti")
+    fits = fits & ((100 + percent) * differ <= (100 - percent) * (F.col("n_1") + F.col("n_2")))
+    met = one.join(two, key).where(fits)
+    return met.select(F.least("id_1", "id_2").alias("a"), F.greatest("id_1", "id_2").alias("b")).distinct()
 
 
 def _result(facts: DataFrame, classes: DataFrame, labels: DataFrame, key: str) -> DataFrame:

@@ -325,6 +325,56 @@ def test_near_hub_and_passage(spark):
     same(near.find(df).collect(), brute.near(rows))
 
 
+@pytest.mark.parametrize("percent", [60, 75])
+def test_near_crossing_is_exact(spark, monkeypatch, percent):
+    """Every similar pair of unlike components that shares a prefix comes back, over all band and split edges."""
+    monkeypatch.setattr(near, "SPLIT", 3)
+    rng = np.random.default_rng(percent)
+    sets: list[frozenset] = []
+    for g in range(12):
+        body = rng.choice(10**6, 60, replace=False)
+        for _ in range(14):
+            kept = body[: int(rng.integers(36, 61))]
+            sets.append(frozenset([*kept.tolist(), *rng.choice(10**6, int(rng.integers(0, 14))).tolist()]))
+    labels = [int(x) for x in rng.integers(0, 40, len(sets))]
+    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), i))
+    often: dict[int, set] = {}
+    for i, s in enumerate(sets):
+        for h in s:
+            often.setdefault(h, set()).add(i)
+    rows = []
+    for i, s in enumerate(sets):
+        shared = sorted((len(often[h]), h) for h in s if len({labels[j] for j in often[h]}) > 1)
+        for rank, (_, h) in enumerate(shared, 1):
+            if 100 * (len(shared) - rank + 1) >= percent * len(s):
+                rows.append((h, i, labels[i], len(s), len(shared) - rank + 1))
+    parity = spark.createDataFrame([(i, *np.packbits(np.bincount([h % 1024 for h in s], minlength=1024).astype(np.uint8) & 1, bitorder="little").view(np.int64).tolist()) for i, s in enumerate(sets)], ["id", *[f"p{i}" for i in range(near.PARITY)]])
+    prefix = spark.createDataFrame(rows, "h long, id long, label long, n long, ahead long")
+    got = {(r.a, r.b) for r in near._crossing(prefix, parity, percent).collect()}
+    similar = {
+        (min(i, j), max(i, j))
+        for at, i in enumerate(order) for j in order[at + 1 :]
+        if labels[i] != labels[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])
+    }
+    assert len(similar) > 100 and similar <= got
+    assert all(labels[a] != labels[b] for a, b in got)
+
+
+@pytest.mark.parametrize("spread", [0, 12])
+def test_near_template_texts(spark, spread):
+    """Texts that share a template short of the wanted similarity, of one length and of many, with some true links."""
+    rng = np.random.default_rng(5)
+    template = [f"t{i}" for i in range(85)]
+    rows = []
+    for i in range(250):
+        own = [f"o{i}_{j}" for j in range(15 + (int(rng.integers(-spread, spread + 1)) if spread else 0))]
+        rows.append((i, " ".join(own[:5] + template + own[5:])))
+        if i % 25 == 0:
+            rows.append((1000 + i, " ".join(own[:5] + template + own[5:-2] + ["x", "y"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same(near.find(df).collect(), brute.near(rows))
+
+
 # --- URL filter ------------------------------------------------------------------------------------------
 
 
