@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lumenfield.functions import photometry as P
@@ -268,20 +269,44 @@ def cosmic_ray_flags(t):
 
 
 # --- background ---------------------------------------------------------------------------------------
-def _mesh_sql():
+def _spline_sql(cells):
+    """Rows (n, i, k, g): the weight of value k in spline coefficient i of n mirrored cells."""
+    out = []
+    for n in cells:
+        a = np.diag([4.0] * n) + np.diag([1.0] * (n - 1), 1) + np.diag([1.0] * (n - 1), -1)
+        a[0, 0] = a[-1, -1] = 5
+        out += [f"({n}, {i}, {k}, {v!r}::double)" for (i, k), v in zip(np.ndindex(n, n), np.linalg.inv(a / 6).ravel().tolist(), strict=True)]
+    return f"(values {', '.join(out)}) g(n, i, k, g)"
+
+
+def _mesh_sql(source):
     k = "stack_id, frame_id, cx, cy"
-    steps, cur = [f"b0 as (select *, x // 8 as cx, y // 8 as cy from pixels where {GOOD})"], "b0"
+    b = "least(256, greatest(16, greatest(w, h) // 8))"
+    steps = [f"px as materialized ({source})"]
+    steps.append(f"sz as (select *, (w + box - 1) // box as nx, (h + box - 1) // box as ny from (select *, case when least(w, h) < 3 * {b} then greatest(8, least(w, h) // 3) else {b} end as box from (select stack_id, frame_id, max(x) + 1 as w, max(y) + 1 as h from px group by all)))")
+    steps.append(f"b0 as (select *, x // box as cx, y // box as cy from px join sz using (stack_id, frame_id) where least(w, h) >= 24 and {GOOD})")
+    cur = "b0"
     for i in range(1, 6):
         steps.append(f"b{i} as (select * exclude (m, s) from (select *, median(value) over w as m, stddev_pop(value) over w as s from {cur} window w as (partition by {k})) where abs(value - m) <= 3 * s)")
         cur = f"b{i}"
     steps.append(f"ms as (select {k}, any_value(m) as level, 1.4826::double * median(abs(value - m)) as rms from (select *, median(value) over (partition by {k}) as m from {cur}) group by all)")
     steps.append("sm as (select a.stack_id, a.frame_id, a.cx, a.cy, median(b.level) as level, median(b.rms) as rms from ms a join ms b on a.stack_id = b.stack_id and a.frame_id = b.frame_id and abs(a.cx - b.cx) <= 1 and abs(a.cy - b.cy) <= 1 group by all)")
-    w = "(1 - abs(u - a.cx)) * (1 - abs(v - a.cy))"
-    steps.append(f"bg as (select p.stack_id, p.frame_id, p.x, p.y, any_value(p.value) as value, sum({w} * level) as background, greatest(sum({w} * rms), 1e-6) as background_rms from (select *, least(2, greatest(0, (x + 0.5::double) / 8 - 0.5::double)) as u, least(2, greatest(0, (y + 0.5::double) / 8 - 0.5::double)) as v from pixels) p join sm a on a.stack_id = p.stack_id and a.frame_id = p.frame_id and abs(u - a.cx) < 1 and abs(v - a.cy) < 1 group by all)")
+    g = _spline_sql((3, 5))
+    steps.append(f"co as (select stack_id, frame_id, gx.i as cx, gy.i as cy, sum(gx.g * gy.g * level) as level, sum(gx.g * gy.g * rms) as rms from sm join sz using (stack_id, frame_id) join {g.replace('g(n', 'gx(n')} on gx.n = nx and gx.k = cx join {g.replace('g(n', 'gy(n')} on gy.n = ny and gy.k = cy group by all)")
+    steps.append("lim as (select stack_id, frame_id, min(level) as l0, max(level) as l1, min(rms) as r0, max(rms) as r1 from sm group by all)")
+    mirror = lambda q, n: f"case when {q} < 0 then -1 - ({q}) when {q} >= {n} then 2 * {n} - 1 - ({q}) else {q} end"
+    bump = lambda t: f"case when abs({t}) < 1 then 2 / 3::double - power({t}, 2) + power(abs({t}), 3) / 2 else power(2 - abs({t}), 3) / 6 end"
+    steps.append("uv as (select stack_id, frame_id, x, y, value, nx, ny, (x + 0.5::double) / box - 0.5::double as u, (y + 0.5::double) / box - 0.5::double as v from px join sz using (stack_id, frame_id) where least(w, h) >= 24)")
+    steps.append(f"taps as (select stack_id, frame_id, x, y, value, {mirror('floor(u) + i', 'nx')} as cx, {mirror('floor(v) + j', 'ny')} as cy, ({bump('(u - floor(u) - i)')}) * ({bump('(v - floor(v) - j)')}) as weight from uv, range(-1, 3) a(i), range(-1, 3) b(j))")
+    steps.append("cub as (select stack_id, frame_id, x, y, any_value(value) as value, sum(weight * level) as l, sum(weight * rms) as r from taps join co using (stack_id, frame_id, cx, cy) group by all)")
+    steps.append("med as (select stack_id, frame_id, any_value(m) as m, greatest(1.4826::double * median(abs(value - m)), 1e-6) as r from (select *, median(value) over (partition by stack_id, frame_id) as m from px join sz using (stack_id, frame_id) where least(w, h) < 24 and " + GOOD + ") group by all)")
+    steps.append("bg as (select stack_id, frame_id, x, y, value, least(l1, greatest(l0, l)) as background, greatest(least(r1, greatest(r0, r)), 1e-6) as background_rms from cub join lim using (stack_id, frame_id) union all select stack_id, frame_id, x, y, value, m, r from px join med using (stack_id, frame_id))")
     return ", ".join(steps)
 
 
-_BG = _mesh_sql()
+_BG = _mesh_sql("select * from pixels")
+_MIXED = _mesh_sql("""select stack_id, 1 as frame_id, x + 24 * ((frame_id - 1) % 2) as x, y + 24 * ((frame_id - 1) // 2) as y, value, is_masked, is_saturated from pixels where frame_id <= 6
+ union all select stack_id, 2, x, y, value, is_masked, is_saturated from pixels where frame_id = 7 and x < 20 and y < 22 union all select stack_id, 3, x, y, value, is_masked, is_saturated from pixels where frame_id = 7""")
 
 
 @query("background_mesh", "A27 W8", check("pixels", f"select stack_id, frame_id, cx, cy, {s6('level')} as level, {s6('rms')} as rms from sm", _BG))
@@ -291,10 +316,20 @@ def background_mesh(t):
 
 @query("background_subtracted", "A27", check("pixels", f"select stack_id, frame_id, x, y, {s6('value - background')} as value, {s6('background_rms')} as background_rms from bg", _BG))
 def background_subtracted(t):
-    d = background.subtract(t.pixels, 24, 24)
+    d = background.subtract(t.pixels)
     return round_all(d.select(*FR, "x", "y", "value", "background_rms"))
 
 
+@query("background_mixed_sizes", "A27", check("pixels", f"select stack_id, frame_id, x, y, {s6('background')} as background, {s6('background_rms')} as background_rms from bg", _MIXED))
+def background_mixed_sizes(t):
+    """Mosaics of six frames, corners too small for a mesh, and single frames, in one call."""
+    six = t.pixels.where("frame_id <= 6").withColumns({"x": c("x") + 24 * ((c("frame_id") - 1) % 2), "y": c("y") + 24 * F.floor((c("frame_id") - 1) / 2)})
+    last = t.pixels.where("frame_id = 7")
+    parts = [d.withColumn("frame_id", F.lit(i).cast("bigint")) for i, d in enumerate((six, last.where("x < 20 and y < 22"), last), 1)]
+    d = background.subtract(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return round_all(d.select(*FR, "x", "y", "background", "background_rms"))
+
+
 @query("background_report", "A27", check("pixels", f"select stack_id, frame_id, {s6('median(background)')} as level, {s6('median(background_rms)')} as rms, {s6('max(background) - min(background)')} as gradient from bg group by all", _BG))
 def background_report(t):
-    return round_all(background.background_report(background.subtract(t.pixels, 24, 24)))
+    return round_all(background.background_report(background.subtract(t.pixels)))

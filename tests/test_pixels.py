@@ -161,6 +161,56 @@ def test_background_removes_a_gradient(spark):
     assert abs(np.median(kept) - np.median(cube)) < 2.0
 
 
+def _spline_by_definition(grid, u, v):
+    """Cubic B-spline through a grid mirrored at its cell edges: a periodic one over the grid and its mirror image."""
+    both = np.block([[grid, grid[:, ::-1]], [grid[::-1], grid[::-1, ::-1]]])
+    for axis in (0, 1):
+        n = both.shape[axis]
+        kernel = np.zeros(n)
+        for k, w in ((0, 4 / 6), (1, 1 / 6), (-1, 1 / 6)):
+            kernel[k % n] += w
+        shape = [-1 if i == axis else 1 for i in (0, 1)]
+        both = np.fft.ifft(np.fft.fft(both, axis=axis) / np.fft.fft(kernel).reshape(shape), axis=axis).real
+    out = 0.0
+    for j in range(-2, 4):
+        for i in range(-2, 4):
+            ky, kx = int(np.floor(v)) + j, int(np.floor(u)) + i
+            bump = [(2 / 3 - t * t + t**3 / 2) if t < 1 else max(0.0, 2 - t) ** 3 / 6 for t in (abs(v - ky), abs(u - kx))]
+            out += bump[0] * bump[1] * both[ky % both.shape[0], kx % both.shape[1]]
+    return out
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (1, 4), (2, 3), (6, 9)])
+def test_background_spline(spark, shape):
+    """Values between the cells, on the edges and at the centres, for meshes of one cell and more."""
+    grid = np.random.default_rng(3).normal(100, 5, shape)
+    m = spark.createDataFrame([(1, 1, x, y, float(grid[y, x]), 2.0) for y, x in np.ndindex(*shape)], "stack_id long, frame_id long, cx long, cy long, level double, rms double")
+    rng = np.random.default_rng(4)
+    at = [(int(x), int(y)) for x, y in zip(rng.integers(0, 9 * shape[1], 60), rng.integers(0, 9 * shape[0], 60), strict=True)]
+    p = spark.createDataFrame([(1, 1, x, y) for x, y in {*at, (0, 0), (9 * shape[1] - 1, 9 * shape[0] - 1)}], "stack_id long, frame_id long, x long, y long")
+    for r in background.with_background(p, m, 9).collect():
+        want = _spline_by_definition(grid, (r.x + 0.5) / 9 - 0.5, (r.y + 0.5) / 9 - 0.5)
+        assert abs(r.background - np.clip(want, grid.min(), grid.max())) < 1e-9 and abs(r.background_rms - 2.0) < 1e-9
+
+
+def test_background_of_masked_cells_and_sizes(spark):
+    """A cell without good pixels takes its level from others, an image without any has no sky, sizes may differ."""
+    rows = []
+    for frame, (w, h) in {1: (40, 24), 2: (23, 50), 3: (30, 30)}.items():
+        for y, x in np.ndindex(h, w):
+            rows.append((1, frame, x, y, 50.0 + frame, frame == 3 or (frame == 1 and x < 8 and y < 8), False))
+    p = spark.createDataFrame(rows, "stack_id long, frame_id long, x long, y long, value double, is_masked boolean, is_saturated boolean")
+    d = background.subtract(p).groupBy("frame_id").agg(F.count("*").alias("n"), F.min("background").alias("lo"), F.max("background").alias("hi"), F.max("background_rms").alias("rms"))
+    got = {r.frame_id: (r.n, r.lo, r.hi, r.rms) for r in d.collect()}
+    for frame, n in ((1, 960), (2, 1150)):
+        assert got[frame][0] == n and np.allclose(got[frame][1:], (50 + frame, 50 + frame, 1e-6))
+    assert got[3] == (900, None, None, None)
+    holes = spark.createDataFrame([(1, 1, x, 0, float(x), 1.0) for x in (0, 1, 4)], "stack_id long, frame_id long, cx long, cy long, level double, rms double")
+    filled = background.fill_mesh(holes, spark.createDataFrame([(1, 1, 5, 1)], "stack_id long, frame_id long, nx long, ny long"))
+    levels = [r.level for r in filled.orderBy("cx").collect()]
+    assert np.allclose(levels, [0, 1, (0 / 2 + 1 / 1 + 4 / 2) / 2, (0 / 3 + 1 / 2 + 4 / 1) / (1 / 3 + 1 / 2 + 1), 4])
+
+
 def test_drizzle_conserves_flux_on_its_own_grid(spark):
     cube, _ = star_field([3.0] * 2, [0.0] * 2)
     p, f = tables(spark, cube[:2], [3.0] * 2, [1.0] * 2)
