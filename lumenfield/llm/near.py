@@ -276,6 +276,10 @@ def _result(facts: DataFrame, classes: DataFrame, labels: DataFrame, key: str) -
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose key names its component; rows with a null key stay."""
+    """The rows of ``docs`` whose key names its component, with all columns.
+
+    Rows with a null key stay, as do null and empty texts; of rows that repeat a kept key all stay. An empty table
+    gives no rows.
+    """
     gone = find(docs, key, text).where(~F.col("kept")).select(key).distinct()
     return docs.join(gone, key, "left_anti")

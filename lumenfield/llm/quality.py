@@ -43,9 +43,13 @@ def _staged(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def base_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` without its text but with the base statistics; all as array work inside the row."""
-    keep = [c for c in df.columns if c != text]
-    one = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
+    """``df`` without its text but with the base statistics; all as array work inside the row.
+
+    Columns called like a statistic are replaced, all others stay: they travel under numbers, so no name can clash.
+    """
+    names = {f"c{i}": c for i, c in enumerate(c for c in df.columns if c != text and c.lower() not in BASE)}
+    keep = list(names)
+    one = df.select(*[F.col(f"`{c}`").alias(k) for k, c in names.items()], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
     word = "[^ \t-\r]"
     one = _staged(
         one,
@@ -54,7 +58,7 @@ def base_statistics(df: DataFrame, text: str = "text") -> DataFrame:
         _s=F.length(F.regexp_replace("_t", r"[^#*$%&|<>]+", "")),
     )
     one = one.select(
-        *[F.col(f"`{c}`") for c in keep],
+        *keep,
         F.size("_w").alias("_n"),
         F.length(F.array_join("_w", "")).alias("_c"),
         "_s",
@@ -76,7 +80,7 @@ def base_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     gaps = F.transform("_r", lambda x, i: F.least(F.coalesce(F.get("_r", i + 1) - x, F.lit(WINDOW)), F.lit(WINDOW)))
     covered = F.aggregate(gaps, F.lit(0), lambda acc, x: acc + x)
     long = {"n_words": F.col("_n"), "word_chars": F.col("_c"), "n_symbols": F.col("_s"), "n_dup_lines": F.col("_d"), "n_repeat_words": covered}
-    return one.select(*[F.col(f"`{c}`") for c in keep if c not in BASE], *[v.cast("long").alias(k) for k, v in long.items()])
+    return one.select(*[F.col(k).alias(c) for k, c in names.items()], *[v.cast("long").alias(k) for k, v in long.items()])
 
 
 def base_failed() -> Column:

@@ -15,6 +15,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def free(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column of ``taken`` bears it (names are equal in any case)."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def text_hash(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
 

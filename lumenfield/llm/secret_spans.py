@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfield.llm.rows import stored, text_hash
+from lumenfield.llm.rows import free, stored, text_hash
 
 BASE = ("assign", "access", "hex")
 # a private key: header, body and footer; where no footer follows before the next dashes, the lines of the key that
@@ -109,11 +109,13 @@ def base(spans: Column) -> Column:
 def redact(df: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[secret]", **scan_options) -> DataFrame:
     """``df`` with every found span replaced by ``mark``; overlapping spans become one mark.
 
-    All rows and columns stay; rows without spans are untouched.
+    All rows and columns stay, whatever their names; rows without spans are untouched, among them null and empty
+    texts. Rows with a null key and repeated rows are redacted like others. An empty table gives no rows.
     """
+    own = free("_spans", df.columns)
     found = scan(df, key, text, **scan_options).where(F.size("spans") > 0).select("id", "hash", "spans").dropDuplicates(["id", "hash"])
     match = df[key].eqNullSafe(found["id"]) & (text_hash(text) == found["hash"])
-    joined = df.join(found.select("id", "hash", F.col("spans").alias("_spans")), match, "left")
+    joined = df.join(found.select("id", "hash", F.col("spans").alias(own)), match, "left")
     # keep the text between the running ends of the spans before, and write a mark where a new stretch begins
     state = F.struct(F.lit("").alias("done"), F.lit(0).cast("bigint").alias("at"))
     body = F.col(f"`{text}`")
@@ -124,5 +126,5 @@ def redact(df: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "
         return F.struct(F.when(fresh, kept).otherwise(acc["done"]).alias("done"), F.greatest(acc["at"], x["end"]).alias("at"))
 
     tail = lambda acc: F.concat(acc["done"], body.substr(acc["at"].cast("int") + F.lit(1), F.length(body)))
-    cleaned = F.when(F.col("_spans").isNull(), body).otherwise(F.aggregate("_spans", state, step, tail))
+    cleaned = F.when(F.col(own).isNull(), body).otherwise(F.aggregate(own, state, step, tail))
     return joined.select(*[cleaned.alias(text) if c == text else df[c] for c in df.columns])
