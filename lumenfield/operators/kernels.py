@@ -22,8 +22,9 @@ def _offsets(d: DataFrame, radius: Column) -> DataFrame:
 
 
 def _unit_sum(d: DataFrame) -> DataFrame:
+    """Kernels scaled to one. They unfold from one row per frame, so no join here or later may broadcast them."""
     total = d.groupBy(*FRAME).agg(F.sum("k").alias("_t"))
-    return d.join(total, FRAME).select(*FRAME, "dx", "dy", (F.col("k") / F.col("_t")).alias("w"))
+    return d.hint("merge").join(total, FRAME).select(*FRAME, "dx", "dy", (F.col("k") / F.col("_t")).alias("w")).hint("merge")
 
 
 def gaussian(frames: DataFrame, radius: int | None = None) -> DataFrame:
