@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,46 +27,84 @@ def candidate_limit(target: int) -> int:
     return min(4 * MAX_INPUTS, 4 * target + 200)
 
 
-def _distances(x, y, s, i: int) -> np.ndarray:
-    """Diversity distance of every frame to frame ``i``."""
-    dx = np.abs(x - x[i]) % 1.0
-    dy = np.abs(y - y[i]) % 1.0
+#: padded cells of jobs that are chosen for at once
+BLOCK = 200_000
+
+
+def _distances(x, y, s, at) -> np.ndarray:
+    """Diversity distance of every frame of each job (a row) to the job's frame at ``at``."""
+    pick = lambda v: np.take_along_axis(v, at, 1)
+    dx = np.abs(x - pick(x)) % 1.0
+    dy = np.abs(y - pick(y)) % 1.0
     phase = np.hypot(np.minimum(dx, 1 - dx), np.minimum(dy, 1 - dy)) / np.sqrt(0.5)
-    scale = np.abs(np.log2(s / s[i])) / SCALE_OCTAVES
+    scale = np.abs(np.log2(s / pick(s))) / SCALE_OCTAVES
     return PHASE_WEIGHT * np.minimum(1.0, phase) + SCALE_WEIGHT * np.minimum(1.0, scale)
 
 
-def choose(pdf: pd.DataFrame, target: int, min_quality: float, weight: float) -> pd.DataFrame:
-    """One job: a row per candidate, selected with rank or rejected with a reason."""
-    pdf = pdf.sort_values("photo_id", kind="stable").reset_index(drop=True)
-    q = pdf["quality"].to_numpy(float)
-    geo = pdf[["dither_phase_x", "dither_phase_y", "pixel_scale_arcsec"]].to_numpy(float)
-    solved = np.isfinite(geo).all(axis=1) & (np.nan_to_num(geo[:, 2]) > 0)
-    x, y = geo[:, 0] % 1.0, geo[:, 1] % 1.0
-    scale = np.where(solved, geo[:, 2], 1.0)
-    low = q < min_quality
-    pool = solved & ~low
-    if pool.sum() < target:
-        pool = ~low
-    out = pd.DataFrame({"job_id": pdf["job_id"], "photo_id": pdf["photo_id"], "quality": q})
-    out["reason"] = np.where(low, "too_low_quality", np.where(pool, "not_selected", "unsolved"))
-    order, gain = np.full(len(q), -1), np.zeros(len(q))
-    nearest = np.full(len(q), np.inf)
-    free = pool.copy()
-    for rank in range(min(target, int(pool.sum()))):
-        if rank == 0:
-            score = np.where(free, q, -np.inf)
-        else:
-            score = np.where(free, weight * q + (1 - weight) * nearest, -np.inf)
-        i = int(np.argmax(score))
-        order[i], gain[i] = rank, 1.0 if rank == 0 else nearest[i]
-        free[i] = False
-        d = _distances(x, y, scale, i) if solved[i] else np.zeros(len(q))
+def _rounds(q, x, y, s, solved, free, turns, weight: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rank (-1: not taken) and gain of each frame of several jobs, one job a row; ``turns`` frames are taken from each."""
+    order, gain = np.full(q.shape, -1, np.int32), np.zeros(q.shape)
+    job, col = np.arange(len(q))[:, None], np.broadcast_to(np.arange(q.shape[1]), q.shape)
+    nearest = np.full(q.shape, np.inf)
+    for rank in range(int(turns.max(initial=0))):
+        live = turns > rank
+        left = int(free.sum(1).max())
+        if not live.all() or (left > 32 and 2 * left <= free.shape[1]):
+            # jobs that are done, and frames that are taken, drop out; the others keep their order
+            keep = np.argsort(~free[live], axis=1, kind="stable")[:, :left]
+            q, x, y, s, solved, free, nearest, col = (np.take_along_axis(v[live], keep, 1) for v in (q, x, y, s, solved, free, nearest, col))
+            job, turns = job[live], turns[live]
+        score = q if rank == 0 else weight * q + (1 - weight) * nearest
+        at = np.argmax(np.where(free, score, -np.inf), axis=1)[:, None]
+        to = np.take_along_axis(col, at, 1)
+        order[job, to] = rank
+        gain[job, to] = 1.0 if rank == 0 else np.take_along_axis(nearest, at, 1)
+        np.put_along_axis(free, at, False, 1)
+        d = np.where(np.take_along_axis(solved, at, 1), _distances(x, y, s, at), 0.0)
         nearest = np.minimum(nearest, np.where(solved, d, 0.0))
-    out["rank"], out["diversity_gain"] = order.astype("int32"), gain
-    out["is_selected"] = order >= 0
-    out.loc[out["is_selected"], "reason"] = None
-    return out[[f.split()[0] for f in SELECTION_SCHEMA.split(", ")]]
+    return order, gain
+
+
+def choose(rows: pa.Table, min_quality: float, weight: float) -> pa.Table:
+    """A row per candidate of whole jobs, ordered by job and photo: selected with rank or rejected with a reason."""
+    q, x, y, s = (rows.column(n).to_numpy().astype(float) for n in ("quality", "dither_phase_x", "dither_phase_y", "pixel_scale_arcsec"))
+    solved = np.isfinite(x) & np.isfinite(y) & np.isfinite(s) & (np.nan_to_num(s) > 0)
+    starts = _starts(rows.column("job_id"))
+    size = np.diff(starts, append=len(q))
+    low = q < min_quality
+    per_job = lambda flags: np.add.reduceat(flags.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
+    target = np.maximum(1, rows.column("target_count").take(pa.array(starts)).to_numpy().astype(np.int64))
+    narrow = np.repeat(per_job(solved & ~low) >= target, size)
+    pool = ~low & (solved | ~narrow)
+    turns = np.minimum(target, per_job(pool))
+    order, gain = np.full(len(q), -1, np.int32), np.zeros(len(q))
+    by_size = np.argsort(size, kind="stable")
+    a = 0
+    while a < len(by_size):
+        # jobs of like size are chosen for side by side, padded to the largest
+        b = a + 1
+        while b < len(by_size) and size[by_size[b]] <= 2 * size[by_size[a]] and (b + 1 - a) * size[by_size[b]] <= BLOCK:
+            b += 1
+        jobs, wide = by_size[a:b], int(size[by_size[b - 1]])
+        at = starts[jobs][:, None] + np.arange(wide)
+        real = np.arange(wide) < size[jobs][:, None]
+        at = np.where(real, at, starts[jobs][:, None])
+        own = solved[at] & real
+        o, g = _rounds(q[at], x[at] % 1.0, y[at] % 1.0, np.where(own, s[at], 1.0), own, pool[at] & real, turns[jobs], weight)
+        order[at[real]], gain[at[real]] = o[real], g[real]
+        a = b
+    taken = order >= 0
+    reason = np.where(low, "too_low_quality", np.where(pool, "not_selected", "unsolved"))
+    columns = [rows.column("job_id"), rows.column("photo_id"), taken, order, gain, q, pa.array(reason, mask=taken)]
+    return pa.table([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], [f.split()[0] for f in SELECTION_SCHEMA.split(", ")])
+
+
+def _starts(job: pa.ChunkedArray) -> np.ndarray:
+    """Where each job begins, in rows ordered by job; null is one job."""
+    none, ident = job.is_null().to_numpy(), job.fill_null(0).to_numpy()
+    if not len(ident):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.r_[True, (ident[1:] != ident[:-1]) | (none[1:] != none[:-1])])
 
 
 def select_frames(
@@ -74,21 +112,31 @@ def select_frames(
 ) -> DataFrame:
     """Select per ``job_id`` up to ``target_count`` frames.
 
-    Each group is bounded by :func:`candidate_limit`, so one job is one small task; jobs run in
-    parallel.
+    Jobs come sorted through a task, which chooses for many small ones at once and holds no more than one large one.
     """
     if not 0.0 <= quality_weight <= 1.0:
         raise ValueError("quality_weight must lie in [0, 1]")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return choose(pdf, max(1, int(pdf["target_count"].iloc[0])), min_quality, quality_weight)
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held, n = [*held, pa.Table.from_batches([batch])], n + batch.num_rows
+            if n < BLOCK // 4:
+                continue
+            rows = pa.concat_tables(held)
+            last = int(_starts(rows.column("job_id"))[-1]) if n else 0  # the last job may go on
+            if last:
+                yield from choose(rows.slice(0, last), min_quality, quality_weight).to_batches()
+            held, n = [rows.slice(last)], n - last
+        if n:
+            yield from choose(pa.concat_tables(held), min_quality, quality_weight).to_batches()
 
     need = candidates.select(
-        "job_id", "photo_id", "target_count",
-        F.coalesce("quality_score", F.lit(UNKNOWN_QUALITY)).alias("quality"),
-        "dither_phase_x", "dither_phase_y", "pixel_scale_arcsec",
+        F.col("job_id").cast("bigint").alias("job_id"), F.col("photo_id").cast("bigint").alias("photo_id"), "target_count",
+        F.coalesce("quality_score", F.lit(UNKNOWN_QUALITY)).cast("double").alias("quality"),
+        *[F.col(n).cast("double").alias(n) for n in ("dither_phase_x", "dither_phase_y", "pixel_scale_arcsec")],
     )
-    return spread(need, "job_id").groupBy("job_id").applyInPandas(run, SELECTION_SCHEMA)
+    return spread(need, "job_id").sortWithinPartitions("job_id", "photo_id").mapInArrow(run, SELECTION_SCHEMA)
 
 
 def with_weights(rows: DataFrame, group: str = "job_id", quality: str = "quality") -> DataFrame:
