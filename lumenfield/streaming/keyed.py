@@ -216,26 +216,3 @@ class RateLimit(StatefulProcessor):
 
     def close(self) -> None:
         pass
-
-
-class FirstRows(StatefulProcessor):
-    """The first row of every key, for ever: a later batch only looks up its own keys, however long the history."""
-
-    def __init__(self, order: str, columns: list[str]):
-        self.order, self.columns = order, columns
-
-    def init(self, handle) -> None:
-        self.seen = handle.getValueState("seen", "yes boolean")
-
-    def handleInputRows(self, key, rows, timerValues):
-        if self.seen.exists():
-            return
-        first = None
-        for p in rows:
-            p = p if first is None else pd.concat([first, p])
-            first = p.sort_values(self.order, kind="stable", na_position="last").iloc[:1]
-        self.seen.update((True,))
-        yield first[self.columns]
-
-    def close(self) -> None:
-        pass
