@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,16 +19,17 @@ STRIDE = 1 << 31
 MAX_ROUNDS = 64
 
 
-def _tile_roots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Smallest pixel code of the 8-connected group of each pixel in one tile."""
-    code = y.astype(np.int64) * STRIDE + x
+def _tile_roots(x: np.ndarray, y: np.ndarray, part: np.ndarray, tile: int) -> np.ndarray:
+    """Smallest pixel code of the 8-connected group of each pixel; ``part`` numbers the tiles, which do not touch."""
+    wide = tile + 2
+    code = (part * wide + y % tile + 1) * wide + x % tile + 1
     order = np.argsort(code)
     code = code[order]
     pairs = []
     for dx, dy in ((1, 0), (-1, 1), (0, 1), (1, 1)):
-        pos = np.searchsorted(code, code + dy * STRIDE + dx)
+        pos = np.searchsorted(code, code + dy * wide + dx)
         hit = pos < len(code)
-        hit[hit] = code[pos[hit]] == (code + dy * STRIDE + dx)[hit]
+        hit[hit] = code[pos[hit]] == (code + dy * wide + dx)[hit]
         pairs.append(np.stack([np.flatnonzero(hit), pos[hit]]))
     i, j = np.concatenate(pairs, axis=1)
     root = np.arange(len(code))
@@ -42,26 +43,53 @@ def _tile_roots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
             break
         root = new
     out = np.empty(len(code), dtype=np.int64)
-    out[order] = code[root]
+    out[order] = (y.astype(np.int64) * STRIDE + x)[order][root]
     return out
 
 
+#: rows of whole tiles that are labelled at once
+ROWS = 50_000
+
+
 def label(flagged: DataFrame, tile: int = TILE) -> DataFrame:
     """Add ``label``: one value per 8-connected group of flagged pixels within a frame.
 
-    Pixels are grouped inside tiles of bounded size; groups that touch across tile borders are then
-    joined by minimum-label rounds over the border pairs alone.
+    Pixels are grouped inside tiles of bounded size, many small tiles at a time; groups that touch across tile borders
+    are then joined by minimum-label rounds over the border pairs alone.
     """
     d = flagged.withColumns(
         {"_tx": F.floor(F.col("x") / tile), "_ty": F.floor(F.col("y") / tile)}
     )
     names = ", ".join(f"{n} {t}" for n, t in d.dtypes if n not in ("_tx", "_ty"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf.drop(columns=["_tx", "_ty"])
-        return out.assign(label=_tile_roots(pdf["x"].to_numpy(), pdf["y"].to_numpy()))
-
-    local = spread(d, *FRAME, "_tx", "_ty").groupBy(*FRAME, "_tx", "_ty").applyInPandas(run, f"{names}, label bigint")
+    slots = [*FRAME, "_tx", "_ty"]
+
+    def part(rows: pa.Table) -> np.ndarray:
+        new = np.zeros(rows.num_rows, bool)
+        for n in slots:
+            none, v = rows.column(n).is_null().to_numpy(), rows.column(n).fill_null(0).to_numpy()
+            new[1:] |= (v[1:] != v[:-1]) | (none[1:] != none[:-1])
+        return np.cumsum(new)
+
+    def roots(rows: pa.Table):
+        found = _tile_roots(rows.column("x").to_numpy(), rows.column("y").to_numpy(), part(rows), tile)
+        yield from rows.drop_columns(["_tx", "_ty"]).append_column("label", pa.array(found)).to_batches()
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held, n = [*held, pa.Table.from_batches([batch])], n + batch.num_rows
+            if n < ROWS:
+                continue
+            rows = pa.concat_tables(held)
+            at = part(rows)
+            last = int(np.searchsorted(at, at[-1]))  # the last tile may go on
+            if last:
+                yield from roots(rows.slice(0, last))
+            held, n = [rows.slice(last)], n - last
+        if n:
+            yield from roots(pa.concat_tables(held))
+
+    local = spread(d, *slots).sortWithinPartitions(*slots).mapInArrow(run, f"{names}, label bigint")
     return _merge_tiles(reliable_checkpoint(local), tile)
 
 
@@ -173,10 +201,15 @@ def with_shape(sources: DataFrame) -> DataFrame:
     )
 
 
+def _quantile(d: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """A median per group, written out: a task that ran the sorts of many medians at once would hold them all."""
+    return reliable_checkpoint(exact_quantiles(d, keys, value, {name: 0.5}))
+
+
 def _median_angle(d: DataFrame, keys: list[str]) -> DataFrame:
     """Orientation is defined modulo pi, so medians are taken on the doubled angle."""
     d = d.withColumns({"_s2": F.sin(2.0 * F.col("theta")), "_c2": F.cos(2.0 * F.col("theta"))})
-    s = exact_quantiles(d, keys, "_s2", {"_ms": 0.5}).join(exact_quantiles(d, keys, "_c2", {"_mc": 0.5}), keys)
+    s = _quantile(d, keys, "_s2", "_ms").join(_quantile(d, keys, "_c2", "_mc"), keys)
     return s.select(*keys, (F.atan2("_ms", "_mc") / 2.0).alias("theta"))
 
 
@@ -188,8 +221,8 @@ def field_maps(sources: DataFrame, frames: DataFrame, grid: int = 3, min_per_cel
     keys = [*FRAME, "cell_x", "cell_y"]
     n = d.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= min_per_cell)
     d = d.join(n, keys)
-    out = n.join(exact_quantiles(d, keys, "fwhm", {"fwhm": 0.5}), keys)
-    out = out.join(exact_quantiles(d, keys, "eccentricity", {"eccentricity": 0.5}), keys)
+    out = n.join(_quantile(d, keys, "fwhm", "fwhm"), keys)
+    out = out.join(_quantile(d, keys, "eccentricity", "eccentricity"), keys)
     return out.join(_median_angle(d, keys), keys)
 
 
@@ -200,10 +233,8 @@ def characterise(sources: DataFrame, frames: DataFrame, grid: int = 3) -> DataFr
     d = d.withColumn("_ok", ok)
     n = d.groupBy(*FRAME).agg(F.count("*").alias("star_count"))
     good = d.where("_ok")
-    fw = exact_quantiles(good, FRAME, "fwhm", {"fwhm": 0.5}).join(
-        exact_quantiles(good, FRAME, "eccentricity", {"eccentricity": 0.5}), FRAME
-    )
-    any_fw = exact_quantiles(d, FRAME, "fwhm", {"_all": 0.5})
+    fw = _quantile(good, FRAME, "fwhm", "fwhm").join(_quantile(good, FRAME, "eccentricity", "eccentricity"), FRAME)
+    any_fw = _quantile(d, FRAME, "fwhm", "_all")
     vary = is_field_varying(field_maps(sources, frames, grid))
     d = n.join(any_fw, FRAME, "left").join(fw, FRAME, "left").join(_median_angle(good, FRAME), FRAME, "left").join(vary, FRAME, "left")
     return d.select(
