@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfield.session import shuffle_width
+
 SALTS = 16
 
 
@@ -14,8 +16,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     Grouped NumPy work is heavy per byte, so its partitions must not be coalesced by size; the group
     operator that follows reuses this partitioning.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
+    return df.repartition(shuffle_width(df.sparkSession), *keys)
 
 
 def salted_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], ident: str, salts: int = SALTS) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenfield.functions.licences import LICENCES, licence_table
 from lumenfield.operators.skew import spread
-from lumenfield.session import configure, work_folder
+from lumenfield.session import configure, size_shuffles, work_folder
 from lumenfield.sources.derive import TABLES
 from lumenfield.sources.dialect import CheckText, SparkText
 
@@ -27,6 +27,7 @@ class Catalogue:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = configure(spark)
         self.folder = folder.rstrip("/")
+        size_shuffles(spark, self.folder)
 
     def given(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

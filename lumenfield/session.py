@@ -28,6 +28,27 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: bytes of the input files for each partition of a shuffle
+PARTITION_BYTES = 4 << 20
+INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+def size_shuffles(spark: SparkSession, folder: str) -> None:
+    """Let the number of shuffle partitions follow the size of the tables, so that what one task holds does not grow.
+
+    Spark merges small partitions again after each shuffle.
+    """
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    size = path.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    spark.conf.set(INITIAL, str(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))))
+
+
+def shuffle_width(spark: SparkSession) -> int:
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(n, int(spark.conf.get(INITIAL, None) or n))
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python tasks can import it."""
     sc = spark.sparkContext
