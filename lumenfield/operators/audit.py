@@ -78,12 +78,16 @@ def flux_ratio(pair: DataFrame) -> DataFrame:
 
 
 def aperture_sums(pair: DataFrame, positions: DataFrame, radius: int) -> DataFrame:
-    """Sums of ``a`` and ``b`` in square apertures, clipped at the image edge."""
+    """Sums of ``a`` and ``b`` in square apertures, clipped at the image edge.
+
+    Positions unfold into the pixels of their apertures, of which the planner knows nothing, so that they must never be
+    broadcast.
+    """
     side = F.sequence(F.lit(-radius), F.lit(radius))
     p = positions.select("stack_id", "source_id", F.rint("x").cast("bigint").alias("_ix"), F.rint("y").cast("bigint").alias("_iy"))
     p = p.withColumn("_i", F.explode(side)).withColumn("_j", F.explode(side))
     p = p.select("stack_id", "source_id", (F.col("_ix") + F.col("_i")).alias("x"), (F.col("_iy") + F.col("_j")).alias("y"))
-    d = p.join(pair, CELL)
+    d = p.hint("merge").join(pair, CELL)
     return d.groupBy("stack_id", "source_id").agg(F.sum("a").alias("fa"), F.sum("b").alias("fb"))
 
 
@@ -116,7 +120,12 @@ def image_quality(pair: DataFrame, size: DataFrame, threshold: float = 8.0, min_
 
 
 def compare_report(pair: DataFrame, positions: DataFrame, size: DataFrame, radius: int = 3, threshold: float = 8.0) -> DataFrame:
-    """Likeness, flux and, for each image, noise and source width."""
+    """Likeness, flux and, for each image, noise and source width.
+
+    The pair is written out once: each measure would combine all frames again, and the driver would hold the plans, the
+    broadcasts and the shuffle maps of all of them.
+    """
+    pair = reliable_checkpoint(pair)
     d = psnr(pair).join(ssim(pair, size), "stack_id").join(flux_consistency(pair, positions, radius), "stack_id")
     return d.join(image_quality(pair, size, threshold), "stack_id", "left")
 
